@@ -30,7 +30,7 @@ from tessera.llm.common import text_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
-HIDDEN, STEPS, BATCH, LENGTH, RATE = 16, 320, 96, 96, 0.02
+HIDDEN, STEPS, BATCH, LENGTH, RATE = 16, 260, 64, 80, 0.03
 
 # ---------------------------------------------------------------- patterns
 
@@ -117,75 +117,74 @@ def codes(text: str) -> np.ndarray:
     return np.where(points < 256, _CODE[np.minimum(points, 255)], 1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Network:
-    """Two LSTMs over characters, scores of tags, and CRF transitions."""
+    """Two LSTMs over characters, one from each end, scores of tags, and CRF
+    transitions.  Both LSTMs run side by side: axis 0 of x and u."""
 
     p: dict[str, np.ndarray]
 
     @classmethod
     def fresh(cls, seed: int = 3) -> Network:
         noise, h = np.random.default_rng(seed), HIDDEN
-        p = {}
-        for d in "fb":
-            p[f"x{d}"] = noise.normal(0, 0.3, (CODES, 4 * h))
-            p[f"x{d}"][:, h : 2 * h] += 1  # remember at first
-            p[f"u{d}"] = noise.normal(0, 0.3, (h, 4 * h))
-        p["e"] = noise.normal(0, 0.3, (2 * h, TAGS))
-        p["c"] = np.zeros(TAGS)
-        p["t"] = noise.normal(0, 0.1, (TAGS, TAGS))
+        p = {"x": noise.normal(0, 0.3, (2, CODES, 4 * h)), "u": noise.normal(0, 0.3, (2, h, 4 * h)), "e": noise.normal(0, 0.3, (2 * h, TAGS)), "c": np.zeros(TAGS), "t": noise.normal(0, 0.1, (TAGS, TAGS))}
+        p["x"][:, :, h : 2 * h] += 1  # remember at first
         return cls(p)
 
-    def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states of the steps of x (steps, rows)."""
-        h_size, table, u = HIDDEN, self.p[f"x{d}"], self.p[f"u{d}"]
+    def _run(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states of the steps of x (steps, rows): (steps, rows, 2 * HIDDEN)."""
+        h_size, u = HIDDEN, self.p["u"]
         steps, rows = x.shape
-        h, c = np.zeros((rows, h_size)), np.zeros((rows, h_size))
-        out = np.empty((steps, rows, h_size))
+        z = np.stack([self.p["x"][0][x], self.p["x"][1][x[::-1]]], 1)
+        h, c = np.zeros((2, rows, h_size)), np.zeros((2, rows, h_size))
+        out = np.empty((steps, 2, rows, h_size))
         for t in range(steps):
-            z = table[x[t]] + h @ u
-            s = _sigmoid(z[:, : 3 * h_size])
-            i, f, o, g = s[:, :h_size], s[:, h_size : 2 * h_size], s[:, 2 * h_size :], np.tanh(z[:, 3 * h_size :])
+            z[t] += h @ u
+            s = 1 / (1 + np.exp(-z[t, :, :, : 3 * h_size]))
+            i, f, o, g = s[:, :, :h_size], s[:, :, h_size : 2 * h_size], s[:, :, 2 * h_size :], np.tanh(z[t, :, :, 3 * h_size :])
             before_h, before_c = h, c
             c = f * c + i * g
             tc = np.tanh(c)
-            h = o * tc
-            out[t] = h
+            h = out[t] = o * tc
             if keep is not None:
                 keep.append((before_h, before_c, i, f, o, g, tc))
-        return out
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2)
 
-    def _back(self, x: np.ndarray, d: str, kept: list, dout: np.ndarray, grad: dict) -> None:
-        h_size, u = HIDDEN, self.p[f"u{d}"]
+    def _back(self, x: np.ndarray, kept: list, dhidden: np.ndarray, grad: dict) -> None:
+        h_size, u = HIDDEN, self.p["u"]
+        dout = np.stack([dhidden[:, :, :h_size], dhidden[::-1, :, h_size:]], 1)
+        back = u.transpose(0, 2, 1)
         dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
-        every = np.empty((*x.shape, 4 * h_size))
+        every = np.empty((*dout.shape[:3], 4 * h_size))
         for t in range(len(x) - 1, -1, -1):
-            h0, c0, i, f, o, g, tc = kept[t]
+            _, c0, i, f, o, g, tc = kept[t]
             dh = dh + dout[t]
             dc = dc + dh * o * (1 - tc**2)
-            dz = every[t] = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], 1)
-            grad[f"u{d}"] += h0.T @ dz
-            dh, dc = dz @ u.T, dc * f
-        order = np.argsort(x.ravel(), kind="stable")
-        used, heads = np.unique(x.ravel()[order], return_index=True)
-        grad[f"x{d}"][used] += np.add.reduceat(every.reshape(-1, 4 * h_size)[order], heads)
+            dz = every[t]
+            dz[:, :, :h_size] = dc * g * i * (1 - i)
+            dz[:, :, h_size : 2 * h_size] = dc * c0 * f * (1 - f)
+            dz[:, :, 2 * h_size : 3 * h_size] = dh * tc * o * (1 - o)
+            dz[:, :, 3 * h_size :] = dc * i * (1 - g**2)
+            dh, dc = dz @ back, dc * f
+        before = np.stack([k[0] for k in kept])
+        for d, own in ((0, x), (1, x[::-1])):
+            flat = every[:, d].reshape(-1, 4 * h_size)
+            grad["u"][d] = before[:, d].reshape(-1, h_size).T @ flat
+            order = np.argsort(own.ravel(), kind="stable")
+            used, heads = np.unique(own.ravel()[order], return_index=True)
+            grad["x"][d][used] = np.add.reduceat(flat[order], heads)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Tags' scores of windows x (rows, steps): (rows, steps, tags)."""
         x = x.T
-        both = np.concatenate([self._run(x, "f"), self._run(x[::-1], "b")[::-1]], 2)
-        return (both @ self.p["e"] + self.p["c"]).transpose(1, 0, 2)
+        return (self._run(x) @ self.p["e"] + self.p["c"]).transpose(1, 0, 2)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients for sequences x with tags y, both (rows, steps)."""
         x, y = x.T, y.T
         steps, rows = x.shape
-        kf, kb = [], []
-        hidden = np.concatenate([self._run(x, "f", kf), self._run(x[::-1], "b", kb)[::-1]], 2)
+        kept: list = []
+        hidden = self._run(x, kept)
         e, trans = hidden @ self.p["e"] + self.p["c"], self.p["t"]
         a = np.empty_like(e)  # forward and backward sums, in logarithms
         b = np.zeros_like(e)
@@ -208,9 +207,7 @@ class Network:
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         grad["t"], grad["c"] = pairs, de.sum((0, 1))
         grad["e"] = hidden.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, TAGS)
-        dh = de @ self.p["e"].T
-        self._back(x, "f", kf, dh[:, :, :HIDDEN], grad)
-        self._back(x[::-1], "b", kb, dh[::-1, :, HIDDEN:], grad)
+        self._back(x, kept, de @ self.p["e"].T, grad)
         return float((whole - gold).mean()), {k: v / rows for k, v in grad.items()}
 
     def decode(self, e: np.ndarray) -> np.ndarray:
