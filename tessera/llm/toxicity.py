@@ -6,10 +6,12 @@ t_0 < t_1 < t_2; the expected severity is the sum of these probabilities, 0 to
 is 1, 2 or 3 by thirds of its density of marker words, which are the words
 that toxic labelled documents have far more often than others.
 
-x holds log(1 + occurrences) of the vocabulary's words.  The vocabulary is the
-`VOCABULARY` words with the largest log-odds z-scores in the training sample,
-which is at most `SAMPLE` labelled documents chosen by hash; a quarter of the
-labels (by the checksum rule of the quality classifier) is held out.
+x holds 1 + log(occurrences) of the vocabulary's features: words, and their
+beginnings of five to seven letters, which inflected words share.  The
+vocabulary is the features whose log-odds in the training sample are at least
+`LEAST_Z` standard errors from 0, the `VOCABULARY` largest at most.  The sample
+is at most `SAMPLE` labelled documents chosen by hash; a quarter of the labels
+(by the checksum rule of the quality classifier) is held out.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from tessera.llm.common import table, text_of
 from tessera.llm.quality import held_out
 
 SAMPLE = 12_000
-VOCABULARY = 4_096
-LEAST_DOCUMENTS = 5
+VOCABULARY = 8_192
+LEAST_DOCUMENTS = 4
+LEAST_Z = 2.5
 MARKER_Z = 6.0
 GRADES = 3
+STEMS = (5, 6, 7)
+#: A worker remembers the features of so many different words at most.
+REMEMBERED = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,6 +45,25 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def features(word: str) -> list[str]:
+    """The word and its beginnings, which end in a star."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+class Hits(dict):
+    """Word -> the numbers of its features in the vocabulary."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        out = tuple(self.vocabulary[f] for f in features(word) if f in self.vocabulary)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out
+        return out
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
@@ -49,12 +74,12 @@ class Model:
         """P(grade > j) for each j."""
         return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.thresholds, -500, 500)))
 
-    def margin(self, text: str) -> float:
-        got = Counter(filter(self.vocabulary.__contains__, words(text)))
-        return float(sum(self.weights[self.vocabulary[w]] * np.log1p(n) for w, n in sorted(got.items())))
+    def margin(self, text: str, hits: Hits) -> float:
+        got = Counter(i for ids in filter(None, map(hits.__getitem__, words(text))) for i in ids)
+        return float(sum(self.weights[i] * (1 + np.log(n)) for i, n in sorted(got.items())))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, steps: int = 300, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the ordinal log-likelihood of a sparse matrix.
     The thresholds are the first one plus exponentials, hence increasing."""
     n = len(grades)
@@ -91,8 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             out: list[tuple] = []
             for doc, text, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "y")), strict=True):
-                got = Counter(words(text))
-                total = sum(got.values())
+                found = words(text)
+                got = Counter(f for w in found for f in features(w))
+                total = len(found)
                 out += [(doc, y, w, n, total) for w, n in got.items()] or [(doc, y, "", 0, 0)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["id", "y", "word", "n", "total"])
@@ -104,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     per_word = counts.filter("n > 0").groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("d")).filter(F.col("d") >= LEAST_DOCUMENTS)
     t, c = F.col("t") + 0.5, F.col("d") - F.col("t") + 0.5
     z = (F.log(t / (toxic + 1 - t)) - F.log(c / (clean + 1 - c))) / F.sqrt(1 / t + 1 / c)
-    best = per_word.withColumn("z", z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).toPandas() if toxic and clean else None
+    best = per_word.withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).toPandas() if toxic and clean else None
     if best is None or best.empty:  # nothing to learn: nothing is toxic
         return Model({}, np.zeros(0), np.array([20.0, 21.0, 22.0]))
     vocabulary = {w: i for i, w in enumerate(best["word"])}
@@ -117,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = people["y"].to_numpy(np.int64)
     thirds = np.quantile(marks[y == 1], [1 / 3, 2 / 3])
     grades = np.where(y == 1, 1 + np.searchsorted(thirds, marks, "left"), 0)
-    weights, thresholds = fit(at, got["word"].map(vocabulary).to_numpy(np.int64), np.log1p(got["n"].to_numpy(float)), grades, len(vocabulary))
+    weights, thresholds = fit(at, got["word"].map(vocabulary).to_numpy(np.int64), 1 + np.log(got["n"].to_numpy(float)), grades, len(vocabulary))
     return Model(vocabulary, weights, thresholds)
 
 
@@ -131,8 +157,9 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     kept = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(model.vocabulary)
         for batch in batches:
-            p = model.above(np.array([model.margin(x) for x in batch.column("text").to_pylist()], float))
+            p = model.above(np.array([model.margin(x, hits) for x in batch.column("text").to_pylist()], float))
             full = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], 1)
             best = (full[:, :-1] - full[:, 1:]).argmax(1)
             columns = [batch.column("doc_id"), pa.array(p.sum(1)), pa.array(best, pa.int32()), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))]
