@@ -8,10 +8,11 @@ eight coordinates put documents into buckets.
 
 Documents with equal sets are one class, represented by the smallest doc_id,
 before anything is compared.  In each bucket the classes are first compared
-with the smallest one only; what that links is one component.  Only pairs that
-share a bucket and are still in different components are compared after that,
-so a large group of near copies costs about a comparison a member and bucket
-and not one for every pair.  All comparisons are exact, on whole sets.
+with the smallest one only; what that links is one component.  Buckets that
+still hold different components are then compared in blocks of about
+`BLOCK_SHINGLES` shingles, each pair of blocks a group of its own, and yield
+only links that join components: no pairs are written, however large a group
+of near copies is.  All comparisons are exact, on whole sets.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WORDS = 5
 BANDS, ROWS = 32, 8
 UNIVERSE = 1 << 20
 SEED = 11
+BLOCK_SHINGLES = 60_000
 #: At most so many ids are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -141,6 +143,51 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return table(scored.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b"), "links")
 
 
+def across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different labels within buckets (band, key).
+
+    rows: rep, n, label, band, key, blocks, set."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("rep", "n", "label", "set", "band", "key", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, n, label, side = (group.column(c).to_numpy() for c in ("rep", "n", "label", "block"))
+        b1, b2 = group.column("b1")[0].as_py(), group.column("b2")[0].as_py()
+        lists = group.column("set").combine_chunks()
+        owner = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
+        _, code, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = count[code] > 1  # a shingle of one document is in no intersection
+        renumbered = np.cumsum(count > 1) - 1
+        owner, code = owner[shared], renumbered[code[shared]]
+        bits = np.zeros((len(rep), int((count > 1).sum()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (owner, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+        top = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        right = np.flatnonzero(side == b2)
+        a, b = [], []
+        for i in np.flatnonzero(side == b1).tolist():
+            some = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
+            if b1 == b2:
+                some = some[some > i]
+            both = np.bitwise_count(bits[some] & bits[i]).sum(1, dtype=np.int64)
+            for j in some[both * 100 >= (n[some] + n[i] - both) * percent].tolist():
+                p, q = root(int(label[i])), root(int(label[j]))
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.groupBy("band", "key", "b1", "b2").applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -160,15 +207,11 @@ def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int =
     found = table(components(links), "components")
 
     # Buckets that still hold different components: compare across these.
-    labelled = held.join(found, held["rep"] == found["node"], "left").select("rep", "n", "band", "key", "least", F.coalesce("label", "rep").alias("label"))
-    labelled = table(labelled, "labelled")
-    open_ = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi AND members > 2").select("band", "key")
-    left = table(labelled.join(open_, ["band", "key"]), "open")
-    x = left.select("band", "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "least")
-    y = left.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    cross = x.join(y, ["band", "key"]).filter(fit & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("least"))).select("a", "b", "na", "nb")
-    more = linked(docs, cross, percent)
+    labelled = table(held.join(found, held["rep"] == found["node"], "left").select("rep", "n", "band", "key", F.coalesce("label", "rep").alias("label")), "labelled")
+    totals = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    left = table(labelled.join(totals.filter("lo <> hi AND members > 2").select("band", "key", "blocks"), ["band", "key"]), "open")
+    sets = table(sets_of(docs, table(left.select(F.col("rep").alias("id")).distinct(), "open_ids")), "open_sets")
+    more = table(across(left.join(sets, left["rep"] == sets["id"]).drop("id"), percent), "more_links")
     if not more.isEmpty():
         found = table(components(links.unionByName(more)), "components")
 
