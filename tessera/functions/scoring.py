@@ -34,11 +34,15 @@ def overlong_penalty(tokens: Column, *tiers: tuple[int, float]) -> Column:
 
 def format_gate(raw: Column, result: Column) -> Column:
     """Struct of factor, reason and number of bullet pairs."""
-    low, pairs = F.lower(X.text(raw)), X.count_pairs(result)
+    low = F.lower(X.text(raw))
     no_open, no_close = ~F.contains(low, F.lit("<result>")), ~F.contains(low, F.lit("</result>"))
-    reason = F.when(no_open, "no_result_open").when(no_close, "no_result_close").when(pairs == 0, "no_bullet_pair").when(pairs == 1, "single_pair").otherwise("ok")
-    factor = F.when(no_open | no_close | (pairs == 0), 0.0).when(pairs == 1, 0.5).otherwise(1.0)
-    return F.struct(factor.alias("factor"), reason.alias("reason"), pairs.alias("n_pairs"))
+
+    def gate(pairs: Column) -> Column:
+        reason = F.when(no_open, "no_result_open").when(no_close, "no_result_close").when(pairs == 0, "no_bullet_pair").when(pairs == 1, "single_pair").otherwise("ok")
+        factor = F.when(no_open | no_close | (pairs == 0), 0.0).when(pairs == 1, 0.5).otherwise(1.0)
+        return F.struct(factor.alias("factor"), reason.alias("reason"), pairs.alias("n_pairs"))
+
+    return X.let(X.count_pairs(result), gate)
 
 
 def rule_penalty_objectives(raw: Column, result: Column, tier: tuple[int, float] = (768, 0.05), total: tuple[tuple[int, float], ...] = ()) -> Column:
@@ -60,21 +64,22 @@ def rule_penalty_plan(raw: Column, plan: Column, tier: tuple[int, float] = (2400
 
 def verbosity_penalty(words: Column, threshold: int = 80, rate: float = 0.05, cap: float = 0.3) -> Column:
     """Struct over an array of word counts: capped and raw penalty, mean and greatest count."""
-    raw = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.greatest(F.lit(0), w - threshold) / 50.0 * rate)
-    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + w)
-    n = F.size(words)
-    return F.struct(F.least(F.lit(cap), raw).alias("penalty"), raw.alias("raw"), F.when(n > 0, total / n).otherwise(0.0).alias("mean_words"), F.coalesce(F.array_max(words), F.lit(0)).alias("max_words"))
 
+    def of(w: Column) -> Column:
+        raw = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0), x - threshold) / 50.0 * rate)
+        total = F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+        n = F.size(w)
+        return F.struct(F.least(F.lit(cap), raw).alias("penalty"), raw.alias("raw"), F.when(n > 0, total / n).otherwise(0.0).alias("mean_words"), F.coalesce(F.array_max(w), F.lit(0)).alias("max_words"))
 
-def doubles(modules: Column, threshold: float = 0.7) -> Column:
-    """How many of the modules, in order, repeat an earlier one that was kept."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))
+    return X.let(words, of)
 
-    def step(state: Column, module: Column) -> Column:
-        again = F.exists(state["kept"], lambda k: X.is_doubling(module, k, threshold))
-        return F.struct(F.when(again, state["kept"]).otherwise(F.concat(state["kept"], F.array(module))).alias("kept"), (state["n"] + again.cast("int")).alias("n"))
 
-    return F.aggregate(modules, start, step)["n"]
+def doubles(modules: Column, threshold: float = 0.7) -> Column:
+    """How many of the modules, in order, repeat an earlier one that was kept."""
+    forms = F.transform(modules, X.doubling_form)
+    start = F.array().cast("array<struct<name:string,words:array<string>>>")
+    kept = F.aggregate(forms, start, lambda k, m: F.when(F.exists(k, lambda x: X.same_module(m, x, threshold)), k).otherwise(F.concat(k, F.array(m))))
+    return F.size(modules) - F.size(kept)
 
 
 def doubling_penalty(n: Column, rate: float = 0.06, cap: float = 0.20) -> Column:

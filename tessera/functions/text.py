@@ -47,6 +47,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
@@ -134,8 +139,8 @@ def parse_bullets(c: Column, loose: bool = False) -> Column:
     """Array of (target_module, research_question), in order, cut to 300 and 400 characters."""
 
     def one(p: Column) -> Column:
-        rq = _tidy(p["rq"])
-        return F.struct(F.substring(_tidy(p["tm"]), 1, 300).alias("target_module"), F.when(F.length(rq) > 400, F.concat(F.substring(rq, 1, 400), F.lit("..."))).otherwise(rq).alias("research_question"))
+        cut = let(_tidy(p["rq"]), lambda rq: F.when(F.length(rq) > 400, F.concat(F.substring(rq, 1, 400), F.lit("..."))).otherwise(rq))
+        return F.struct(F.substring(_tidy(p["tm"]), 1, 300).alias("target_module"), cut.alias("research_question"))
 
     return F.transform(_bullet_parts(c, loose), one)
 
@@ -243,13 +248,21 @@ def doubling_norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(lowered, rf"[^a-z0-9\s\x0b\x1c-\x1f\x85\p{{Z}}]+", " "), rf"{WS}+", " "))
 
 
-def is_doubling(a: Column, b: Column, threshold: float = 0.7) -> Column:
-    """Whether two target modules name the same thing: one contains the other, or they share most core words."""
-    x, y = doubling_norm(a), doubling_norm(b)
+def doubling_form(c: Column) -> Column:
+    """Struct of what two target modules are compared by."""
+    return F.struct(doubling_norm(c).alias("name"), core_words(c).alias("words"))
+
+
+def same_module(a: Column, b: Column, threshold: float = 0.7) -> Column:
+    """Whether two doubling_form()s name the same thing: one contains the other, or they share most core words."""
+    x, y = a["name"], b["name"]
     contained = (F.length(x) >= 8) & (F.length(y) >= 8) & (F.contains(x, y) | F.contains(y, x))
-    p, q = core_words(a), core_words(b)
-    shared = F.size(F.array_intersect(p, q))
-    return contained | ((shared >= 2) & (shared / F.least(F.size(p), F.size(q)) > threshold))
+    least = F.least(F.size(a["words"]), F.size(b["words"]))
+    return contained | let(F.size(F.array_intersect(a["words"], b["words"])), lambda n: (n >= 2) & (n / least > threshold))
+
+
+def is_doubling(a: Column, b: Column, threshold: float = 0.7) -> Column:
+    return let(F.struct(doubling_form(a).alias("a"), doubling_form(b).alias("b")), lambda p: same_module(p["a"], p["b"], threshold))
 
 
 def wikihow_clean(c: Column) -> Column:
