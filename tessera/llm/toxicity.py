@@ -108,42 +108,58 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
-    chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "text", F.col("__y").cast("long").alias("y"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two passes over the sample's texts: the features' document counts, then
+    the chosen features' occurrences, as numbers, to the driver."""
+    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("__y"))
+    chosen = table(chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id"), "sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__id"))
+    rows = table(rows.select("id", "text", F.col("__y").alias("y")).dropDuplicates(["id"]), "texts")
+    toxic, everyone = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    clean = everyone - toxic
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "y")), strict=True):
-                found = words(text)
-                got = Counter(f for w in found for f in features(w))
-                total = len(found)
-                out += [(doc, y, w, n, total) for w, n in got.items()] or [(doc, y, "", 0, 0)]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["id", "y", "word", "n", "total"])
-
-    counts = table(rows.mapInArrow(count, "id long, y long, word string, n long, total long"), "words").dropDuplicates(["id", "word"])
-    people = counts.select("id", "y", "total").distinct().toPandas().drop_duplicates("id").sort_values("id")
-    toxic = int(people["y"].sum())
-    clean = len(people) - toxic
-    per_word = counts.filter("n > 0").groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("d")).filter(F.col("d") >= LEAST_DOCUMENTS)
+            for start in range(0, batch.num_rows, 256):
+                seen: Counter = Counter()
+                bad: Counter = Counter()
+                part = batch.slice(start, 256)
+                for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    own = {f for w in set(words(text)) for f in features(w)}
+                    seen.update(own)
+                    if y:
+                        bad.update(own)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[w] for w in seen], pa.int64())], names=["word", "d", "t"])
+
+    per_word = rows.select("text", "y").mapInArrow(present, "word string, d long, t long").groupBy("word").agg(F.sum("d").alias("d"), F.sum("t").alias("t")).filter(F.col("d") >= LEAST_DOCUMENTS)
     t, c = F.col("t") + 0.5, F.col("d") - F.col("t") + 0.5
     z = (F.log(t / (toxic + 1 - t)) - F.log(c / (clean + 1 - c))) / F.sqrt(1 / t + 1 / c)
-    best = per_word.withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).toPandas() if toxic and clean else None
+    best = per_word.select("word", z.alias("z")).filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).toPandas() if toxic and clean else None
     if best is None or best.empty:  # nothing to learn: nothing is toxic
         return Model({}, np.zeros(0), np.array([20.0, 21.0, 22.0]))
     vocabulary = {w: i for i, w in enumerate(best["word"])}
-    got = counts.join(F.broadcast(counts.sparkSession.createDataFrame(best[["word", "z"]])), "word").select("id", "word", "n", "z").toPandas()
-    position = {d: i for i, d in enumerate(people["id"])}
-    at = got["id"].map(position).to_numpy(np.int64)
-    order = np.lexsort((got["word"].to_numpy(str), at))
-    got, at = got.iloc[order], at[order]
-    marks = np.bincount(at, got["n"] * (got["z"] >= MARKER_Z), len(people)) / np.maximum(people["total"].to_numpy(float), 1)
-    y = people["y"].to_numpy(np.int64)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(vocabulary)
+        for batch in batches:
+            ids, counts, totals = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = words(text)
+                got = Counter(i for own in filter(None, map(hits.__getitem__, found)) for i in own)
+                ids.append(sorted(got))
+                counts.append([got[i] for i in ids[-1]])
+                totals.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(totals, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "y", "total", "ids", "counts"])
+
+    got = rows.mapInArrow(occurrences, "id long, y long, total long, ids array<int>, counts array<int>").toPandas().sort_values("id")
+    at = np.repeat(np.arange(len(got)), got["ids"].map(len).to_numpy(np.int64))
+    cols = np.concatenate([*got["ids"], np.zeros(0)]).astype(np.int64)
+    n = np.concatenate([*got["counts"], np.zeros(0)]).astype(float)
+    y = got["y"].to_numpy(np.int64)
+    marker = (best["z"] >= MARKER_Z).to_numpy()
+    marks = np.bincount(at, n * marker[cols], len(got)) / np.maximum(got["total"].to_numpy(float), 1)
     thirds = np.quantile(marks[y == 1], [1 / 3, 2 / 3])
     grades = np.where(y == 1, 1 + np.searchsorted(thirds, marks, "left"), 0)
-    weights, thresholds = fit(at, got["word"].map(vocabulary).to_numpy(np.int64), 1 + np.log(got["n"].to_numpy(float)), grades, len(vocabulary))
+    weights, thresholds = fit(at, cols, 1 + np.log(n), grades, len(vocabulary))
     return Model(vocabulary, weights, thresholds)
 
 
