@@ -7,7 +7,7 @@ whose pair has changed since are stale and skipped.  Each merge costs a
 constant number of steps and a push into the bucket's heap of positions, so a
 pre-token of n bytes costs O(n log n) at worst, however long it is.
 
-Pre-tokens repeat, so a worker remembers their ids in two generations of at
+Pre-tokens repeat, so a task remembers their ids in two generations of at
 most `CACHE_ENTRIES` pre-tokens of at most `CACHE_CHARS` characters.  That changes
 no result.
 """
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_of
+from tessera.llm.common import give_back, text_of
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 32
-BATCH_CHARS = 10_000_000
+BATCH_CHARS = 4_000_000
 
 #: The split pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -314,7 +314,11 @@ class Codec:
             points = np.frombuffer(text.encode("utf-32-le"), "<u4")
             kind = self.classes[points]
         at = starts(points, kind).tolist()
-        return list(map(text.__getitem__, map(slice, at, [*at[1:], len(text)])))
+        return [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+
+    def forget(self) -> None:
+        """Empty the memory of pre-tokens."""
+        self.cache = _Packed(self)
 
     def learn(self, words: set[str]) -> None:
         """Fill the memory with the ids of these pre-tokens, all at once."""
@@ -427,5 +431,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = PATTERN, with_ids: bo
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.forget()
+        give_back()
 
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,13 @@ def text_of(df: DataFrame) -> Column:
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; looks at no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, since workers
+    outlive their tasks and the next one may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library; its own rules hold

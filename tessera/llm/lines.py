@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of
+from tessera.llm.common import give_back, table, text_of
 
 LEAST_CHARS = 10
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -241,6 +241,7 @@ def rewritten(docs: DataFrame, names: list[str], as_text: bool) -> DataFrame:
                     gone.append(lost)
                     out.append(kept.decode() if as_text else hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=fields)
+        give_back()
 
     return joined.mapInArrow(run, result)
 

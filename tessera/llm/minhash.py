@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, table, text_of
+from tessera.llm.common import bounded, give_back, table, text_of
 from tessera.llm.graph import components
 
 WORDS = 5
@@ -113,6 +113,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                     signed.append(family.band_hashes(got) if len(got) else np.zeros(0, np.int64))
                 pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), _lists(signed)], names=["doc_id", "n", "s0", "s1", "bands"])
+        give_back()
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, s0 long, s1 long, bands array<long>")
 
@@ -128,6 +129,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 batch = whole.slice(start, 1024)
                 got = [shingles(x).view(np.int64) for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(got)], names=["id", "set"])
+        give_back()
 
     return chosen.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
 

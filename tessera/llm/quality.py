@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import give_back, text_of
 
+#: Bytes of text whose statistics are taken at once, unless one text is longer.
+CHUNK = 1 << 20
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 8_000
 THRESHOLD = 0.7
@@ -89,10 +91,8 @@ def statistics(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     if len(heads):
         inside = solid.astype(np.int64)
         length = np.add.reduceat(inside, heads)
-        place = np.arange(len(raw)) - np.repeat(heads, np.diff([*heads.tolist(), len(raw)])) if heads[0] == 0 else None
-        if place is None:
-            place = np.zeros(len(raw), np.int64)
-            place[heads[0] :] = np.arange(heads[0], len(raw)) - np.repeat(heads, np.diff([*heads.tolist(), len(raw)]))
+        place = np.zeros(len(raw), np.int64)
+        place[heads[0] :] = np.arange(heads[0], len(raw)) - np.repeat(heads, np.diff(np.append(heads, len(raw))))
         hashes = np.add.reduceat(np.where(solid, noise[raw] * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), np.uint64(0)), heads)
         out[:, col["log_words"]] = np.log1p(words)
         mean = np.bincount(owner, length, n) / many
@@ -129,7 +129,13 @@ def batch_statistics(texts: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
-    return statistics(raw, offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+    ends = offsets - offsets[0]
+    out, at = np.zeros((len(texts), len(FEATURES))), 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+        out[at:upto] = statistics(raw[ends[at] : ends[upto]], ends[at:upto] - ends[at], ends[at + 1 : upto + 1] - ends[at])
+        at = upto
+    return out
 
 
 @dataclass
@@ -251,6 +257,7 @@ def score(docs: DataFrame, trees: Trees, keep: bool = False) -> DataFrame:
                 scores = trees.score(batch_statistics(batch.column(at)))
                 columns = [c for i, c in enumerate(batch.columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*kept, "__score"])
+        give_back()
 
     return out.mapInArrow(run, result)
 
