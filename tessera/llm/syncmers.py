@@ -29,7 +29,8 @@ BUCKET_ROWS = 2_000
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """The anchors' hashes in order, an array of int."""
     inner = k - s + 1  # inner runs of a k-mer
-    symbols = F.filter(F.split(text, f"[{SPACE}]+|(?<=[^{SPACE}]{{{PIECE}}})(?=[^{SPACE}])(?<=(?:^|[{SPACE}])[^{SPACE}]{{{PIECE}}})"), lambda x: x != "")
+    pieces = F.regexp_replace(text, f"([^{SPACE}]{{{PIECE}}})(?=[^{SPACE}])", "$1 ")
+    symbols = F.filter(F.split(pieces, f"[{SPACE}]+"), lambda x: x != "")
     hashes = F.transform(symbols, lambda x: F.xxhash64(x))
     return _selected(hashes, k, s, inner)
 

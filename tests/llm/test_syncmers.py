@@ -1,5 +1,6 @@
 """Against the same rule in plain Python."""
 
+import random
 import re
 
 import pytest
@@ -27,6 +28,22 @@ def test_symbols_and_anchor_count(spark):
             assert (n - S.K + 1) / (S.K - S.S + 1) <= len(r["m"]) + 1 and len(r["m"]) <= n - S.K + 1
 
 
+def test_long_words_are_cut_all_along(spark):
+    noise = random.Random(5)
+    texts = ["".join(noise.choice("abcdefgh漢字かな😀é") for _ in range(n)) for n in (24, 25, 48, 49, 199, 10_000)]
+    texts += [texts[-1] + " some words\t" + texts[-2] + "\n" + texts[2], "x" * 10_000]
+    rows = spark.createDataFrame([(t, " ".join(symbols(t))) for t in texts], "t string, cut string").select("t", S.anchors(F.col("t")).alias("m"), S.anchors(F.col("cut")).alias("expected")).collect()
+    for r in rows:
+        assert r["m"] == r["expected"] and (len(r["m"]) > 50) == (len(r["t"]) >= 10_000)
+
+
+def test_unspaced_text_stays_half_alike(spark):
+    noise = random.Random(6)
+    rows = [(i, "".join(noise.choice("abcdefgh漢字かな") for _ in range(10_000))) for i in (1, 2)]
+    r = S.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 2").first()
+    assert 0.4 < r["near_edited"] < 0.6 and r["near_next"] == 0
+
+
 def test_anchors_need_no_context(spark):
     core = " ".join(f"c{i}" for i in range(200))
     rows = spark.createDataFrame([(core,), ("before words " + core,), (core + " after words",)], "t string").select(S.anchors(F.col("t")).alias("m")).collect()
