@@ -114,21 +114,38 @@ def expected_best(values: Column, n: int, worst: bool = False) -> Column:
 
 
 def bootstrap(df: DataFrame, group: Sequence[str], value: str, index: str, size: int, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and population deviation of the greatest of `size` draws, over seeded rounds; a group is a prompt's rollouts."""
+    """Mean and population deviation of the greatest and the least of `size` draws, over seeded rounds.
+
+    The draws are those of `numpy.random.seed(seed)` and `choice`.  A group is a
+    prompt's rollouts, an array in one row; groups of one size share their draws.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     keys = [df.schema[g] for g in group]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", best_mean double, best_std double, worst_mean double, worst_std double"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(index)
-        picks = np.random.default_rng(seed).integers(0, len(rows), (rounds, size))
-        drawn = rows[value].to_numpy(float)[picks]
-        best, worst = drawn.max(1), drawn.min(1)
-        return pd.DataFrame([[*rows[list(group)].iloc[0], best.mean(), best.std(), worst.mean(), worst.std()]], columns=[*group, "best_mean", "best_std", "worst_mean", "worst_std"])
-
-    return df.groupBy(*group).applyInPandas(run, schema)
+    names = ["best_mean", "best_std", "worst_mean", "worst_std"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keys), *(f"{n} double" for n in names)])
+    placed = F.struct(F.col(index).isNull().alias("n"), F.col(index).alias("i"), F.col(value).cast("double").alias("v"))
+    lists = df.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["v"]).alias("__values"))
+    together = max(1, 1_000_000 // (rounds * size))
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column("__values")
+            flat, counts = values.flatten().to_numpy(zero_copy_only=False), values.value_lengths().to_numpy()
+            starts = np.cumsum(counts) - counts
+            out = np.empty((4, len(counts)))
+            for n in np.unique(counts):
+                picks = np.random.RandomState(seed).randint(0, n, (rounds, size))
+                at = np.flatnonzero(counts == n)
+                for i in range(0, len(at), together):
+                    some = at[i : i + together]
+                    drawn = flat[starts[some, None, None] + picks]
+                    best, worst = drawn.max(2), drawn.min(2)
+                    out[:, some] = best.mean(1), best.std(1), worst.mean(1), worst.std(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(g) for g in group), *(pa.array(x, pa.float64(), from_pandas=True) for x in out)], names=[*group, *names])
+
+    return lists.mapInArrow(run, schema)
 
 
 def group_split(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:

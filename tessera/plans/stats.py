@@ -145,7 +145,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg_bootstrap")
 def _(t: Tables) -> DataFrame:
-    return G.bootstrap(t.rollouts.filter("uid % 10 = 0"), ["uid"], "score", "idx", 4, 200)
+    return G.bootstrap(t.rollouts, ["uid"], "score", "idx", 4)
 
 
 @query("agg_best_worst_n", """WITH r AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS k, count(*) OVER (PARTITION BY uid) AS n FROM {rollouts})

@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import plans
 from tessera.functions import arrays as A
 from tessera.functions import grading as M
 from tessera.functions import scoring as P
@@ -152,3 +154,31 @@ def test_judge(spark):
     text = '<candidate num="2"><score>0.5</score></candidate><CANDIDATE id=1 ><critique> c </critique><score>x</score><primary_match>bullet 3</primary_match></CANDIDATE>'
     got = one(spark, X.parse_judge(F.lit(text), F.lit(3)))
     assert [(r["critique"], r["score"], r["primary_match"]) for r in got] == [("c", None, 3), ("", 0.5, None), ("", None, None)]
+
+
+def plain_bootstrap(scores, size, rounds=1000, seed=42):
+    np.random.seed(seed)
+    drawn = [[scores[i] for i in np.random.choice(len(scores), size=size, replace=True)] for _ in range(rounds)]
+    return [f([g(d) for d in drawn]) for g in (max, min) for f in (np.mean, np.std)]
+
+
+def test_bootstrap(spark):
+    data = {7: [0.5], 8: [1.0, 0.0], 10: [3.0, 1.0, 2.0, 5.0, 4.0], None: [2.0, 9.0], 21: [float(i * 37 % 101) for i in range(100)], 22: [float(i) for i in range(100)]}
+    rows = [(u, i, x) for u, xs in data.items() for i, x in reversed(list(enumerate(xs)))]
+    got = {r[0]: r[1:] for r in G.bootstrap(spark.createDataFrame(rows, "uid long, idx long, score double").repartition(5), ["uid"], "score", "idx", 4).collect()}
+    assert set(got) == set(data)
+    for u, xs in data.items():
+        assert got[u] == pytest.approx(plain_bootstrap(xs, 4))
+    lost = spark.createDataFrame([(1, 0, None), (1, 1, 2.0)], "uid long, idx long, score double")
+    assert G.bootstrap(lost, ["uid"], "score", "idx", 4).first()["best_mean"] is None
+
+
+def test_bootstrap_query_has_every_prompt(spark):
+    where = "/root/testdata/sf0.001"
+    scores = {}
+    for r in plans.QUERIES["prj_select"](spark, where).orderBy("uid", "idx").collect():
+        scores.setdefault(r["uid"], []).append(r["score"])
+    got = {r[0]: r[1:] for r in plans.QUERIES["agg_bootstrap"](spark, where).collect()}
+    assert set(got) == set(scores) and any(u % 10 for u in got)
+    for u in sorted(scores)[::50]:
+        assert got[u] == pytest.approx(plain_bootstrap([float(x) for x in scores[u]], 4))
