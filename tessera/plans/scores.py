@@ -517,8 +517,92 @@ def _(t: Tables) -> DataFrame:
     return rows.select("id", (F.length(prompt) > 0).alias("has_prompt"), F.length(response).alias("size"))
 
 
+#: The reference's prompts and the characters of content that they take.
+RL_PROMPTS = {
+    "t1": (
+        """You are an expert AI research scientist and a rigorous peer reviewer. Your task is to identify the key ablation research questions that should be investigated to rigorously validate a paper's central methodological claims.
+
+<Research_Context>
+(Paper context with ablation-related content removed)
+{CONTENT}
+</Research_Context>
+
+**Task Instructions:**
+1. Read the paper context carefully and infer the most important research questions that should be addressed by ablation or controlled analysis.
+2. Identify which components, mechanisms, or assumptions are most scientifically vulnerable.
+3. Consider what causal confounders or alternative explanations a skeptical reviewer would raise.
+4. Focus on research questions that are necessary to verify whether the claimed gains truly come from the proposed method.
+5. Stay at the level of research questions rather than detailed implementation.
+
+**Important Constraints:**
+- Do not propose full experimental plans, datasets, hyperparameters, or exact protocols.
+- Prefer mechanistically meaningful and causally informative questions over superficial component toggles.
+- Identify the 2-6 most critical ablation targets. Prioritize scientific necessity over completeness.
+
+**Output Format:** Each bullet represents one atomic ablation target. Output the most scientifically necessary targets (typically 2-6).
+
+<Think>
+[A brief reasoning process explaining the most important scientific vulnerabilities and causal uncertainties.]
+</Think>
+
+<Result>
+[A list of target modules and their corresponding high-level research questions.]
+
+- Target Module: [Name of the component or design choice]
+    - Research Question: [One precise sentence summarizing the exact hypothesis to test]
+</Result>""",
+        50_000,
+    ),
+    "t2": (
+        """You are an expert AI research scientist specializing in scientific experimental design. Your task is to construct a rigorous and reproducible ablation plan for a given ablation goal, based on the paper's methodology context.
+
+<Research_Context>
+{CONTENT}
+</Research_Context>
+
+<Ablation_Goal>
+{GOAL}
+</Ablation_Goal>
+
+**Task Instructions:**
+1. Design a scientifically rigorous experimental plan that directly tests the given ablation goal.
+2. Define a fair baseline.
+3. Specify the most important ablation or control variants.
+4. Isolate the intended causal factor as cleanly as possible.
+5. Keep unrelated components fixed unless a change is explicitly required.
+6. Include the critical protocols and evaluation metrics needed for a reproducible comparison.
+
+**Important Constraints:**
+- Focus on causal validity, fairness of comparison, and confounder isolation.
+- Avoid introducing unnecessary complexity or speculative variants not grounded in the methodology context.
+- If a stronger control is needed to rule out a plausible alternative explanation, include it.
+
+**Output Format:**
+
+<Think>
+[A brief reasoning process explaining how the ablation goal maps to the key controls, baselines, and confounders.]
+</Think>
+
+<Proposed_Plan>
+- Objective: [Brief statement of the design goal]
+- Baseline Setup: [Clear definition of the control condition]
+- Variants: [The main ablation or control conditions and what each one changes]
+- Fixed Protocols & Metrics: [Key training constraints, datasets, evaluation settings, and primary metrics in a single paragraph]
+</Proposed_Plan>""",
+        60_000,
+    ),
+}
+
+
+def rl_rows(papers: DataFrame, name: str) -> DataFrame:
+    """A task's reinforcement-learning rows; the first task has no goal, so a {GOAL} in its content stays."""
+    pattern, limit = RL_PROMPTS[name]
+    prompt = R.template(pattern, R.truncate_chars(X.text(F.col("content")), limit), F.col("goal") if name == "t2" else F.lit("{GOAL}"))
+    return papers.select(*R.rl_row(F.lit(name), prompt, "reasoning", X.text(F.col("goal")), F.struct(F.col("id").alias("index"), F.col("venue").alias("venue") if name == "t1" else F.col("title").alias("title"))))
+
+
 def _rl(t: Tables, name: str) -> DataFrame:
-    return t.papers.filter(F.col("in_sft")).select(*R.rl_row(F.lit(name), R.truncate_chars(X.text(F.col("content")), 20), "reasoning", X.text(F.col("goal")), F.struct(F.col("id").alias("index"), F.col("venue").alias("venue") if name == "t1" else F.col("title").alias("title"))))
+    return rl_rows(t.papers.filter(F.col("in_sft")), name)
 
 
 @query("cnv_rl_t1", "SELECT 't1' AS data_source, substr(coalesce(content, ''), 1, 20) AS content, coalesce(goal, '') AS ground_truth, id AS index FROM {papers} WHERE in_sft")

@@ -14,6 +14,7 @@ from tessera.functions import text as X
 from tessera.operators import batches as B
 from tessera.operators import relational as R
 from tessera.operators import statistics as G
+from tessera.plans import scores
 
 
 def one(spark, column):
@@ -182,3 +183,26 @@ def test_bootstrap_query_has_every_prompt(spark):
     assert set(got) == set(scores) and any(u % 10 for u in got)
     for u in sorted(scores)[::50]:
         assert got[u] == pytest.approx(plain_bootstrap([float(x) for x in scores[u]], 4))
+
+
+def test_rl_prompts_hold_whole_content_and_goal(spark):
+    long = "word {GOAL} " * 6_000
+    papers = spark.createDataFrame([(1, long, "the goal", "v", "t"), (2, "short", None, None, None), (3, None, "g", "v", "t")], "id long, content string, goal string, venue string, title string")
+    for name, limit in (("t1", 50_000), ("t2", 60_000)):
+        got = {r["extra_info"]["index"]: r["prompt"][0]["content"] for r in scores.rl_rows(papers, name).collect()}
+        pattern = scores.RL_PROMPTS[name][0]
+        for i, content, goal in ((1, long, "the goal"), (2, "short", ""), (3, "", "g")):
+            expected = pattern.replace("{CONTENT}", content[:limit])
+            assert got[i] == (expected.replace("{GOAL}", goal) if name == "t2" else expected)
+        assert "<Research_Context>" in got[2] and ("<Ablation_Goal>\ng\n" in got[3]) == (name == "t2")
+
+
+def test_rl_queries_give_whole_prompts(spark):
+    where = "/root/testdata/sf0.001"
+    papers = {r["id"]: r["content"] or "" for r in plans.QUERIES["prj_rl_row"](spark, where).select("id", "content").collect()}
+    for name in ("t1", "t2"):
+        rows = plans.QUERIES[f"cnv_rl_{name}"](spark, where).collect()
+        assert rows
+        for r in rows:
+            content = papers[r["index"]]
+            assert (content.replace("{GOAL}", r["ground_truth"]) if name == "t2" else content) in r["content"]
