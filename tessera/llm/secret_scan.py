@@ -36,8 +36,8 @@ RULES = (
     ("hex", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"), 0),
     ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}"), 0),
 )
-#: No rule matches a text without any of these.
-TRIGGER = re.compile(r"[0-9=:]|-----BEGIN")
+#: No rule matches a text without any of these: the last ones are the beginnings of keys that may be all letters.
+TRIGGER = re.compile(r"[0-9=:]|-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|eyJ|[a-f]{32}")
 
 #: Fixed words: what stands beside secrets, beside look-alikes, and inside names and placeholders.
 HINTS = frozenset("password passwd pwd secret token key apikey api access auth credential private login bearer".split())
