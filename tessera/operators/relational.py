@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.ordering import positions, sum_before
 
 
 def keep_columns(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
@@ -64,25 +65,11 @@ def shuffled_order(seed: int, *key: Column) -> list[Column]:
 def with_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "index") -> DataFrame:
     """0-based position in an order, in each partition of `by`.
 
-    Without `by` the numbers come from counts per range partition, not from one
-    task that sorts everything."""
+    Without `by` the numbers come from counts per range of the order, not from
+    one task that sorts everything."""
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-    return global_index(df, order, name)
-
-
-def global_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
-    """Positions in a total order: range partitions, counted, then numbered each by itself."""
-    keyed = df.select("*", *(c.alias(f"__o{i}") for i, c in enumerate(order)))
-    keys = [F.col(f"__o{i}") for i in range(len(order))]
-    ranged = keyed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").count()
-    # One row per partition: a running sum over a few hundred numbers.
-    offsets = counts.select(F.col("__part").alias("__p"), (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__offset"))
-    inside = Window.partitionBy("__part").orderBy(*keys)
-    numbered = ranged.withColumn("__row", F.row_number().over(inside))
-    joined = numbered.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
-    return joined.withColumn(name, (F.col("__offset") + F.col("__row") - 1).cast("long")).select(*df.columns, name)
+    return positions(df, order, name)
 
 
 def coerce_strings(df: DataFrame, fields: Sequence[str], index: str | None = None) -> DataFrame:
@@ -172,8 +159,7 @@ def group_variance(df: DataFrame, group: Sequence[str], metric: str) -> DataFram
 
 def fill_batch(groups: DataFrame, order: Sequence[Column], size: str, wanted: int) -> DataFrame:
     """The groups, in order, that fill a batch: all that begin before it is full."""
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("__before", F.coalesce(F.sum(size).over(running), F.lit(0))).filter(F.col("__before") < wanted).drop("__before")
+    return sum_before(groups, order, F.col(size), "__before").filter(F.col("__before") < wanted).drop("__before")
 
 
 def accuracy_band(df: DataFrame, group: Sequence[str], metric: str, low: float, high: float) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import sum_before
+
 
 def mean_of_means(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
     """Mean per row of responses, then per source."""
@@ -14,10 +16,9 @@ def mean_of_means(df: DataFrame, outer: str, inner: str, value: str) -> DataFram
     return rows.groupBy(outer).agg(F.avg("__m").alias("score"), F.count("*").alias("n"))
 
 
-def upper_median(c: Column) -> Column:
-    """Element n // 2 of the sorted values: exact, not interpolated."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """Element n // 2 of the sorted whole numbers: exact, not interpolated; values are counted, not gathered."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)").cast("long")
 
 
 def weighted_mean(score: Column, weight: Column) -> Column:
@@ -151,8 +152,8 @@ def bootstrap(df: DataFrame, group: Sequence[str], value: str, index: str, size:
 def group_split(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
     """Whole groups into validation, in hash order, as long as they fit: one row per group is numbered, not the rows."""
     groups = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__k").cast("string"), F.lit("")))), "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = groups.select("__k", (F.sum("__n").over(order) <= size).alias("__val"))
+    order = [F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__k").cast("string"), F.lit("")))), F.col("__k")]
+    chosen = sum_before(groups, order, F.col("__n"), "__before").select("__k", (F.col("__before") + F.col("__n") <= size).alias("__val"))
     return df.join(chosen, df[key].eqNullSafe(chosen["__k"])).withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__k", "__val")
 
 

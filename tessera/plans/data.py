@@ -24,9 +24,14 @@ def strip_sql(c: str) -> str:
 
 
 def scratch(t: Tables) -> str:
-    """A folder that all executors see: under spark.checkpoint.dir where that is set."""
+    """A folder that all executors see: under spark.checkpoint.dir; only where that is unset and
+    Spark runs on this machine alone, as in tests, a temporary one."""
     top = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{top.rstrip('/')}/tessera-io-{os.urandom(6).hex()}" if top else tempfile.mkdtemp(prefix="tessera-")
+    if top:
+        return f"{top.rstrip('/')}/tessera-io-{os.urandom(6).hex()}"
+    if not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
 
 
 # ------------------------------------------------------------------ sources
@@ -324,7 +329,7 @@ def _(t: Tables) -> DataFrame:
     SELECT uid, idx FROM r WHERE k <= n // 4""")
 def _(t: Tables) -> DataFrame:
     good = t.rollouts.groupBy("uid").agg(F.avg("acc").between(0.2, 0.8).cast("int").alias("ok"))
-    ranked = R.global_index(t.rollouts.select("uid", "idx").join(good, "uid"), [-F.col("ok"), F.col("uid"), F.col("idx")])
+    ranked = R.positions(t.rollouts.select("uid", "idx").join(good, "uid"), [-F.col("ok"), F.col("uid"), F.col("idx")])
     return ranked.filter(F.col("index") < t.rollouts.count() // 4).select("uid", "idx")
 
 
@@ -373,7 +378,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("srt_shuffle", "SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('7|', o_orderkey)), o_orderkey) - 1 AS position FROM {orders}")
 def _(t: Tables) -> DataFrame:
-    return R.global_index(t.orders.select("o_orderkey"), R.shuffled_order(7, F.col("o_orderkey")), "position")
+    return R.positions(t.orders.select("o_orderkey"), R.shuffled_order(7, F.col("o_orderkey")), "position")
 
 
 @query("srt_limit", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 100")

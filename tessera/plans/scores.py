@@ -456,7 +456,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("cnv_hh_rm", "SELECT id, CASE WHEN i < n * 75 // 100 THEN 'train' ELSE 'test' END AS split FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM {papers}) x")
 def _(t: Tables) -> DataFrame:
-    rows = R.global_index(_preferences(t).select("id"), [F.col("id")])
+    rows = R.positions(_preferences(t).select("id"), [F.col("id")])
     return rows.select("id", F.when(F.col("index") < t.papers.count() * 75 // 100, "train").otherwise("test").alias("split"))
 
 

@@ -55,7 +55,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg_upper_median", "SELECT status, list_sort(array_agg(n_pred))[len(array_agg(n_pred)) // 2 + 1] AS median FROM {records} GROUP BY status")
 def _(t: Tables) -> DataFrame:
-    return t.records.groupBy("status").agg(G.upper_median(F.col("n_pred")).alias("median"))
+    return t.records.groupBy("status").agg(G.upper_median("n_pred").alias("median"))
 
 
 @query("agg_match_mix", "SELECT count(*) FILTER (WHERE score >= 0.99) AS full_, count(*) FILTER (WHERE score > 0.3 AND score < 0.99) AS partial_, count(*) FILTER (WHERE coalesce(score, 0) <= 0.3) AS none_ FROM {matches}")
@@ -288,7 +288,7 @@ def _(t: Tables) -> DataFrame:
 @query("win_row_split", "SELECT id, CASE WHEN row_number() OVER (ORDER BY md5(concat('42|', id)), id) <= least(greatest(50, 1), (SELECT count(*) FROM {papers}) - 1) THEN 'val' ELSE 'train' END AS split FROM {papers}")
 def _(t: Tables) -> DataFrame:
     n = t.papers.count()
-    rows = R.global_index(t.papers.select("id"), R.shuffled_order(42, F.col("id")))
+    rows = R.positions(t.papers.select("id"), R.shuffled_order(42, F.col("id")))
     return rows.select("id", F.when(F.col("index") < min(max(50, 1), n - 1), "val").otherwise("train").alias("split"))
 
 
@@ -430,11 +430,12 @@ def _(t: Tables) -> DataFrame:
 
 
 def _sums(t: Tables, parts: DataFrame) -> DataFrame:
-    return parts.join(t.rollouts.select((F.col("uid") % 16).alias("batch"), F.concat_ws("-", "uid", "idx").alias("key"), "len"), ["batch", "key"]).groupBy("batch", "part").agg(F.sum("len").alias("tokens"))
+    return parts.join(_batch(t), ["batch", "key"]).groupBy("batch", "part").agg(F.sum("len").alias("tokens"))
 
 
 def _batch(t: Tables) -> DataFrame:
-    return t.rollouts.select((F.col("uid") % 16).alias("batch"), F.concat_ws("-", "uid", "idx").alias("key"), "len")
+    """A training step has the responses of 256 neighbouring prompt numbers, however many prompts there are."""
+    return t.rollouts.select(F.floor(F.col("uid") / 256).alias("batch"), F.concat_ws("-", "uid", "idx").alias("key"), "len")
 
 
 @query("bal_karmarkar_karp")

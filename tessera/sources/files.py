@@ -31,6 +31,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(p)] if files.exists(p) else []
+
+
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
     """One JSON object per line.  Strict: a bad line raises.  Otherwise bad lines are left out and a missing path is empty."""
     if not strict and not exists(spark, path):
@@ -40,10 +47,10 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bo
 
 def percent_slice(df: DataFrame, order: Sequence[Column], low: int, high: int) -> DataFrame:
     """Rows from low to high percent of an order."""
-    from tessera.operators.relational import global_index
+    from tessera.operators.ordering import positions
 
     n = df.count()
-    return global_index(df, order, "__i").filter((F.col("__i") >= n * low // 100) & (F.col("__i") < n * high // 100)).drop("__i")
+    return positions(df, order, "__i").filter((F.col("__i") >= n * low // 100) & (F.col("__i") < n * high // 100)).drop("__i")
 
 
 def nested(df: DataFrame, keys: Sequence[str]) -> Column:

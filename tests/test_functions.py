@@ -119,12 +119,6 @@ def test_hstack_conflict(spark):
         R.hstack(a, a.withColumn("x", F.lit(2.0)), "i").collect()
 
 
-def test_global_index(spark):
-    rows = spark.range(1000).withColumn("k", F.md5(F.col("id").cast("string")))
-    got = {r["k"]: r["index"] for r in R.with_index(rows, [F.col("k")]).collect()}
-    assert got == {k: i for i, k in enumerate(sorted(got))}
-
-
 def test_balanced(spark):
     rows = spark.createDataFrame([(0, i, n) for i, n in enumerate([9, 8, 7, 6, 5, 4, 3, 2])], "b long, k long, n long")
     parts = B.balanced(rows, ["b"], "k", "n", 2).join(rows, ["b", "k"]).groupBy("part").agg(F.sum("n").alias("s"), F.count("*").alias("c")).collect()
