@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, give_back, table, text_of
-from tessera.llm.graph import components
+from tessera.llm.graph import components, of_one_id
 
 WORDS = 5
 BANDS, ROWS = 32, 8
@@ -118,38 +118,48 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return _texts(docs).mapInArrow(run, "doc_id long, n long, s0 long, s1 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (sorted hashes) of the documents that ids (column id) names."""
-    few = bounded(ids, BROADCAST_IDS)
-    chosen = _texts(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id") == ids["id"], "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, set (sorted hashes) of the classes wanted: cid, rep, s0, s1.
+
+    The texts of the doc_ids rep are read again; of rows with one doc_id, those
+    whose set is the class's count."""
+    ids = wanted.select("rep").distinct()
+    chosen = _texts(docs).join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, F.col("doc_id") == ids["rep"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                got = [shingles(x).view(np.int64) for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(got)], names=["id", "set"])
+                got = [shingles(x) for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+                pair = np.frombuffer(b"".join(hashlib.md5(x.tobytes()).digest() for x in got), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), _lists([x.view(np.int64) for x in got])], names=["h0", "h1", "set"])
         give_back()
 
-    return chosen.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    sets = chosen.select("text").mapInArrow(run, "h0 long, h1 long, set array<long>").dropDuplicates(["h0", "h1"])
+    return wanted.join(sets, (F.col("s0") == F.col("h0")) & (F.col("s1") == F.col("h1"))).select("cid", "set")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, with set sizes na, nb) whose sets are at least so alike."""
+def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b: doc_ids) of the pairs of classes (ca, cb: their cids; a, b; na, nb: set sizes) whose sets are at least so alike."""
     pairs = table(pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = table(sets_of(docs, table(ids, "ids")), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    cids = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
+    sets = table(sets_of(docs, table(_named(reps, cids), "ids")), "sets")
+    both = pairs.join(sets.select(F.col("cid").alias("ca"), F.col("set").alias("sa")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("set").alias("sb")), "cb")
     shared = F.size(F.array_intersect("sa", "sb"))
     scored = both.select("a", "b", "na", "nb", shared.alias("shared"))
     return table(scored.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b"), "links")
 
 
+def _named(reps: DataFrame, cids: DataFrame) -> DataFrame:
+    """cid, rep, s0, s1 of the classes whose cid is in cids (column c)."""
+    return reps.select("cid", "rep", "s0", "s1").join(cids, F.col("cid") == F.col("c"), "left_semi")
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join different labels within buckets (band, key).
 
-    rows: rep, n, label, band, key, blocks, set."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows: cid, rep, n, label, band, key, blocks, set."""
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("rep", "n", "label", "set", "band", "key", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
 
@@ -194,37 +204,43 @@ def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int =
     """doc_id, n_shingles, component_id, kept of every document.
 
     Links are pairs with 100 * intersection >= percent * union.  Documents
-    without words have empty sets and link with nothing.  Rows of equal text,
-    or of one doc_id, are in one component; rows without doc_id have no
-    component and are kept.
+    without words have empty sets and link with nothing.  Rows of equal text
+    are in one component, and so are rows of one doc_id, each linked by its own
+    text; rows without doc_id have no component and are kept.  Whole texts
+    count, however long; an empty table gives no rows.
     """
     signed = table(signatures(docs, bands, rows), "signed")
     worded = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = table(worded.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    entries = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    held = table(entries.join(buckets, ["band", "key"]).select("rep", "n", "band", "key", F.col("least.rep").alias("least"), F.col("least.n").alias("nl")), "buckets")
-    stars = held.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb"))
-    links = linked(docs, stars, percent)
+    reps = worded.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = table(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")  # different classes of one doc_id have the same rep
+    entries = reps.select("cid", "rep", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = entries.groupBy("band", "key").agg(F.min(F.struct("rep", "cid", "n")).alias("least"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    held = table(entries.join(buckets, ["band", "key"]).select("cid", "rep", "n", "band", "key", F.col("least.cid").alias("lc"), F.col("least.rep").alias("least"), F.col("least.n").alias("nl")), "buckets")
+    stars = held.filter("cid <> lc").select(F.col("lc").alias("ca"), F.col("cid").alias("cb"), F.col("least").alias("a"), F.col("rep").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb"))
+    links = linked(docs, reps, stars, percent)
+
+    own = signed.join(reps.select(F.col("s0").alias("r0"), F.col("s1").alias("r1"), "rep"), (F.col("s0") == F.col("r0")) & (F.col("s1") == F.col("r1")) & (F.col("n") > 0), "left")
+    own = table(own.select("doc_id", "n", "rep"), "rows")
+    links = table(links.unionByName(of_one_id(own.select(F.col("doc_id").alias("id"), "rep"))), "links_and_ids")
     found = table(components(links), "components")
 
     # Buckets that still hold different components: compare across these.
-    labelled = table(held.join(found, held["rep"] == found["node"], "left").select("rep", "n", "band", "key", F.coalesce("label", "rep").alias("label")), "labelled")
+    labelled = table(held.join(found, held["rep"] == found["node"], "left").select("cid", "rep", "n", "band", "key", F.coalesce("label", "rep").alias("label")), "labelled")
     totals = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     left = table(labelled.join(totals.filter("lo <> hi AND members > 2").select("band", "key", "blocks"), ["band", "key"]), "open")
-    sets = table(sets_of(docs, table(left.select(F.col("rep").alias("id")).distinct(), "open_ids")), "open_sets")
-    more = table(across(left.join(sets, left["rep"] == sets["id"]).drop("id"), percent), "more_links")
+    sets = table(sets_of(docs, table(_named(reps, left.select(F.col("cid").alias("c")).distinct()), "open_ids")).withColumnRenamed("cid", "c"), "open_sets")
+    more = table(across(left.join(sets, left["cid"] == sets["c"]).drop("c"), percent), "more_links")
     if not more.isEmpty():
         found = table(components(links.unionByName(more)), "components")
 
-    own = signed.join(reps.select(F.col("s0").alias("r0"), F.col("s1").alias("r1"), "rep"), (F.col("s0") == F.col("r0")) & (F.col("s1") == F.col("r1")) & (F.col("n") > 0), "left")
-    own = own.join(found, F.col("rep") == F.col("node"), "left")
+    own = own.join(found, F.coalesce("rep", "doc_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     out = own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs without the documents that aren't their component's smallest."""
+    """docs without the documents that aren't their component's smallest; same columns.
+    Rows of one doc_id are one document, and stay or go together."""
     gone = table(classes(docs, percent, bands, rows).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(F.broadcast(gone) if bounded(gone, BROADCAST_IDS) else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

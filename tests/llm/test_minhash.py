@@ -72,6 +72,16 @@ def test_near_copies(spark, monkeypatch):
     assert run(docs) == brute(rows)
 
 
+def test_a_doc_id_with_different_texts(spark):
+    """Every row is linked by its own text, and the rows of one doc_id are one document."""
+    r = random.Random(4)
+    words = ["v%d" % i for i in range(900)]
+    a, b, c = (" ".join(r.sample(words, 100)) for _ in range(3))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, c), (9, c + " more"), (9, ""), (8, None), (None, a), (10, ""), (10, "")]
+    for some in (rows, rows[::-1], [(12 - d if d else d, t) for d, t in rows]):
+        assert run(spark.createDataFrame(some, "doc_id long, text string")) == brute(some)
+
+
 def test_signature_estimates_similarity():
     family, noise = minhash.Circulant(), np.random.default_rng(0)
     a = noise.integers(0, 2**63, 1000, dtype=np.uint64)
