@@ -7,7 +7,9 @@ its smallest document; a line goes if its key is long enough, has at least two
 documents and this is not the smallest.
 
 The keys that have at least two documents are also held as 16-bit
-fingerprints in cuckoo filters, one for each shard of the hash space.  A filter never
+fingerprints in cuckoo filters, one for each shard of the hash space.  References
+are dealt to their shards, busy shards in several parts, and each part meets its
+shard's filter alone, so that no task ever holds all filters.  A filter never
 misses a key that it holds, so a reference that its filter denies is unique and
 needs no look at the exact table: that spares most references the join.  Filters
 support deletion, and `LineIndex` keeps references and removals as batches, so
@@ -27,14 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, table, text_of
+from tessera.llm.common import bounded, give_back, table, text_of
+from tessera.sources.files import children, exists
 
 LEAST_CHARS = 10
 STRIPPED = b" \t\n\x0b\x0c\r"
 #: Keys for each shard's filter, about.
 SHARD_KEYS = 100_000
-#: Filters of at most so many bytes go to the tasks that look keys up; if there is more, all references take the exact join.
-FILTER_BYTES = 64 << 20
+#: References of one part of a shard, about.
+PART_REFERENCES = 1_000_000
+#: At most so many shards' numbers of parts are broadcast.
+BROADCAST_SHARDS = 200_000
 
 KEY_SCHEMA = "doc_id long, hi long, lo long, lines long"
 
@@ -103,40 +108,60 @@ class Cuckoo:
     def turn(self, mark: np.ndarray) -> np.ndarray:
         return (mark.astype(np.uint64) * np.uint64(0x5BD1E995)) & np.uint64(len(self.table) - 1)
 
+    @staticmethod
+    def _ranks(*keys: np.ndarray) -> np.ndarray:
+        """How many equal ones stand before each."""
+        order = np.lexsort(keys)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        heads = np.flatnonzero(new)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(len(order)) - np.repeat(heads, np.diff(np.r_[heads, len(order)]))
+        return out
+
+    def _put(self, place: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Marks into free slots of their buckets; True for those that found one."""
+        free = self.table[place] == 0
+        slots, rank = np.argsort(~free, 1, kind="stable"), self._ranks(place)
+        fits = np.flatnonzero(rank < free.sum(1))
+        self.table[place[fits], slots[fits, rank[fits]]] = marks[fits]
+        done = np.zeros(len(place), bool)
+        done[fits] = True
+        return done
+
     def insert(self, hi: np.ndarray, lo: np.ndarray) -> None:
-        """Raises OverflowError if the table is too full; nothing is lost then, as the caller still has the keys."""
+        """All at once into free slots, those that are left over by kicking others out.  Raises OverflowError if
+        the table is too full; nothing is lost then, as the caller still has the keys."""
         marks = self.fingerprint(hi)
         first, second = self.places(lo, marks)
+        rest = ~self._put(first, marks)
+        marks, first, second = marks[rest], first[rest], second[rest]
+        rest = ~self._put(second, marks)
         cells, kick = self.table, np.random.default_rng(len(marks))
-        for mark, a, b in zip(marks.tolist(), first.tolist(), second.tolist(), strict=True):
-            for place in (a, b):
+        for mark, place in zip(marks[rest].tolist(), second[rest].tolist(), strict=True):
+            for _ in range(self.KICKS):
+                slot = int(kick.integers(self.SLOTS))
+                mark, cells[place, slot] = int(cells[place, slot]), mark
+                place ^= int(self.turn(np.array([mark], np.uint16))[0])
                 free = np.flatnonzero(cells[place] == 0)
                 if len(free):
                     cells[place, free[0]] = mark
                     break
             else:
-                place = b
-                for _ in range(self.KICKS):
-                    slot = int(kick.integers(self.SLOTS))
-                    mark, cells[place, slot] = int(cells[place, slot]), mark
-                    place ^= int(self.turn(np.array([mark], np.uint16))[0])
-                    free = np.flatnonzero(cells[place] == 0)
-                    if len(free):
-                        cells[place, free[0]] = mark
-                        break
-                else:
-                    raise OverflowError("the cuckoo filter is full")
+                raise OverflowError("the cuckoo filter is full")
 
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
-        """Of keys that were inserted."""
+        """Of keys that were inserted.  Keys that share a mark and a bucket share both buckets, so any of their slots will do."""
         marks = self.fingerprint(hi)
-        first, second = self.places(lo, marks)
-        for mark, a, b in zip(marks.tolist(), first.tolist(), second.tolist(), strict=True):
-            for place in (a, b):
-                held = np.flatnonzero(self.table[place] == mark)
-                if len(held):
-                    self.table[place, held[0]] = 0
-                    break
+        left = np.arange(len(marks))
+        for place in self.places(lo, marks):
+            held = self.table[place[left]] == marks[left, None]
+            slots, rank = np.argsort(~held, 1, kind="stable"), self._ranks(place[left], marks[left])
+            found = rank < held.sum(1)
+            self.table[place[left[found]], slots[found, rank[found]]] = 0
+            left = left[~found]
 
     def holds(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """True for all keys that it holds, and for few others."""
@@ -179,26 +204,26 @@ def filters(repeated: DataFrame, shards: int) -> DataFrame:
     return repeated.select("hi", "lo", shard(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def suspected(refs: DataFrame, built: DataFrame, shards: int, limit: int = FILTER_BYTES) -> DataFrame:
-    """The references that the filters don't rule out.  If the filters are too
-    large to send to the tasks: all references."""
-    if (built.agg(F.sum(F.length("filter"))).first()[0] or 0) > limit:
-        return refs
-    sent = refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built.collect()})
+def suspected(refs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
+    """doc_id, hi, lo of the references that the filters don't rule out."""
+    dealt = refs.select("doc_id", "hi", "lo", shard(shards).alias("shard"))
+    parts = dealt.groupBy("shard").agg(F.ceil(F.count("*") / PART_REFERENCES).cast("int").alias("parts")).filter("parts > 1")
+    parts = table(parts.withColumnRenamed("shard", "__shard"), "parts")
+    parts = F.broadcast(parts) if bounded(parts, BROADCAST_SHARDS) else parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: Cuckoo.from_bytes(v) for k, v in sent.value.items()}
-        for batch in batches:
-            hi, lo = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hi", "lo"))
-            own = lo % shards
-            maybe = np.zeros(len(hi), bool)
-            for k in np.unique(own):
-                if k in held:
-                    rows = np.flatnonzero(own == k)
-                    maybe[rows] = held[k].holds(hi[rows], lo[rows])
-            yield batch.filter(pa.array(maybe))
+    def with_parts(df: DataFrame) -> DataFrame:
+        return df.join(parts, F.col("shard") == F.col("__shard"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("__shard")
 
-    return refs.mapInArrow(run, refs.schema)
+    left = with_parts(dealt).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+    right = with_parts(built).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def look(own: pa.Table, held: pa.Table) -> pa.Table:
+        if not held.num_rows:  # a shard without repeated keys
+            return own.select(["doc_id", "hi", "lo"]).slice(0, 0)
+        maybe = Cuckoo.from_bytes(held.column("filter")[0].as_py()).holds(own.column("hi").to_numpy(), own.column("lo").to_numpy())
+        return own.select(["doc_id", "hi", "lo"]).filter(pa.array(maybe))
+
+    return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(look, "doc_id long, hi long, lo long")
 
 
 def dropped_keys(docs: DataFrame) -> DataFrame:
@@ -280,40 +305,55 @@ class LineIndex:
 
     insert() and delete() only write what is new; refresh() recounts the keys
     and changes the filters by the keys that gained or lost their second
-    document.
+    document.  All state is in the folder, so an index can be opened again
+    there; what an interrupted call left is not counted, and its number not
+    used again.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 1) -> None:
-        self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
-        self.batches = self.refreshes = 0
-        self.removals = False
+        self.spark, self.path = spark, path.rstrip("/")
+        known = [int(x.removeprefix("shards=")) for x in children(spark, self.path) if x.startswith("shards=")]
+        if not known:
+            spark.range(1).write.parquet(f"{self.path}/shards={shards}")
+        self.shards = known[0] if known else shards
+
+    def _numbers(self, *kinds: str, whole: bool) -> list[int]:
+        """Numbers of a kind's subfolders: all, or those that were written to their end in every kind."""
+        seen = [{int(x.removeprefix("batch=")) for x in children(self.spark, f"{self.path}/{k}") if not whole or exists(self.spark, f"{self.path}/{k}/{x}/_SUCCESS")} for k in kinds]
+        return sorted(set.intersection(*seen) if whole else set.union(*seen))
+
+    def _next(self, *kinds: str) -> int:
+        return max(self._numbers(*kinds, whole=False), default=0) + 1
 
     def insert(self, docs: DataFrame) -> None:
-        self.batches += 1
-        references(docs).write.parquet(f"{self.path}/references/batch={self.batches}")
+        references(docs).write.parquet(f"{self.path}/references/batch={self._next('references', 'removals')}")
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes back all references that these doc_ids have so far."""
-        self.batches += 1
-        self.removals = True
-        doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.parquet(f"{self.path}/removals/batch={self.batches}")
+        doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.parquet(f"{self.path}/removals/batch={self._next('references', 'removals')}")
+
+    def _read(self, kind: str, schema: str) -> DataFrame | None:
+        folders = [f"{self.path}/{kind}/batch={i}" for i in self._numbers(kind, whole=True)]
+        return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.path}/{kind}").parquet(*folders) if folders else None
 
     def references(self) -> DataFrame:
         """Those that are not taken back."""
-        refs = self.spark.read.option("basePath", f"{self.path}/references").parquet(f"{self.path}/references")
-        if self.removals:
-            gone = self.spark.read.option("basePath", f"{self.path}/removals").parquet(f"{self.path}/removals")
+        refs = self._read("references", KEY_SCHEMA)
+        if refs is None:
+            return self.spark.createDataFrame([], "doc_id long, hi long, lo long")
+        gone = self._read("removals", "doc_id long")
+        if gone is not None:
             gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.max("batch").alias("__at"))
             refs = refs.join(gone, (refs["doc_id"] == gone["__doc"]) & (refs["batch"] < gone["__at"]), "left_anti")
         return refs.select("doc_id", "hi", "lo").distinct()
 
     def refresh(self) -> DataFrame:
         """The exact table of keys with at least two documents."""
-        before, self.refreshes = self.refreshes, self.refreshes + 1
-        counted(self.references()).filter("least <> most").write.parquet(f"{self.path}/repeated/{self.refreshes}")
-        now = self.repeated()
+        before, number = max(self._numbers("repeated", "filters", whole=True), default=0), self._next("repeated", "filters")
+        counted(self.references()).filter("least <> most").write.parquet(f"{self.path}/repeated/{number}")
+        now = self.spark.read.parquet(f"{self.path}/repeated/{number}")
         if not before:
-            filters(now, self.shards).write.parquet(f"{self.path}/filters/{self.refreshes}")
+            filters(now, self.shards).write.parquet(f"{self.path}/filters/{number}")
             return now
         old = self.spark.read.parquet(f"{self.path}/repeated/{before}")
         came = now.join(old, ["hi", "lo"], "left_anti").select("hi", "lo", F.lit(1).alias("sign"))
@@ -344,17 +384,20 @@ class LineIndex:
         after = held.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, "shard int, filter binary")
         if after.filter(F.length("filter") == 0).limit(1).count():
             after = filters(now, self.shards)
-        after.write.parquet(f"{self.path}/filters/{self.refreshes}")
+        after.write.parquet(f"{self.path}/filters/{number}")
         return now
 
+    def _last(self, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{kind}/{max(self._numbers('repeated', 'filters', whole=True))}")
+
     def repeated(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/repeated/{self.refreshes}")
+        return self._last("repeated")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters/{self.refreshes}")
+        return self._last("filters")
 
     def losing(self) -> DataFrame:
-        """doc_id, hi, lo of the references whose lines go, as of the last refresh()."""
+        """doc_id, hi, lo of the references whose lines go, by the keys of the last refresh()."""
         maybe = suspected(self.references(), self.filters(), self.shards)
         return maybe.join(self.repeated().select("hi", "lo", "least"), ["hi", "lo"]).filter("doc_id <> least").select("doc_id", "hi", "lo")
 
