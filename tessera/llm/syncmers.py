@@ -1,38 +1,38 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text's symbols are its words (runs without white space), long ones cut into
-pieces of `PIECE` code points from their start.  Of every `K` symbols in a
-row, the hashes of the inner runs of `S` symbols are compared; the k-mer is an
-anchor if the least of them is the first or the last one.  That depends on
-the k-mer alone, so equal passages have equal anchors wherever they stand, and
-every K - S + 1 k-mers in a row have one at least.  A text with fewer than K
-symbols is one anchor, its whole symbols; a text without symbols has none.
-
-The fingerprint lists the anchors' 32-bit hashes in hexadecimal, in the text's
-order, so that two lists can be matched by position.  The likeness of two
-fingerprints is 2 * shared / (size + size) over their different anchors, 1 for
-two empty ones: a text whose second half is replaced keeps about 0.5.
+A text's symbols are its code points.  Of every `K` symbols in a row, the hashes
+of the inner runs of `S` symbols are compared; the k-mer is an anchor if the
+least of them is the first or the last one.  That depends on the k-mer alone,
+so equal passages have equal anchors wherever they stand, with or without
+spaces, and every K - S + 1 k-mers in a row have one at least.  For the same reason a
+long text can be taken in pieces that overlap by K - 1, each a bounded array.
+A text with fewer than K symbols is one anchor, its whole text; an empty text
+has none.
+
+The fingerprint lists the anchors in the text's order, each as 8 hexadecimal
+digits of its hash and 2 of the distance from the anchor before (of the first
+one: from the beginning), so it gives their positions.  Two fingerprints are
+matched by position: an anchor of one matches an anchor of the other if the hashes, the next
+anchors' hashes and the distances to these are equal.  The likeness is
+2 * matching / (size + size) over the different ones, 1 for two empty
+fingerprints: a text whose second half is replaced keeps about 0.5.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, table, text_of
+from tessera.llm.common import table, text_of
 
-K, S, PIECE = 8, 3, 24
-#: Rows of one bucket of neighbouring documents, about.
-BUCKET_ROWS = 2_000
+K, S = 36, 4
+#: Code points of a text that are looked at together.
+PIECE = 1 << 16
+#: Rows of one bucket of neighbouring documents, about; buckets at most (more documents make longer buckets, which spill); sampled keys for each.
+BUCKET_ROWS, BUCKETS, SAMPLED = 2_000, 20_000, 32
 
-
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The anchors' hashes in order, an array of int."""
-    inner = k - s + 1  # inner runs of a k-mer
-    pieces = F.regexp_replace(text, f"([^{SPACE}]{{{PIECE}}})(?=[^{SPACE}])", "$1 ")
-    symbols = F.filter(F.split(pieces, f"[{SPACE}]+"), lambda x: x != "")
-    hashes = F.transform(symbols, lambda x: F.xxhash64(x))
-    return _selected(hashes, k, s, inner)
+_LOW = 0xFFFFFFFF
 
 
 def _let(value: Column, body) -> Column:
@@ -40,61 +40,127 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _selected(hashes: Column, k: int, s: int, inner: int) -> Column:
-    def from_hashes(h: Column) -> Column:
-        n = F.size(h)
-        short = F.when(n > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
+def _pairwise(values: Column, step: int, join) -> Column:
+    """join(value, the value `step` places on), at every place; the last ones have none and are not used."""
+    return F.transform(values, lambda x, i: join(x, F.get(values, i + step)))
+
+
+def _runs(symbols: Column, s: int, body) -> Column:
+    """body(hashes of all runs of s symbols), s a power of two: a run's hash is made from its halves' hashes."""
+    if s == 1:
+        return _let(F.transform(symbols, lambda c: F.xxhash64(c)), body)
+    return _runs(symbols, s // 2, lambda h: _let(_pairwise(h, s // 2, F.xxhash64), body))
+
+
+def _least(values: Column, width: int, body) -> Column:
+    """body(f), where f(i) is the least of `width` values from place i on: two overlapping powers of two."""
+
+    def grow(values: Column, have: int) -> Column:
+        if 2 * have > width:
+            return body(lambda i: F.least(F.get(values, i), F.get(values, i + width - have)))
+        return _let(_pairwise(values, have, F.least), lambda v: grow(v, 2 * have))
+
+    return grow(values, 1)
+
+
+def _anchors_of(text: Column, offset: Column, k: int, s: int) -> Column:
+    """Anchors of a text's k-mers, each as position << 32 | hash, positions counted from offset."""
+    last = k - s  # of a k-mer's inner runs
+
+    def chosen(runs: Column) -> Column:
+        def edges(least) -> Column:
+            kmers = F.sequence(F.lit(0), F.size(runs) - k)
+            edge = F.filter(kmers, lambda i: F.least(F.get(runs, i), F.get(runs, i + last)) <= least(i + 1))
+            covering = [*range(0, last, s), last]
+            return F.transform(edge, lambda i: F.shiftleft(i.cast("long") + offset, 32).bitwiseOR(F.xxhash64(*(F.get(runs, i + j) for j in covering)).bitwiseAND(F.lit(_LOW))))
+
+        return _least(runs, last - 1, edges)
 
-        def from_runs(m: Column) -> Column:
-            def chosen(i: Column) -> Column:
-                window = [F.get(m, i + j) for j in range(inner)]
-                least = F.least(*window[1:-1])
-                first, last = window[0], window[-1]
-                return F.least(first, last) <= least
+    return F.when(F.length(text) >= k, _runs(F.split(text, ""), s, chosen)).otherwise(F.array().cast("array<bigint>"))
 
-            starts = F.filter(F.sequence(F.lit(0), n - k), chosen)
-            return F.transform(starts, lambda i: F.hash(*(F.get(h, i + j) for j in range(k))))
 
-        runs = F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s))))
-        return F.when(n >= k, _let(runs, from_runs)).otherwise(short)
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """The anchors in order, an array of long: position << 32 | 32-bit hash."""
+    n = F.length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)), F.lit(PIECE)), lambda i: _anchors_of(F.substring(text, i + 1, F.lit(PIECE + k - 1)), i.cast("long"), k, s))
+    return F.when(n >= k, F.flatten(pieces)).when(n > 0, F.array(_short(text))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _short(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(_LOW))
+
+
+def _position(mark: Column) -> Column:
+    return F.shiftright(mark, 32)
+
 
-    return _let(hashes, from_hashes)
+def edited_anchors(marks: Column, next_marks: Column, edited: Column, keep: Column, taken: Column, k: int = K, s: int = S) -> Column:
+    """anchors(edited) of a text of `keep` code points from one text and `taken` from the beginning
+    of the next, from the anchors of both: only k-mers across the seam are looked at."""
+    n = keep + taken
+    first = F.greatest(keep - (k - 1), F.lit(0))
+    seam = _anchors_of(F.substring(edited, first + 1, F.lit(2 * (k - 1))), first.cast("long"), k, s)
+    before = F.filter(marks, lambda m: _position(m) <= keep - k)
+    after = F.transform(F.filter(next_marks, lambda m: _position(m) <= taken - k), lambda m: m + F.shiftleft(keep.cast("long"), 32))
+    return F.when(n >= k, F.concat(before, seam, after)).when(n > 0, F.array(_short(edited))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprint(marks: Column) -> Column:
     """The anchors as text."""
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    gap = lambda m, i: _position(m) - F.when(i > 0, _position(F.get(marks, i - 1))).otherwise(F.lit(0).cast("long"))
+    return F.array_join(F.transform(marks, lambda m, i: F.concat(digits(m.bitwiseAND(F.lit(_LOW)), 8), digits(gap(m, i), 2))), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of anchors, 0 to 1."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    total = F.size(x) + F.size(y)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+def places(marks: Column) -> Column:
+    """Per anchor, a hash of it, the next anchor and the distance between them; of the last one, of it alone."""
+
+    def one(m: Column, i: Column) -> Column:
+        after = F.get(marks, i + 1)
+        return F.xxhash64(m.bitwiseAND(F.lit(_LOW)), after.bitwiseAND(F.lit(_LOW)), _position(after) - _position(m))
 
+    return F.array_distinct(F.transform(marks, one))
 
-def _bucketed(docs: DataFrame, rows: int) -> DataFrame:
-    """docs with __bucket, runs of neighbouring doc_ids from the largest down, and
-    each bucket's successor as a __ghost row at its end."""
-    ids = table(docs.select("doc_id"), "ids")
-    n = ids.count()
-    parts = max(1, min(10_000, n // rows))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))  # at most 10,000 numbers, however many documents there are
-    coarse = max(1, int(len(cuts) ** 0.5))
-    tops = cuts[::coarse]
-    literal = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
 
-    def bucket(x: Column) -> Column:
-        """How many cuts are at or above x, so that the largest ids come first; null last."""
-        if not cuts:
-            return F.lit(0)
-        block = F.size(F.filter(literal(tops), lambda c: c < x))
-        inside = F.size(F.filter(F.slice(literal(cuts), F.greatest(block - 1, F.lit(0)) * coarse + 1, coarse), lambda c: c < x))
-        below = F.when(block == 0, 0).otherwise((block - 1) * coarse + inside)
-        return F.coalesce(len(cuts) - below, F.lit(len(cuts) + 1))
+def likeness(a: Column, b: Column) -> Column:
+    """Of two arrays of places(), 0 to 1."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+
 
-    return docs.withColumn("__bucket", bucket(docs["doc_id"]).cast("int"))
+def _bucket(keys: DataFrame, n: int, rows: int):
+    """A function that gives each (neg, tie) its bucket: how many cuts are at or below it.  Cuts are keys of
+    a sample; every row finds its bucket by its own key alone."""
+    parts = min(BUCKETS, n // rows)
+    if parts < 2:
+        return lambda key: F.lit(0)
+    sampled = keys.select("neg", "tie").sample(min(1.0, SAMPLED * parts / n), 5).toArrow()
+    sampled = np.unique(np.array([sampled.column("neg").to_numpy(), sampled.column("tie").to_numpy()]).T, axis=0)
+    step = max(1, len(sampled) // parts)
+    cuts = sampled[step::step]
+    wide = max(1, int(len(cuts) ** 0.5))
+    literal = lambda c: F.arrays_zip(*(F.lit(np.ascontiguousarray(c[:, i])).alias(name) for i, name in enumerate(("neg", "tie"))))
+    if not len(cuts):
+        return lambda key: F.lit(0)
+
+    def found(key: Column) -> Column:
+        block = F.size(F.filter(literal(cuts[::wide]), lambda c: c <= key))
+        inside = F.size(F.filter(F.slice(literal(cuts), F.greatest(block - 1, F.lit(0)) * wide + 1, wide), lambda c: c <= key))
+        return F.when(block == 0, 0).otherwise((block - 1) * wide + inside)
+
+    return found
+
+
+def _whole_rows(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts with __copies: rows that are alike in doc_id and text as one row.  Only such rows are gathered, after partial aggregation."""
+    same = ["neg", "tie", "tie2"]
+    repeated = table(keys.groupBy(*same).count().filter("count > 1").select(*(F.col(c).alias(f"r_{c}") for c in same)), "repeated")
+    on = [texts[c] == repeated[f"r_{c}"] for c in same]
+    single = texts.withColumn("copies", F.lit(1).cast("long"))
+    if repeated.isEmpty():
+        return single
+    gathered = texts.join(repeated, on, "left_semi").groupBy("doc_id", *same).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return single.join(repeated, [single[c] == repeated[f"r_{c}"] for c in same], "left_anti").unionByName(gathered)
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -105,34 +171,43 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUC
     are ordered by their texts' hash.  The edited text has its last half
     replaced by the beginning of the next document's, or all of it if that is
     shorter; the last document is followed by the first, a single document
-    by itself.  A null text counts as empty.
+    by itself.  A null text counts as empty; an empty table gives no rows.
 
-    The texts move once: to buckets of neighbouring documents.  Each bucket
+    The texts move once: to buckets of neighbouring documents, cut by doc_id and
+    the text's hash, so that many rows of one doc_id are dealt out too.  Each bucket
     also gets a copy of the first document of the next one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    placed = _bucketed(texts, bucket_rows).withColumn("__tie", F.xxhash64("text"))
-    rank = F.struct((-F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))).alias("__neg"), "__tie")
+    texts = texts.withColumn("neg", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("tie", F.xxhash64("text")).withColumn("tie2", F.xxhash64(F.lit(1), "text"))
+    keys = table(texts.select("neg", "tie", "tie2"), "keys")
+    rank = F.struct("neg", "tie")
+    bucket = _bucket(keys, keys.count(), bucket_rows)
     # The first document of each bucket, and the bucket before it, the first one following the last.
-    heads = table(placed.groupBy("__bucket").agg(F.min(rank).alias("__head")), "heads")
-    order = Window.orderBy("__bucket")
-    backward = heads.select("__head", "__bucket", F.lag("__bucket").over(order).alias("__before"), F.max("__bucket").over(Window.partitionBy()).alias("__last"))
-    backward = backward.select(F.col("__head.__neg").alias("__hn"), F.col("__head.__tie").alias("__ht"), F.coalesce("__before", "__last").alias("__to"), F.col("__bucket").alias("__hb"))
-    backward = F.broadcast(table(backward, "backward"))  # a row per bucket, at most 10,002
-    keyed = placed.withColumn("__neg", rank["__neg"])
-    found = keyed.join(backward, (F.col("__bucket") == F.col("__hb")) & (F.col("__neg") == F.col("__hn")) & (F.col("__tie") == F.col("__ht")), "left")
-    spread = found.select("doc_id", "text", "__neg", "__tie", F.explode(F.when(F.col("__to").isNull(), F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("g")))).otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("g")), F.struct(F.col("__to").alias("b"), F.lit(1).alias("g"))))).alias("__at"))
-    spread = spread.select("doc_id", "text", "__neg", "__tie", F.col("__at.b").alias("__bucket"), F.col("__at.g").alias("__ghost"))
-    row = Window.partitionBy("__bucket").orderBy("__ghost", "__neg", "__tie")
-    marked = spread.withColumn("__marks", anchors(F.col("text"), k, s))
-    paired = marked.withColumn("__next", F.lead("text").over(row)).withColumn("__next_marks", F.lead("__marks").over(row)).filter("__ghost = 0")
+    heads = keys.withColumn("__bucket", bucket(rank)).groupBy("__bucket").agg(F.min(F.struct("neg", "tie", "tie2")).alias("__head"))
+    order = Window.orderBy("__bucket")  # a row per bucket
+    backward = heads.select("__head", F.lag("__bucket").over(order).alias("__before"), F.max("__bucket").over(Window.partitionBy()).alias("__last"))
+    backward = table(backward.select(F.col("__head.neg").alias("h_neg"), F.col("__head.tie").alias("h_tie"), F.col("__head.tie2").alias("h_tie2"), F.coalesce("__before", "__last").alias("__to")), "backward")
+    whole = _whole_rows(texts, keys).withColumn("__bucket", bucket(rank))
+    found = whole.join(F.broadcast(backward), (F.col("neg") == F.col("h_neg")) & (F.col("tie") == F.col("h_tie")) & (F.col("tie2") == F.col("h_tie2")), "left")  # a row per bucket
+    place = lambda b, ghost: F.struct(F.col(b).alias("b"), F.lit(ghost).alias("g"))
+    spread = found.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(place("__bucket", 0))).otherwise(F.array(place("__bucket", 0), place("__to", 1)))))
+    spread = spread.select("doc_id", "text", "neg", "tie", "tie2", "copies", F.col("__at.b").alias("__bucket"), F.col("__at.g").alias("__ghost"))
+    marked = spread.repartition("__bucket").withColumn("marks", anchors(F.col("text"), k, s))
+    row = Window.partitionBy("__bucket").orderBy("__ghost", "neg", "tie", "tie2")
+    paired = marked.withColumn("next", F.lead("text").over(row)).withColumn("next_marks", F.lead("marks").over(row)).filter("__ghost = 0")
+    # Rows that are alike follow each other; the last of them has the next document.
+    own = F.struct(F.col("text").alias("text"), F.col("marks").alias("marks"))
+    after = F.struct(F.col("next").alias("text"), F.col("next_marks").alias("marks"))
+    paired = paired.select("doc_id", "text", "marks", F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.concat(F.array_repeat(own, F.col("copies").cast("int") - 1), F.array(after)))).alias("next"))
     n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(__next, length(text) div 2)"))
-    out = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("__edited"), "__marks", "__next_marks")
-    out = out.select("doc_id", "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "__marks", "__next_marks", anchors(F.col("__edited"), k, s).alias("__edited_marks"))
+    taken = F.least(F.expr("length(text) div 2").cast("int"), F.length("next.text"))
+    keep = n - F.expr("length(text) div 2").cast("int")
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next.text, length(text) div 2)"))
+    out = paired.select("doc_id", n.cast("long").alias("n_chars"), "marks", F.col("next.marks").alias("next_marks"), keep.alias("keep"), taken.alias("taken"), edited.alias("edited"))
+    out = out.select("doc_id", "n_chars", "marks", "next_marks", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), edited_anchors(F.col("marks"), F.col("next_marks"), F.col("edited"), F.col("keep"), F.col("taken"), k, s).alias("edited_marks"))
+    near = lambda a, b: _let(places(a), lambda x: likeness(x, places(b)))
     return out.select(
         "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("__marks")).alias("fingerprint"), fingerprint(F.col("__edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("__marks"), F.col("__edited_marks")).alias("near_edited"), likeness(F.col("__marks"), F.col("__next_marks")).alias("near_next"),
+        fingerprint(F.col("marks")).alias("fingerprint"), fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
+        near(F.col("marks"), F.col("edited_marks")).alias("near_edited"), near(F.col("marks"), F.col("next_marks")).alias("near_next"),
     )

@@ -4,37 +4,95 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import AWKWARD, sha
 from tessera.llm import syncmers as S
 
 
-def symbols(text):
+def xx(seed, *values):
+    """Spark's xxhash64 of texts and longs, from a seed."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def h(*values):
+    out = 42
+    for v in values:
+        out = xx(out % (1 << 64), v)
+    return out
+
+
+def anchors(text, k=S.K, s=S.S):
+    """(position, 32-bit hash) of every anchor, by the definition."""
+    if len(text) < k:
+        return [(0, h(text) % (1 << 32))] if text else []
+    runs, width = [h(c) for c in text], 1
+    while width < s:
+        runs = [h(a, b) for a, b in zip(runs, runs[width:], strict=False)]
+        width *= 2
     out = []
-    for w in re.split(r"[\x20\x09-\x0D]+", text):
-        out += [w[i : i + S.PIECE] for i in range(0, len(w), S.PIECE)]
+    for i in range(len(text) - k + 1):
+        inner = runs[i : i + k - s + 1]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, h(*(inner[j] for j in [*range(0, k - s, s), k - s])) % (1 << 32)))
     return out
 
 
-def test_symbols_and_anchor_count(spark):
-    texts = ["a b c", "", "x" * 100 + " yy", " ".join(f"w{i}" for i in range(500)), "é" * 30 + " " + "ü" * 24]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.anchors(F.col("t")).alias("m")).collect()
-    for r in rows:
-        n = len(symbols(r["t"]))
-        if n < S.K:
-            assert len(r["m"]) == (n > 0)
-        else:
-            assert (n - S.K + 1) / (S.K - S.S + 1) <= len(r["m"]) + 1 and len(r["m"]) <= n - S.K + 1
+def written(found):
+    gaps = [p - q for (p, _), (q, _) in zip(found, [(0, 0), *found], strict=False)]
+    return "".join(f"{x:08x}{g:02x}" for (_, x), g in zip(found, gaps, strict=True))
+
+
+def alike(a, b):
+    def places(found):
+        after = [(y, q - p) for (p, _), (q, y) in zip(found, found[1:], strict=False)]
+        return {(x, *z) for (_, x), z in zip(found, [*after, ()], strict=False)}
+
+    x, y = places(a), places(b)
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def model(rows):
+    """All columns of every row, by brute force."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h(r[1] or "")))
+    out = []
+    for i, (doc, text) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, other, following = anchors(text), anchors(edited), anchors(after)
+        out.append((doc, len(text), sha(edited), written(own), written(other), alike(own, other), alike(own, following)))
+    return sorted(out, key=repr)
+
+
+def mixed_texts(noise):
+    """Words, unspaced scripts, one letter again and again, all lengths around k."""
+    letters = ["abcdefgh ijkl", "漢字かな😀é", "01", "x", "the quick\n\tbrown fox "]
+    return ["".join(noise.choice(some) for _ in range(n)) for some in letters for n in (0, 1, S.K - 1, S.K, S.K + 1, 2 * S.K, 150, 900)]
+
 
+@pytest.mark.parametrize("piece", [S.PIECE, 7, 64])
+def test_anchors_against_the_definition(spark, monkeypatch, piece):
+    monkeypatch.setattr(S, "PIECE", piece)
+    texts = mixed_texts(random.Random(5))
+    got = [r["m"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", S.anchors(F.col("t")).alias("m")).orderBy("i").collect()]
+    assert [[(m >> 32, m % (1 << 32)) for m in row] for row in got] == [anchors(t) for t in texts]
+    for text, found in zip(texts, got, strict=True):  # every K - S + 1 k-mers in a row have an anchor
+        places = [-1, *(m >> 32 for m in found), len(text) - S.K + 1]
+        assert len(text) < S.K or all(q - p <= S.K - S.S + 1 for p, q in zip(places, places[1:], strict=False))
 
-def test_long_words_are_cut_all_along(spark):
-    noise = random.Random(5)
-    texts = ["".join(noise.choice("abcdefgh漢字かな😀é") for _ in range(n)) for n in (24, 25, 48, 49, 199, 10_000)]
-    texts += [texts[-1] + " some words\t" + texts[-2] + "\n" + texts[2], "x" * 10_000]
-    rows = spark.createDataFrame([(t, " ".join(symbols(t))) for t in texts], "t string, cut string").select("t", S.anchors(F.col("t")).alias("m"), S.anchors(F.col("cut")).alias("expected")).collect()
-    for r in rows:
-        assert r["m"] == r["expected"] and (len(r["m"]) > 50) == (len(r["t"]) >= 10_000)
+
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_every_column_against_brute_force(spark, awkward, bucket):
+    texts = mixed_texts(random.Random(9))
+    rows = list(enumerate(texts)) + [(3, t) for t in texts[10:20]] + [(4, texts[13])] * 5 + [(None, texts[7])] * 3 + [(None, texts[6]), (2, None), (2, "")]
+    for some in (rows, [r[:2] for r in AWKWARD]):
+        got = S.fingerprints(spark.createDataFrame(some, "doc_id long, text string").repartition(5), bucket_rows=bucket).collect()
+        assert sorted(map(tuple, got), key=repr) == model(some)
 
 
 def test_unspaced_text_stays_half_alike(spark):
@@ -45,29 +103,11 @@ def test_unspaced_text_stays_half_alike(spark):
 
 
 def test_anchors_need_no_context(spark):
-    core = " ".join(f"c{i}" for i in range(200))
-    rows = spark.createDataFrame([(core,), ("before words " + core,), (core + " after words",)], "t string").select(S.anchors(F.col("t")).alias("m")).collect()
-    first = set(rows[0]["m"])
-    assert first <= set(rows[1]["m"]) and first <= set(rows[2]["m"])
-
-
-def expected(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    out = {}
-    for i, (doc, text) in enumerate(order):
-        text, after = text or "", order[(i + 1) % len(order)][1] or ""
-        half = len(text) // 2
-        out.setdefault(doc, []).append((len(text), sha(text[: len(text) - half] + after[:half])))
-    return out
-
-
-@pytest.mark.parametrize("bucket", [1, 3, 1000])
-def test_edited_texts(awkward, bucket):
-    got = {}
-    for r in S.fingerprints(awkward, bucket_rows=bucket).collect():
-        got.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"]))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert got == expected([r[:2] for r in AWKWARD])
+    noise = random.Random(8)
+    for core in (" ".join(f"c{i}" for i in range(200)), "".join(noise.choice("漢字かなカナ仮名") for _ in range(900))):
+        rows = spark.createDataFrame([(core,), ("before " + core,), ("先" + core,), (core + " after",)], "t string").select(S.anchors(F.col("t")).alias("m")).collect()
+        first, *others = [[m % (1 << 32) for m in r["m"]] for r in rows]
+        assert all(set(first) <= set(x) for x in others)
 
 
 def test_equal_texts(spark, awkward, nothing):
