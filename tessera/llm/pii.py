@@ -16,8 +16,10 @@ its kind's check and touches no base span.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -365,12 +367,13 @@ def _spans(tags: np.ndarray) -> list[Span]:
     kind = (tags - 1) // 2
     begin = inside & (np.r_[True, ~inside[:-1] | (kind[1:] != kind[:-1])] | (tags % 2 == 1))
     starts = np.flatnonzero(begin)
-    stops = [int(np.flatnonzero(np.r_[~inside[a + 1 :] | begin[a + 1 :], True])[0]) + a + 1 for a in starts]
-    return [(int(a), int(kind[a]), b) for a, b in zip(starts, stops, strict=True)]
+    ends = np.flatnonzero(np.r_[begin[1:] | ~inside[1:], True]) + 1  # where a span, if one is open, is over
+    stops = ends[np.searchsorted(ends, starts, "right")]
+    return list(zip(starts.tolist(), kind[starts].tolist(), stops.tolist(), strict=True))
 
 
 _CHECKS = (
-    re.compile(r"[^\s@]{1,64}\s?@\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    re.compile(r"[^\s@]++\s?@\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
     re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}"),
     re.compile(r"(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"),
@@ -392,26 +395,29 @@ def added(net: Network, texts: list[str], base: list[list[Span]]) -> list[list[S
     """What the network adds to each text's base spans."""
     places = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
     out: list[list[Span]] = [[] for _ in texts]
+    starts = [[a for a, _, _ in spans] for spans in base]
+    reach = [[0, *itertools.accumulate((b for _, _, b in spans), max)] for spans in base]  # the furthest end of the first ones
     for (i, start, _), spans in zip(places, found(net, [texts[i][a:b] for i, a, b in places]), strict=True):
         for a, kind, b in spans:
             piece = texts[i][start + a : start + b]
             a, b = a + len(piece) - len(piece.lstrip(" \n,.")), b - (len(piece) - len(piece.rstrip(" \n,.")))
             span = (start + a, kind, start + b)
-            if a < b and all(span[2] <= x or z <= span[0] for x, _, z in base[i]) and all(span[2] <= x or z <= span[0] for x, _, z in out[i]) and passes(texts[i], span):
+            apart = reach[i][bisect.bisect_left(starts[i], span[2])] <= span[0] and (not out[i] or out[i][-1][2] <= span[0])
+            if a < b and apart and passes(texts[i], span):
                 out[i].append(span)
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans
-    (all), n_added of every document.
+    (all), n_added, n_spans (all) of every document.
 
     A null text counts as empty: no spans, the hash of nothing.  A null doc_id
     stays null; repeated rows give repeated rows; no shuffle.  Documents without
     a digit or an at sign cost one search.
     """
     net = trained()
-    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     kept = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +435,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 counts = [pa.array([sum(k == kind for _, k, _ in b) for b in base], pa.int64()) for kind in range(len(KINDS))]
                 hashes = pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base], pa.string())
                 spans = pa.array([written(sorted(b + m)) for b, m in zip(base, more, strict=True)], pa.string())
-                columns = [batch.column("doc_id"), *counts, hashes, spans, pa.array(list(map(len, more)), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                columns = [batch.column("doc_id"), *counts, hashes, spans, pa.array(list(map(len, more)), pa.int64()), pa.array([len(b) + len(m) for b, m in zip(base, more, strict=True)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {kept}, {fields}")

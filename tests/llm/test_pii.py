@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -50,6 +51,63 @@ def test_adds_what_the_patterns_miss():
     assert pii.added(pii.trained(), [clean], [pii.base_spans(clean)]) == [[]]
 
 
+def test_skipped_windows_hold_nothing(monkeypatch):
+    """Texts taken whole give the spans that the windows with digits and at signs give."""
+    noise, net = np.random.default_rng(11), pii.trained()
+    prose = lambda: "".join(pii.examples(noise)[0] if noise.random() < 0.3 else "plain words without any of it, on and on. " * int(noise.integers(1, 9)) for _ in range(6))
+    texts = [prose() for _ in range(60)]
+    base = [pii.base_spans(t) for t in texts]
+    some = pii.added(net, texts, base)
+    monkeypatch.setattr(pii, "stretches", lambda text: [(0, len(text))])
+    assert some == pii.added(net, texts, base) and sum(map(len, some)) > 30
+
+
+def test_spans_of_tags():
+    """The spans of a tag sequence, against a walk over it."""
+    noise = np.random.default_rng(12)
+    for _ in range(500):
+        tags = noise.integers(0, pii.TAGS, int(noise.integers(0, 30))) * (noise.random() < 0.9)
+        spans, last = [], 0
+        for i, t in enumerate(tags.tolist()):
+            if t and (t % 2 or not last or (last - 1) // 2 != (t - 1) // 2):
+                spans.append([i, (t - 1) // 2, i + 1])
+            elif t:
+                spans[-1][2] = i + 1
+            last = t
+        assert pii._spans(tags) == [tuple(x) for x in spans]
+
+
+def test_many_spans_take_linear_time():
+    """A text of numbers from end to end."""
+    net, took = pii.trained(), []
+    for many in (2_000, 8_000):
+        text = "call 555-201-4477 or +1 (988) 555-2485 " * (many // 2)
+        start = time.process_time()
+        base = [pii.base_spans(text)]
+        more = pii.added(net, [text], base)[0]
+        took.append(time.process_time() - start)
+        assert len(base[0]) == many // 2 and len(more) >= 0.9 * many // 2
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_documents(spark):
+    """In the documents: all that the plain patterns find, and nothing added but numbers that run into the next one, which the patterns drop."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.scan(docs).collect()}
+    for r in docs.collect():
+        own, text = got[r["doc_id"]], r["text"] or ""
+        spans = [x.split(":") for x in own["spans"].split(",") if x]
+        assert {(int(a), pii.KINDS.index(k), int(b)) for k, a, b in spans} >= set(plain(text)) and own["n_spans"] == len(spans)
+        assert own["n_spans"] - own["n_added"] == len(plain(text)) == own["n_email"] + own["n_ip"] + own["n_card"] + own["n_phone"]
+        for k, a, b in spans:
+            assert plain(text[int(a) : int(b)]) == [(0, pii.KINDS.index(k), int(b) - int(a))]
+
+
+def test_an_address_of_any_length():
+    text = "write to " + "a" * 300 + " @ example.com now"
+    assert pii.passes(text, (9, 0, text.index(" now")))
+
+
 def test_scan(awkward, nothing):
     got = {r["doc_id"]: r for r in pii.scan(awkward).collect()}
     assert (got[7]["n_email"], got[7]["n_ip"], got[7]["n_card"], got[7]["n_phone"]) == (1, 1, 0, 1)
