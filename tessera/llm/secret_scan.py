@@ -9,7 +9,9 @@ words cover, its path and the words beside it.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -53,17 +55,19 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """(rule, start, end), by start; of overlapping ones the first rule's stays, and of the other what the rule finds before it."""
     if not TRIGGER.search(text):
         return []
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[int, int, str]] = []  # by start, without overlaps
     for name, rule, group in RULES:
+        starts, fresh = [a for a, _, _ in out], []
         for m in rule.finditer(text):
             a, b = m.span(group)
-            cut = min((x for _, x, _ in out if a < x < b), default=b)
-            if cut < b:
-                m = rule.match(text, m.start(), cut)
+            at = bisect.bisect_right(starts, a)  # the first one that starts after a
+            if at < len(starts) and starts[at] < b:
+                m = rule.match(text, m.start(), starts[at])
                 a, b = m.span(group) if m else (a, b)
-            if all(b <= x or y <= a for _, x, y in out):
-                out.append((name, a, b))
-    return sorted(out, key=lambda x: (x[1], x[2]))
+            if (not at or out[at - 1][1] <= a) and (at == len(starts) or b <= starts[at]):
+                fresh.append((a, b, name))
+        out = list(heapq.merge(out, fresh)) if fresh else out
+    return [(name, a, b) for a, b, name in out]
 
 
 def _kind(c: str) -> int:
