@@ -231,8 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
             x = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("__y").cast(pa.int64()), x], names=["id", "y", "x"])
 
-    got = rows.select("doc_id", "text", "__y").mapInArrow(run, "id long, y long, x array<double>").toPandas()
-    got = got.sort_values("id", kind="stable").drop_duplicates("id")
+    # Rows of one doc_id give one example, whichever order they come in; one row for each goes to the driver.
+    got = rows.select("doc_id", "text", "__y").mapInArrow(run, "id long, y long, x array<double>").groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas()
+    got = got.sort_values("id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["y"].to_numpy(float))
 

@@ -113,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("__y"))
     chosen = table(chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id"), "sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__id"))
-    rows = table(rows.select("id", "text", F.col("__y").alias("y")).dropDuplicates(["id"]), "texts")
+    one = F.min(F.struct(F.md5("text").alias("h"), "text"))  # of rows of one doc_id, whichever order they come in
+    rows = table(rows.groupBy("id").agg(one.alias("one"), F.max("__y").alias("y")).select("id", "one.text", "y"), "texts")
     toxic, everyone = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     clean = everyone - toxic
 

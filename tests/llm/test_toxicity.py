@@ -29,3 +29,13 @@ def test_awkward(spark, awkward, nothing):
     assert T.graded(awkward, labels).count() == 12
     assert T.graded(nothing, labels).count() == 0
     assert {r["toxic"] for r in T.graded(awkward, labels.limit(0)).collect()} == {0}
+
+
+def test_repeated_ids_train_the_same_model(spark):
+    noise = np.random.default_rng(3)
+    words = lambda some: " ".join(noise.choice(some, 30))
+    fine, foul = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)], ["vilest", "scumbag"]
+    rows = [(i % 60, words(fine + foul * 40) if i % 60 < 15 else words(fine)) for i in range(180)]
+    labels = spark.createDataFrame([(i, int(i < 15)) for i in range(60)], "doc_id long, toxic int")
+    models = [T.train(spark.createDataFrame(some, "doc_id long, text string").repartition(n), labels) for some, n in ((rows, 2), (rows[::-1], 5))]
+    assert models[0].vocabulary == models[1].vocabulary and np.array_equal(models[0].weights, models[1].weights)
