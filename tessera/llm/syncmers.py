@@ -20,6 +20,8 @@ fingerprints: a text whose second half is replaced keeps about 0.5.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,11 +55,13 @@ def _runs(symbols: Column, s: int, body) -> Column:
 
 
 def _least(values: Column, width: int, body) -> Column:
-    """body(f), where f(i) is the least of `width` values from place i on: two overlapping powers of two."""
+    """body(f), where f(x, i) tells whether x is at most each of the `width` values after place i: the
+    least of 2, 4, ... values by doubling, and the first of a few of these that is less ends the look."""
 
     def grow(values: Column, have: int) -> Column:
-        if 2 * have > width:
-            return body(lambda i: F.least(F.get(values, i), F.get(values, i + width - have)))
+        if 4 * have > width:
+            starts = [*range(0, width - have, have), width - have]
+            return body(lambda x, i: functools.reduce(lambda p, q: p & q, [x <= F.get(values, i + (j + 1)) for j in starts]))
         return _let(_pairwise(values, have, F.least), lambda v: grow(v, 2 * have))
 
     return grow(values, 1)
@@ -68,11 +72,12 @@ def _anchors_of(text: Column, offset: Column, k: int, s: int) -> Column:
     last = k - s  # of a k-mer's inner runs
 
     def chosen(runs: Column) -> Column:
-        def edges(least) -> Column:
-            kmers = F.sequence(F.lit(0), F.size(runs) - k)
-            edge = F.filter(kmers, lambda i: F.least(F.get(runs, i), F.get(runs, i + last)) <= least(i + 1))
+        def edges(at_most) -> Column:
             covering = [*range(0, last, s), last]
-            return F.transform(edge, lambda i: F.shiftleft(i.cast("long") + offset, 32).bitwiseOR(F.xxhash64(*(F.get(runs, i + j) for j in covering)).bitwiseAND(F.lit(_LOW))))
+            mark = lambda i: F.shiftleft(i.cast("long") + offset, 32).bitwiseOR(F.xxhash64(*(F.get(runs, i + j) for j in covering)).bitwiseAND(F.lit(_LOW)))
+            kmers = F.size(runs) - (k - 1)
+            marked = F.transform(runs, lambda x, i: F.when(at_most(F.least(x, F.get(runs, i + last)), i) & (i < kmers), mark(i)))
+            return F.array_compact(marked)
 
         return _least(runs, last - 1, edges)
 
@@ -106,10 +111,9 @@ def edited_anchors(marks: Column, next_marks: Column, edited: Column, keep: Colu
 
 
 def fingerprint(marks: Column) -> Column:
-    """The anchors as text."""
-    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    """The anchors as text; k - s + 1, the largest distance, has two digits."""
     gap = lambda m, i: _position(m) - F.when(i > 0, _position(F.get(marks, i - 1))).otherwise(F.lit(0).cast("long"))
-    return F.array_join(F.transform(marks, lambda m, i: F.concat(digits(m.bitwiseAND(F.lit(_LOW)), 8), digits(gap(m, i), 2))), "")
+    return F.lower(F.array_join(F.transform(marks, lambda m, i: F.lpad(F.hex(F.shiftleft(m.bitwiseAND(F.lit(_LOW)), 8) + gap(m, i)), 10, "0")), ""))
 
 
 def places(marks: Column) -> Column:
@@ -192,22 +196,21 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUC
     place = lambda b, ghost: F.struct(F.col(b).alias("b"), F.lit(ghost).alias("g"))
     spread = found.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(place("__bucket", 0))).otherwise(F.array(place("__bucket", 0), place("__to", 1)))))
     spread = spread.select("doc_id", "text", "neg", "tie", "tie2", "copies", F.col("__at.b").alias("__bucket"), F.col("__at.g").alias("__ghost"))
-    marked = spread.repartition("__bucket").withColumn("marks", anchors(F.col("text"), k, s))
+    marked = spread.repartition("__bucket").withColumn("marks", anchors(F.col("text"), k, s)).withColumn("places", places(F.col("marks")))
     row = Window.partitionBy("__bucket").orderBy("__ghost", "neg", "tie", "tie2")
-    paired = marked.withColumn("next", F.lead("text").over(row)).withColumn("next_marks", F.lead("marks").over(row)).filter("__ghost = 0")
+    paired = marked.withColumn("next", F.lead("text").over(row)).withColumn("next_marks", F.lead("marks").over(row)).withColumn("next_places", F.lead("places").over(row)).filter("__ghost = 0")
     # Rows that are alike follow each other; the last of them has the next document.
-    own = F.struct(F.col("text").alias("text"), F.col("marks").alias("marks"))
-    after = F.struct(F.col("next").alias("text"), F.col("next_marks").alias("marks"))
-    paired = paired.select("doc_id", "text", "marks", F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.concat(F.array_repeat(own, F.col("copies").cast("int") - 1), F.array(after)))).alias("next"))
+    own = F.struct(F.col("text").alias("text"), F.col("marks").alias("marks"), F.col("places").alias("places"))
+    after = F.struct(F.col("next").alias("text"), F.col("next_marks").alias("marks"), F.col("next_places").alias("places"))
+    paired = paired.select("doc_id", "text", "marks", "places", F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.concat(F.array_repeat(own, F.col("copies").cast("int") - 1), F.array(after)))).alias("next"))
     n = F.length("text")
     taken = F.least(F.expr("length(text) div 2").cast("int"), F.length("next.text"))
     keep = n - F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next.text, length(text) div 2)"))
-    out = paired.select("doc_id", n.cast("long").alias("n_chars"), "marks", F.col("next.marks").alias("next_marks"), keep.alias("keep"), taken.alias("taken"), edited.alias("edited"))
-    out = out.select("doc_id", "n_chars", "marks", "next_marks", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), edited_anchors(F.col("marks"), F.col("next_marks"), F.col("edited"), F.col("keep"), F.col("taken"), k, s).alias("edited_marks"))
-    near = lambda a, b: _let(places(a), lambda x: likeness(x, places(b)))
+    out = paired.select("doc_id", n.cast("long").alias("n_chars"), "marks", "places", F.col("next.marks").alias("next_marks"), F.col("next.places").alias("next_places"), keep.alias("keep"), taken.alias("taken"), edited.alias("edited"))
+    out = out.select("doc_id", "n_chars", "marks", "places", "next_places", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), edited_anchors(F.col("marks"), F.col("next_marks"), F.col("edited"), F.col("keep"), F.col("taken"), k, s).alias("edited_marks"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprint(F.col("marks")).alias("fingerprint"), fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
-        near(F.col("marks"), F.col("edited_marks")).alias("near_edited"), near(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        _let(places(F.col("edited_marks")), lambda x: likeness(F.col("places"), x)).alias("near_edited"), likeness(F.col("places"), F.col("next_places")).alias("near_next"),
     )
