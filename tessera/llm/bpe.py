@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import give_back, text_of
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 CACHE_CHARS = 32
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 
 #: The split pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -413,8 +413,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = PATTERN, with_ids: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(shipped.value, pattern)
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
                 n, ids_sha, decoded_sha, arrays = [], [], [], []
                 for packed in codec.encode_many(batch.column("text").to_pylist()):
                     ids = np.frombuffer(packed, "<u4")
