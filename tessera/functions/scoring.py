@@ -98,6 +98,128 @@ def plan_score(rubric: Column, form: Column, length: Column) -> Column:
     return F.greatest(F.lit(0.0), rubric - form - length)
 
 
+def one_to_one(items: Column, n: Column) -> Column:
+    """items, an array of structs with score and primary_match, with lost = true and score 0 where another item that
+    names the same bullet (1 to n) has a better score, or the same and comes first."""
+    value = lambda x: F.coalesce(x["score"], F.lit(0.0))
+    named = lambda x: x["primary_match"].between(1, n)
+
+    def better(x: Column, i: Column):
+        return lambda y, j: F.coalesce(named(x) & (y["primary_match"] == x["primary_match"]) & ((value(y) > value(x)) | ((value(y) == value(x)) & (j < i))), F.lit(False))
+
+    def one(x: Column, i: Column) -> Column:
+        lost = F.exists(F.transform(items, better(x, i)), lambda b: b)
+        return F.struct(F.when(lost, 0.0).otherwise(x["score"]).alias("score"), x["primary_match"].alias("primary_match"), x["weight"].alias("weight"), lost.alias("lost"))
+
+    return F.transform(items, one)
+
+
+def _weighted(items: Column, value) -> Column:
+    """Weighted mean of value(item) over the items that have a score; null without any."""
+    scored = F.filter(items, lambda x: x["score"].isNotNull())
+    total = lambda f: F.aggregate(scored, F.lit(0.0), lambda s, x: s + f(x))
+    return total(lambda x: x["weight"] * value(x)) / F.nullif(total(lambda x: x["weight"].cast("double")), F.lit(0.0))
+
+
+def judged_recall(candidates: Column, judge: Column, n_pairs: Column) -> Column:
+    """Struct of recall (with the specificity of the matched bullets; an unnamed bullet counts as specific),
+    plain recall, candidates, those without a score, and matches lost to a better one."""
+
+    def of(found: Column) -> Column:
+        marks = X.parse_judge(judge, F.size(found), critique=False)
+        items = F.zip_with(found, marks, lambda c, m: F.struct(m["score"].alias("score"), m["primary_match"].alias("primary_match"), c["weight"].alias("weight")))
+        return X.let(F.struct(F.coalesce(items, F.array().cast("array<struct<score:double,primary_match:int,weight:int>>")).alias("items"), X.parse_specificity(judge, n_pairs).alias("spec")), matched)
+
+    def matched(p: Column) -> Column:
+        missing = F.size(F.filter(p["items"], lambda x: x["score"].isNull()))
+        return X.let(F.struct(one_to_one(p["items"], n_pairs).alias("items"), p["spec"].alias("spec"), missing.alias("missing")), means)
+
+    def means(p: Column) -> Column:
+        spec = lambda x: F.when(x["primary_match"] > 0, F.coalesce(F.try_element_at(p["spec"], x["primary_match"]), F.lit(1.0))).otherwise(0.0)
+        return F.struct(
+            F.coalesce(_weighted(p["items"], lambda x: x["score"] * spec(x)), F.lit(0.0)).alias("recall"), F.coalesce(_weighted(p["items"], lambda x: x["score"]), F.lit(0.0)).alias("plain"),
+            F.size(p["items"]).alias("n"), p["missing"].alias("missing"), F.size(F.filter(p["items"], lambda x: x["lost"])).alias("lost"),
+        )
+
+    return X.let(X.parse_candidates(candidates), of)
+
+
+def objectives_reward(response: Column, candidates: Column, judge: Column) -> Column:
+    """Struct of the whole score of a list of objectives, from the response, the true candidates and the judge's
+    answer, and all that it is made of: recall through one-to-one matches, times the format's factor, less the penalties."""
+
+    def of(r: Column) -> Column:
+        return X.let(F.struct(r.alias("result"), format_gate(response, r).alias("gate"), X.bullets_and_words(r).alias("b")), parts)
+
+    def parts(p: Column) -> Column:
+        n = p["gate"]["n_pairs"]
+        made = F.struct(
+            p["gate"].alias("gate"), judged_recall(candidates, judge, n).alias("judged"), rule_penalty_objectives(response, p["result"]).alias("length"),
+            verbosity_penalty(p["b"]["words"])["penalty"].alias("wordy"), doubling_penalty(doubles(F.transform(p["b"]["bullets"], lambda b: b["target_module"]))).alias("double"),
+        )
+        return X.let(made, total)
+
+    def total(p: Column) -> Column:
+        none = p["judged"]["n"] == 0
+        zero = lambda c: F.when(none, 0.0).otherwise(c)
+        count = count_penalty_relative(p["gate"]["n_pairs"], p["judged"]["n"])
+        return F.struct(
+            zero(objective_score(p["judged"]["recall"], p["gate"]["factor"], p["length"], count, p["wordy"], p["double"])).alias("score"), zero(p["judged"]["recall"]).alias("recall"), zero(p["judged"]["plain"]).alias("plain_recall"),
+            zero(p["gate"]["factor"]).alias("format_factor"), F.when(none, "no_candidate_items").otherwise(p["gate"]["reason"]).alias("reason"), F.when(none, 0).otherwise(p["gate"]["n_pairs"]).alias("n_pairs"),
+            zero(count).alias("count_penalty"), zero(p["length"]).alias("length_penalty"), zero(p["wordy"]).alias("verbosity_penalty"), zero(p["double"]).alias("doubling_penalty"),
+            F.when(none, 0).otherwise(p["judged"]["missing"]).alias("missing"), F.when(none, 0).otherwise(p["judged"]["lost"]).alias("lost"),
+        )
+
+    return X.let(X.extract_block(response, "Result"), of)
+
+
+def rubric_scores(rubric: Column, judge: Column) -> Column:
+    """Array of (level, weight, score) of the rubric's items, with the judge's scores in their order."""
+
+    def of(items: Column) -> Column:
+        marks = X.parse_items(judge, F.size(items), critique=False)
+        return F.zip_with(items, F.coalesce(marks, F.array().cast("array<struct<num:int,score:double>>")), lambda r, m: F.struct(r["level"].alias("level"), r["weight"].alias("weight"), m["score"].alias("score")))
+
+    return X.let(X.parse_rubric(rubric), of)
+
+
+def plan_reward(response: Column, rubric: Column, judge: Column) -> Column:
+    """Struct of the whole score of a plan: the rubric's weighted score less the penalties; 0 without rubric items."""
+
+    def of(p: Column) -> Column:
+        some = F.size(p["items"]) > 0
+        zero = lambda c: F.when(some, c).otherwise(0.0)
+        points = F.coalesce(_weighted(p["items"], lambda x: x["score"]), F.lit(0.0))
+        form, length = p["penalty"]["format_penalty"], p["penalty"]["length_penalty"]
+        missing = F.size(F.filter(p["items"], lambda x: x["score"].isNull()))
+        return F.struct(zero(plan_score(points, form, length)).alias("score"), zero(points).alias("rubric_score"), zero(form).alias("format_penalty"), zero(length).alias("length_penalty"), F.when(some, missing).otherwise(0).alias("missing"))
+
+    def made(r: Column) -> Column:
+        return X.let(X.extract_block(r, "Proposed_Plan"), lambda plan: F.struct(rubric_scores(rubric, judge).alias("items"), rule_penalty_plan(r, plan).alias("penalty")))
+
+    return X.let(X.let(response, made), of)
+
+
+def design_evaluation(rubric: Column, judge: Column, expected: int) -> Column:
+    """Struct of status, reason (of a failure), design_score, mean score by level, and items with and without a score."""
+
+    def of(items: Column) -> Column:
+        n, parsed = F.size(items), F.size(F.filter(items, lambda x: x["score"].isNotNull()))
+        reason = F.when(n != expected, F.concat(F.lit("rubric has "), n.cast("string"), F.lit(f" items, expected {expected}"))).when(parsed == 0, "no score parsed")
+        good = lambda c: F.when(reason.isNull(), c)
+
+        def level(name: str) -> Column:
+            own = F.filter(items, lambda x: (x["level"] == name) & x["score"].isNotNull())
+            return good(F.aggregate(own, F.lit(0.0), lambda s, x: s + x["score"]) / F.nullif(F.size(own).cast("double"), F.lit(0.0))).alias(name)
+
+        return F.struct(
+            F.when(reason.isNull(), "SUCCESS").otherwise("FAIL").alias("status"), reason.alias("reason"), good(_weighted(items, lambda x: x["score"])).alias("design_score"),
+            *(level(x) for x in ("critical", "major", "minor")), good(parsed).alias("parsed"), good(n - parsed).alias("missing"),
+        )
+
+    return X.let(rubric_scores(rubric, judge), of)
+
+
 def route_source(source: Column, prefixes: dict[str, str]) -> Column:
     """The scorer that a row's source names by prefix, or null; prefixes: prefix to scorer."""
     clean = F.lower(X.strip(X.text(source)))

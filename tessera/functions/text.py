@@ -52,8 +52,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: The characters of WS.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_ws(c: Column) -> Column:
@@ -135,14 +139,19 @@ def _tidy(c: Column) -> Column:
     return strip(F.regexp_replace(strip(F.regexp_replace(strip(c), "^:+", "")), r"\*+$", ""))
 
 
+def _bullet(p: Column) -> Column:
+    cut = let(_tidy(p["rq"]), lambda rq: F.when(F.length(rq) > 400, F.concat(F.substring(rq, 1, 400), F.lit("..."))).otherwise(rq))
+    return F.struct(F.substring(_tidy(p["tm"]), 1, 300).alias("target_module"), cut.alias("research_question"))
+
+
 def parse_bullets(c: Column, loose: bool = False) -> Column:
     """Array of (target_module, research_question), in order, cut to 300 and 400 characters."""
+    return F.transform(_bullet_parts(c, loose), _bullet)
 
-    def one(p: Column) -> Column:
-        cut = let(_tidy(p["rq"]), lambda rq: F.when(F.length(rq) > 400, F.concat(F.substring(rq, 1, 400), F.lit("..."))).otherwise(rq))
-        return F.struct(F.substring(_tidy(p["tm"]), 1, 300).alias("target_module"), cut.alias("research_question"))
 
-    return F.transform(_bullet_parts(c, loose), one)
+def bullets_and_words(c: Column) -> Column:
+    """Struct of parse_bullets() and question_words(), from one look at the text."""
+    return let(_bullet_parts(c, False), lambda p: F.struct(F.transform(p, _bullet).alias("bullets"), F.transform(p, lambda x: word_count(x["rq"])).alias("words")))
 
 
 def count_pairs(c: Column) -> Column:
@@ -205,35 +214,40 @@ def first_of(blocks: Column, num: Column) -> Column:
     return F.get(F.filter(blocks, lambda b: b["num"] == num), F.lit(0))["body"]
 
 
-def parse_judge(c: Column, n: Column) -> Column:
-    """Array of (num, critique, score, primary_match) for candidates 1 to n."""
-    blocks = judged_blocks(c, "candidate")
+def _numbered(c: Column, tag: str, n: Column, one) -> Column:
+    """one(number, body of the tag's first block with that number or null) for 1 to n; null if n is 0."""
+    return F.when(n > 0, let(judged_blocks(c, tag), lambda blocks: F.transform(F.sequence(F.lit(1), n), lambda i: let(first_of(blocks, i), lambda body: one(i, body)))))
+
 
-    def one(i: Column) -> Column:
-        body = first_of(blocks, i)
-        return F.struct(i.alias("num"), F.coalesce(inner(body, "critique"), F.lit("")).alias("critique"), F.when(inner(body, "score").isNotNull(), parse_score(inner(body, "score"))).alias("score"), F.regexp_extract(inner(body, "primary_match"), "-?[0-9]+", 0).try_cast("int").alias("primary_match"))
+def _score_of(body: Column) -> Column:
+    return let(inner(body, "score"), lambda x: F.when(x.isNotNull(), parse_score(x)))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one))
 
+def parse_judge(c: Column, n: Column, critique: bool = True) -> Column:
+    """Array of (num, critique, score, primary_match) for candidates 1 to n; without critique, if that isn't asked for."""
 
-def parse_items(c: Column, n: Column) -> Column:
-    """Array of (num, critique, score) for rubric items 1 to n."""
-    blocks = judged_blocks(c, "item")
+    def one(i: Column, body: Column) -> Column:
+        said = [F.coalesce(inner(body, "critique"), F.lit("")).alias("critique")] if critique else []
+        return F.struct(i.alias("num"), *said, _score_of(body).alias("score"), F.regexp_extract(inner(body, "primary_match"), "-?[0-9]+", 0).try_cast("int").alias("primary_match"))
 
-    def one(i: Column) -> Column:
-        body = first_of(blocks, i)
-        return F.struct(i.alias("num"), F.coalesce(inner(body, "critique"), F.lit("")).alias("critique"), F.when(inner(body, "score").isNotNull(), parse_score(inner(body, "score"))).alias("score"))
+    return _numbered(c, "candidate", n, one)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one))
+
+def parse_items(c: Column, n: Column, critique: bool = True) -> Column:
+    """Array of (num, critique, score) for rubric items 1 to n; without critique, if that isn't asked for."""
+
+    def one(i: Column, body: Column) -> Column:
+        said = [F.coalesce(inner(body, "critique"), F.lit("")).alias("critique")] if critique else []
+        return F.struct(i.alias("num"), *said, _score_of(body).alias("score"))
+
+    return _numbered(c, "item", n, one)
 
 
 def parse_specificity(c: Column, n: Column) -> Column:
     """Map of bullet number to score; the surrounding block is optional."""
-    t = text(c)
     block = rf"(?is)<{WS}*Bullet_Specificity{WS}*>(.*?)</{WS}*Bullet_Specificity{WS}*>"
-    where = F.when(F.regexp_like(t, F.lit(block)), F.regexp_extract(t, block, 1)).otherwise(t)
-    blocks = judged_blocks(where, "bullet")
-    entries = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("key"), parse_score(inner(first_of(blocks, i), "spec_score")).alias("value")))
+    where = let(text(c), lambda t: F.when(F.regexp_like(t, F.lit(block)), F.regexp_extract(t, block, 1)).otherwise(t))
+    entries = _numbered(where, "bullet", F.greatest(n, F.lit(1)), lambda i, body: F.struct(i.alias("key"), parse_score(inner(body, "spec_score")).alias("value")))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & (e["key"] <= n)))
 
 

@@ -279,13 +279,18 @@ def _(t: Tables) -> DataFrame:
     return rows.select("id", r6(F.col("p.penalty")).alias("penalty"), r6(F.col("p.mean_words")).alias("mean_words"), "p.max_words")
 
 
-@query("win_doubling")
+#: Modules of one response repeat each other here exactly if their normal forms are equal.
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(tm), '\([^)]*\)', '', 'g'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_DOUBLES = f"WITH {bullets_sql(RESULTS, TM, RQ)}, n AS (SELECT id, count(*) - count(DISTINCT {_NORM}) AS n_doubles FROM b GROUP BY id) SELECT r.id, coalesce(n_doubles, 0) AS n_doubles FROM {{responses}} r LEFT JOIN n ON r.id = n.id"
+
+
+@query("win_doubling", _DOUBLES)
 def _(t: Tables) -> DataFrame:
     modules = F.transform(X.parse_bullets(F.col("result")), lambda b: b["target_module"])
     return results(t).select("id", P.doubles(modules).alias("n_doubles"))
 
 
-@query("pen_doubling")
+@query("pen_doubling", f"SELECT id, round(least(0.2, 0.06 * n_doubles), 6) AS penalty FROM ({_DOUBLES}) d")
 def _(t: Tables) -> DataFrame:
     modules = F.transform(X.parse_bullets(F.col("result")), lambda b: b["target_module"])
     return results(t).select("id", r6(P.doubling_penalty(P.doubles(modules))).alias("penalty"))
@@ -306,25 +311,40 @@ def _(t: Tables) -> DataFrame:
 
 
 def _task1(t: Tables) -> DataFrame:
-    """Everything that a response's own text decides, with a stand-in for the judge's recall."""
-    rows = results(t).select("id", "response", "result", P.format_gate(F.col("response"), F.col("result")).alias("g"), X.parse_bullets(F.col("result")).alias("bullets"), X.question_words(F.col("result")).alias("w"))
-    length = P.rule_penalty_objectives(F.col("response"), F.col("result"))
-    count = P.count_penalty_relative(F.size("bullets"), F.lit(1))
-    wordy = P.verbosity_penalty(F.col("w"))["penalty"]
-    double = P.doubling_penalty(P.doubles(F.transform("bullets", lambda b: b["target_module"])))
-    recall = (F.col("id") % 11) / 10.0
-    return rows.select("id", r6(P.objective_score(recall, F.col("g.factor"), length, count, wordy, double)).alias("score"), F.col("g.reason").alias("reason"))
+    """Responses with their true candidates and a judge's answer, in which the second candidate claims the first bullet and that is half specific."""
+    said = F.replace(F.replace("answer", F.lit("<score>0.5</score></candidate >"), F.lit("<score>0.5</score><primary_match>1</primary_match></candidate >")), F.lit("<spec_score>0.9"), F.lit("<spec_score>0.4"))
+    truth = t.judged.select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, "none").otherwise(F.col("candidates")).alias("candidates"), said.alias("judge"))
+    return t.responses.join(truth, F.col("id") == F.col("k")).drop("k")
+
 
+_TASK1 = f"""WITH {bullets_sql(RESULTS, TM, RQ)}, g AS ({_GATE}),
+    w AS (SELECT id, least(0.3, sum(greatest(0, {words_sql('rq')} - 80) / 50.0 * 0.05)) AS wordy, least(0.2, 0.06 * (count(*) - count(DISTINCT {_NORM}))) AS dbl FROM b GROUP BY id),
+    s AS (SELECT id, n_pairs, reason, result, CASE WHEN reason = 'ok' THEN 1.0 WHEN reason = 'single_pair' THEN 0.5 ELSE 0.0 END AS factor, CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END AS w1, CASE WHEN id % 3 <> 0 THEN 2 ELSE 0 END AS w2,
+        {_SCORE} AS s1, id % 4 AS m1, CASE WHEN n_pairs >= 1 THEN 0.5 ELSE 1.0 END AS p1, id % 3 <> 0 AND id % 4 = 1 AND n_pairs >= 1 AS clash FROM g),
+    u AS (SELECT *, CASE WHEN clash AND coalesce(s1, 0) < 0.5 THEN 0.0 ELSE s1 END AS t1, CASE WHEN clash AND coalesce(s1, 0) >= 0.5 THEN 0.0 ELSE 0.5 END AS t2, 1 + CAST(id % 3 <> 0 AS INTEGER) AS n_truth FROM s),
+    v AS (SELECT *, coalesce((w1 * coalesce(t1, 0) * CASE WHEN m1 = 0 THEN 0.0 WHEN m1 = 1 THEN p1 ELSE 1.0 END + w2 * t2 * p1) / nullif(CAST(CASE WHEN t1 IS NULL THEN 0 ELSE w1 END + w2 AS DOUBLE), 0), 0) AS recall,
+        least(0.5, 0.005 * greatest(0, least(n_pairs, 7) - (n_truth + 1)) + 0.05 * greatest(0, n_pairs - 7)) AS cnt, greatest(0, {tokens_sql('result')} - 768) / 100.0 * 0.05 AS len FROM u)
+    SELECT v.id, CASE WHEN v.id % 7 = 0 THEN 'no_candidate_items' ELSE reason END AS reason, CASE WHEN v.id % 7 = 0 THEN 0 ELSE round(recall, 6) END AS recall, CASE WHEN v.id % 7 = 0 THEN 0 ELSE CAST(clash AS INTEGER) END AS lost,
+        CASE WHEN v.id % 7 = 0 THEN 0 ELSE round(greatest(0, recall * factor - len - cnt - coalesce(wordy, 0) - coalesce(dbl, 0)), 6) END AS score FROM v LEFT JOIN w ON v.id = w.id"""
 
-@query("score_task1")
+
+@query("score_task1", _TASK1)
 def _(t: Tables) -> DataFrame:
-    return _task1(t)
+    rows = _task1(t).select("id", P.objectives_reward(F.col("response"), F.col("candidates"), F.col("judge")).alias("r"))
+    return rows.select("id", "r.reason", r6(F.col("r.recall")).alias("recall"), "r.lost", r6(F.col("r.score")).alias("score"))
+
+
+_PLAN = "concat('Objective: a Baseline Setup: b Variants: c ', CASE WHEN id % 3 = 0 THEN '' ELSE 'Fixed Protocols & Metrics: d ' END, repeat('word ', CASE WHEN id % 50 = 7 THEN 2500 ELSE 3 END))"
 
 
-@query("score_task2", f"SELECT doc_id, round(greatest(0, (doc_id % 11) / 10.0 - 0.5 - greatest(0, {tokens_sql('text')} - 2400) / 100.0 * 0.03), 6) AS score FROM {{documents}}")
+@query("score_task2", f"""WITH p AS (SELECT id, trim({_PLAN}) AS plan FROM {{judged}}), s AS (SELECT id, CASE id % 4 WHEN 0 THEN 0.5 WHEN 2 THEN NULL ELSE 1.0 END AS s1, CASE WHEN id % 4 <> 0 THEN 1 ELSE 0 END AS w2 FROM {{judged}})
+    SELECT p.id, round(greatest(0, (3 * coalesce(s1, 0) + w2 * 0.5) / CAST(CASE WHEN s1 IS NULL THEN 0 ELSE 3 END + w2 AS DOUBLE) - CASE WHEN p.id % 5 = 0 THEN 0.25 ELSE 0 END - CASE WHEN p.id % 3 = 0 THEN 0.25 ELSE 0 END - greatest(0, {tokens_sql('plan')} - 2400) / 100.0 * 0.03), 6) AS score,
+        CASE WHEN s1 IS NULL THEN 1 ELSE 0 END AS missing FROM p JOIN s ON p.id = s.id""")
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", P.rule_penalty_plan(F.col("text"), F.col("text")).alias("p"))
-    return rows.select("doc_id", r6(P.plan_score((F.col("doc_id") % 11) / 10.0, F.col("p.format_penalty"), F.col("p.length_penalty"))).alias("score"))
+    plan = F.expr(_PLAN)
+    response = F.when(F.col("id") % 5 == 0, plan).otherwise(F.concat(F.lit("<Think>x</Think><Proposed_Plan>"), plan, F.lit("</Proposed_Plan>")))
+    judge = F.concat("answer", F.lit('<item num="2"><score>0.5</score></item>'))
+    return t.judged.select("id", P.plan_reward(response, F.col("rubric"), judge).alias("r")).select("id", r6(F.col("r.score")).alias("score"), "r.missing")
 
 
 @query("score_task1_eval", """SELECT id, status, round(recall, 6) AS recall, round(100.0 * (recall + 0.5 * (p_spec - 0.7)), 6) AS paper_score, round(greatest(0, recall - least(0.5, 0.005 * greatest(0, least(n_pred, 7) - (n_gt + 1)) + 0.05 * greatest(0, n_pred - 7))), 6) AS adjusted FROM {records} WHERE status = 'SUCCESS'""")
@@ -333,11 +353,12 @@ def _(t: Tables) -> DataFrame:
     return t.records.filter("status = 'SUCCESS'").select("id", "status", r6(F.col("recall")).alias("recall"), r6(P.paper_score(F.col("recall"), F.col("p_spec"))).alias("paper_score"), r6(adjusted).alias("adjusted"))
 
 
-@query("score_task2_eval", "SELECT id, CASE WHEN id % 4 = 0 THEN 'FAIL' WHEN id % 4 = 2 THEN 'FAIL' ELSE 'SUCCESS' END AS status, CASE WHEN id % 4 = 0 THEN 'rubric has 1 items, expected 2' WHEN id % 4 = 2 THEN 'no score parsed' END AS reason FROM {judged}")
+@query("score_task2_eval", """SELECT id, CASE WHEN id % 2 = 0 THEN 'FAIL' ELSE 'SUCCESS' END AS status, CASE WHEN id % 4 = 0 THEN 'rubric has 1 items, expected 2' WHEN id % 4 = 2 THEN 'no score parsed' END AS reason,
+    CASE id % 4 WHEN 1 THEN 0.875 WHEN 3 THEN 1.0 END AS design_score, CASE WHEN id % 2 = 1 THEN 1.0 END AS critical, CAST(NULL AS DOUBLE) AS major, CASE WHEN id % 4 = 1 THEN 0.5 END AS minor,
+    CASE id % 4 WHEN 1 THEN 2 WHEN 3 THEN 1 END AS parsed, CASE id % 4 WHEN 1 THEN 0 WHEN 3 THEN 1 END AS missing FROM {judged}""")
 def _(t: Tables) -> DataFrame:
-    n, scores = F.size(X.parse_rubric(F.col("rubric"))), X.parse_items(F.col("answer"), F.lit(1))
-    reason = F.when(n != 2, F.concat(F.lit("rubric has "), n.cast("string"), F.lit(" items, expected 2"))).when(~F.exists(scores, lambda s: s["score"].isNotNull()), "no score parsed")
-    return t.judged.select("id", F.when(reason.isNull(), "SUCCESS").otherwise("FAIL").alias("status"), reason.alias("reason"))
+    judge = F.concat("answer", F.when(F.col("id") % 4 == 1, '<item num="2"><score>0.5</score></item>').otherwise(""))
+    return t.judged.select("id", P.design_evaluation(F.col("rubric"), judge, 2).alias("r")).select("id", "r.*")
 
 
 @query("route_source", "SELECT uid, idx, CASE WHEN data_source = 'src_A' THEN 'task1' WHEN data_source = 'src_N' THEN 'task2' END AS scorer FROM {rollouts}")
@@ -368,20 +389,28 @@ def _(t: Tables) -> DataFrame:
 
 
 def _answers(t: Tables) -> DataFrame:
+    """Answers in many forms, right and wrong, by p_partkey % 8."""
     k = F.col("p_partkey")
-    said = F.concat(F.lit("Thus Answer: $\\boxed{\\frac"), F.when(k % 2 == 0, F.concat(F.lit("{"), k.cast("string"), F.lit("}{7}"))).otherwise("12"), F.lit("}$"))
-    truth = F.when(k % 2 == 0, F.concat(F.lit("\\frac{"), k.cast("string"), F.lit("}{7}"))).otherwise("1/2")
+    form, n = (k % 8).cast("int"), k.cast("string")
+    frac = lambda x: F.concat(F.lit("\\frac{"), x.cast("string"), F.lit("}{7}"))
+    boxed = lambda x: F.concat(F.lit("Thus Answer: $\\boxed{"), x, F.lit("}$"))
+    said = F.element_at(F.array(
+        boxed(frac(k)), boxed(F.lit("\\frac12")), boxed(frac(k + 1)), F.concat(F.lit("so \\fbox{"), n, F.lit("}")), F.concat(F.lit("\\boxed"), n, F.lit(" and {"), n, F.lit("}")),
+        boxed(F.lit("x/2 ")), F.concat(F.lit("Answer: "), n, F.lit(" \\boxed "), n, F.lit("$ end")), F.concat(F.lit("no box, answer: "), n),
+    ), form + 1)
+    truth = F.element_at(F.array(frac(k), F.lit("1/2"), frac(k), n, n, F.lit("x/2"), n, n), form + 1)
     return t.part.select("p_partkey", said.alias("said"), truth.alias("truth"))
 
 
-@query("grd_math", "SELECT p_partkey, CAST(1.0 AS DOUBLE) AS score FROM {part}")
+@query("grd_math", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 8 IN (0, 1, 6) THEN 1 ELSE 0 END AS DOUBLE) AS score FROM {part}")
 def _(t: Tables) -> DataFrame:
     return _answers(t).select("p_partkey", M.grader(M.math_correct)(F.col("said"), F.col("truth")).alias("score"))
 
 
-@query("grd_minerva", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE -1.0 END AS DOUBLE) AS score FROM {part}")
+@query("grd_minerva", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 8 IN (0, 5, 7) THEN 1 ELSE -1 END AS DOUBLE) AS score, CAST(CASE WHEN p_partkey % 8 = 0 THEN 1 ELSE -1 END AS DOUBLE) AS boxed FROM {part}")
 def _(t: Tables) -> DataFrame:
-    return _answers(t).select("p_partkey", M.grader(M.minerva_score)(F.col("said"), F.col("truth")).alias("score"))
+    strict = M.grader(lambda s, t: M.minerva_score(s, t, strict_box=True))
+    return _answers(t).select("p_partkey", M.grader(M.minerva_score)(F.col("said"), F.col("truth")).alias("score"), strict(F.col("said"), F.col("truth")).alias("boxed"))
 
 
 @query("grd_choice", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 1.0 ELSE 0.0 END AS score FROM {part}")
@@ -390,15 +419,16 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", P.choice_score(F.concat(F.lit("answer : $"), letter, F.lit("$")), F.lit("B")).alias("score"))
 
 
-@query("grd_geo3k", "SELECT p_partkey, CAST(1.0 AS DOUBLE) AS score FROM {part}")
+@query("grd_geo3k", "SELECT p_partkey, round(CASE WHEN p_partkey % 8 IN (0, 1, 5, 6, 7) THEN 0.9 ELSE 0 END + CASE WHEN p_partkey % 8 IN (0, 1, 2, 5) THEN 0.1 ELSE 0 END, 6) AS score FROM {part}")
 def _(t: Tables) -> DataFrame:
     said = F.concat(F.lit("<think>x</think> "), "said")
     return _answers(t).select("p_partkey", r6(P.geo_score(M.grader(M.lenient_score)(said, F.col("truth")), P.geo_format(said))).alias("score"))
 
 
-@query("grd_prime_math", "SELECT p_partkey, CAST(1.0 AS DOUBLE) AS score FROM {part}")
+@query("grd_prime_math", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END AS DOUBLE) AS score FROM {part}")
 def _(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("The answer is "), (F.col("p_partkey") * 100).cast("string"), F.lit("."))
+    k = F.col("p_partkey")
+    said = F.concat(F.lit("The answer is "), F.when(k % 3 == 0, k * 100).when(k % 3 == 1, k).otherwise(k + 1).cast("string"), F.lit("."))
     return t.part.select("p_partkey", M.grader(M.lenient_score)(said, F.concat("p_partkey", F.lit(".0"))).alias("score"))
 
 
@@ -412,7 +442,7 @@ def _(t: Tables) -> DataFrame:
     return t.papers.select("id", P.same_output(F.col("title"), F.concat(F.lit("Paper "), F.regexp_extract("pdf_url", "[0-9]+$", 0))).alias("same"))
 
 
-@query("grd_batch", "SELECT p_partkey, CAST(1.0 AS DOUBLE) AS score FROM {part}")
+@query("grd_batch", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 8 IN (0, 1, 5, 6, 7) THEN 1 ELSE 0 END AS DOUBLE) AS score FROM {part}")
 def _(t: Tables) -> DataFrame:
     return _answers(t).select("p_partkey", M.grader(M.lenient_score)(F.col("said"), F.col("truth")).alias("score"))
 
@@ -435,8 +465,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("cnv_math", "SELECT p_partkey, p_name AS content, CASE WHEN p_partkey % 2 = 0 THEN concat('\\frac{', p_partkey, '}{7}') ELSE '\\frac12' END AS ground_truth FROM {part}")
 def _(t: Tables) -> DataFrame:
-    boxed = F.pandas_udf(lambda s: s.map(M.last_boxed), "string")
-    return _answers(t).join(t.part.select("p_partkey", "p_name"), "p_partkey").select("p_partkey", F.col("p_name").alias("content"), boxed("said").alias("ground_truth"))
+    boxed, k = F.pandas_udf(lambda s: s.map(M.last_boxed), "string"), F.col("p_partkey")
+    solution = F.concat(F.lit("Thus Answer: $\\boxed{\\frac"), F.when(k % 2 == 0, F.concat(F.lit("{"), k.cast("string"), F.lit("}{7}"))).otherwise("12"), F.lit("}$"))
+    return t.part.select("p_partkey", F.col("p_name").alias("content"), boxed(solution).alias("ground_truth"))
 
 
 @query("cnv_hellaswag", "SELECT p_partkey, concat(p_brand, ': ', upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) AS query, [p_name, p_type] AS choices FROM {part} WHERE p_size > 0")
@@ -605,12 +636,20 @@ def _rl(t: Tables, name: str) -> DataFrame:
     return rl_rows(t.papers.filter(F.col("in_sft")), name)
 
 
-@query("cnv_rl_t1", "SELECT 't1' AS data_source, substr(coalesce(content, ''), 1, 20) AS content, coalesce(goal, '') AS ground_truth, id AS index FROM {papers} WHERE in_sft")
+def _rl_sql(name: str) -> str:
+    """The whole prompt, by replacing in the pattern what it names."""
+    pattern, limit = RL_PROMPTS[name]
+    content = f"replace('{pattern.replace(chr(39), 2 * chr(39))}', '{{CONTENT}}', substr(coalesce(content, ''), 1, {limit}))"
+    filled = f"replace({content}, '{{GOAL}}', coalesce(goal, ''))" if name == "t2" else content
+    return f"SELECT '{name}' AS data_source, {filled} AS content, coalesce(goal, '') AS ground_truth, id AS index FROM {{papers}} WHERE in_sft"
+
+
+@query("cnv_rl_t1", _rl_sql("t1"))
 def _(t: Tables) -> DataFrame:
     return _rl(t, "t1").select("data_source", F.col("prompt")[0]["content"].alias("content"), "reward_model.ground_truth", "extra_info.index")
 
 
-@query("cnv_rl_t2", "SELECT 't2' AS data_source, substr(coalesce(content, ''), 1, 20) AS content, coalesce(goal, '') AS ground_truth, id AS index FROM {papers} WHERE in_sft")
+@query("cnv_rl_t2", _rl_sql("t2"))
 def _(t: Tables) -> DataFrame:
     return _rl(t, "t2").select("data_source", F.col("prompt")[0]["content"].alias("content"), "reward_model.ground_truth", "extra_info.index")
 

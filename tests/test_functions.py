@@ -200,3 +200,50 @@ def test_rl_queries_give_whole_prompts(spark):
         for r in rows:
             content = papers[r["index"]]
             assert (content.replace("{GOAL}", r["ground_truth"]) if name == "t2" else content) in r["content"]
+
+
+@pytest.mark.parametrize(("said", "truth", "score"), [
+    (r"\boxed{\frac12}", "1/2", 1), (r"\fbox{7}", "7", 0), (r"\boxed5 and {7}", "7", 0), (r"\boxed 7$ and", "7", 1), (r"\boxed{7", "7", 0), (r"\boxed{x/2 }", "x/2", 0), (r"\boxed{x/2}", "x/2", 1),
+    (r"\boxed{2 /4}", "2/4", 1), (r"\boxed{02/4}", "2/4", 0), (r"\boxed{3\sqrt}", r"3\sqrt", 1), (r"\boxed{3 \sqrt}", r"3\sqrt", 0), (r"\boxed{\sqrt3}", r"\sqrt{3}", 1), (r"\boxed{\frac}", r"\frac", 1), (r"\boxed{ \frac}", r"\frac", 0),
+    (r"\boxed{.5}", r"\frac12", 1), (r"\boxed{k=3}", "3", 1), (r"\boxed{90^\circ}", "90", 1), (r"\boxed{5\text{ cm}}", "5", 1), (r"\boxed{a\text{ b\text{ c}}}", "a", 0), ("", "", 0), (None, "1", 0),
+])
+def test_math_boxes(said, truth, score):
+    assert M.math_correct(said, truth) == score
+
+
+def test_minerva_box():
+    assert M.minerva_score(r"\boxed{7}", "7", strict_box=True) == 1
+    for said in (r"\boxed 7$", r"\fbox{7}", r"\boxed7 {7}", r"\boxed{7", r"\boxed{7}" + "x" * 100):
+        assert M.minerva_score(said, "7", strict_box=True) == -1
+
+
+def test_whole_reward(spark):
+    """Two candidates claim one bullet: the better match stays; a claim without bullet counts for nothing; no candidates, no score."""
+    text = "<Think>t</Think><Result>\n- Target Module: the gate\n- Research Question: why?\n- Target Module: a decoder\n- Research Question: how?\n</Result>"
+    block = lambda i, focus: f"<Candidate><ID>{i}</ID><Investigation_Focus>{focus}</Investigation_Focus><Description_Text>d</Description_Text></Candidate>"
+    truth = block(1, "core part") + block(2, "second") + block(3, "third")
+    judge = "".join(f'<candidate num="{i}"><score>{s}</score><primary_match>{m}</primary_match></candidate>' for i, s, m in ((1, 0.5, 1), (2, 1, 1), (3, 1, 0)))
+    judge += '<Bullet_Specificity><bullet num="1"><spec_score>0.5</spec_score></bullet></Bullet_Specificity>'
+    rows = spark.createDataFrame([(1, text, truth, judge), (2, text, "", judge), (3, text, truth, None), (4, None, None, None)], "id long, response string, candidates string, judge string")
+    got = {r["id"]: r["r"] for r in rows.select("id", P.objectives_reward(F.col("response"), F.col("candidates"), F.col("judge")).alias("r")).collect()}
+    assert got[1]["recall"] == pytest.approx((3 * 0 + 2 * 1 * 0.5 + 2 * 1 * 0) / 7) and got[1]["plain_recall"] == pytest.approx((2 + 2) / 7)
+    assert (got[1]["lost"], got[1]["missing"], got[1]["n_pairs"], got[1]["reason"]) == (1, 0, 2, "ok") and got[1]["score"] == pytest.approx(got[1]["recall"])
+    assert got[2]["reason"] == "no_candidate_items" and got[2]["score"] == 0 == got[4]["score"] and got[3]["missing"] == 3 and got[3]["score"] == 0
+
+
+def test_batches_balanced_as_by_hand(spark):
+    """Greedy and largest differencing against plain loops."""
+    lengths = [(7 * i * i + 3 * i) % 41 + 1 for i in range(60)]
+    rows = spark.createDataFrame([(i // 20, i, n) for i, n in enumerate(lengths)], "b long, k long, n long")
+    greedy = {r["k"]: r["part"] for r in B.greedy_balanced(rows, ["b"], "k", "n", 3).collect()}
+    best = B.balanced(rows, ["b"], "k", "n", 3).join(rows, ["b", "k"]).groupBy("b", "part").agg(F.sum("n").alias("s")).collect()
+    for b in range(3):
+        sums = [0, 0, 0]
+        for i in range(20 * b, 20 * b + 20):
+            part = sums.index(min(sums))
+            assert greedy[i] == part
+            sums[part] += lengths[i]
+        own = [r["s"] for r in best if r["b"] == b]
+        assert sum(own) == sum(sums) and max(own) - min(own) <= max(sums) - min(sums)
+    micro = B.micro_batches(rows, ["b"], "k", "n", 100).join(rows, ["b", "k"]).groupBy("b").agg(F.count_distinct("part").alias("parts"), F.sum("n").alias("s")).collect()
+    assert all(r["parts"] == -(-r["s"] // 100) for r in micro)
