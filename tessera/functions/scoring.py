@@ -149,13 +149,13 @@ def objectives_reward(response: Column, candidates: Column, judge: Column) -> Co
     answer, and all that it is made of: recall through one-to-one matches, times the format's factor, less the penalties."""
 
     def of(r: Column) -> Column:
-        return X.let(F.struct(r.alias("result"), format_gate(response, r).alias("gate"), X.bullets_and_words(r).alias("b")), parts)
+        return X.let(F.struct(r.alias("result"), format_gate(response, r).alias("gate"), X.modules_and_words(r).alias("b")), parts)
 
     def parts(p: Column) -> Column:
         n = p["gate"]["n_pairs"]
         made = F.struct(
             p["gate"].alias("gate"), judged_recall(candidates, judge, n).alias("judged"), rule_penalty_objectives(response, p["result"]).alias("length"),
-            verbosity_penalty(p["b"]["words"])["penalty"].alias("wordy"), doubling_penalty(doubles(F.transform(p["b"]["bullets"], lambda b: b["target_module"]))).alias("double"),
+            verbosity_penalty(p["b"]["words"])["penalty"].alias("wordy"), doubling_penalty(doubles(p["b"]["modules"])).alias("double"),
         )
         return X.let(made, total)
 

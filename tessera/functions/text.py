@@ -136,7 +136,7 @@ def _bullet_parts(c: Column, loose: bool) -> Column:
 
 
 def _tidy(c: Column) -> Column:
-    return strip(F.regexp_replace(strip(F.regexp_replace(strip(c), "^:+", "")), r"\*+$", ""))
+    return strip(F.rtrim(strip(F.ltrim(strip(c), F.lit(":"))), F.lit("*")))
 
 
 def _bullet(p: Column) -> Column:
@@ -149,9 +149,9 @@ def parse_bullets(c: Column, loose: bool = False) -> Column:
     return F.transform(_bullet_parts(c, loose), _bullet)
 
 
-def bullets_and_words(c: Column) -> Column:
-    """Struct of parse_bullets() and question_words(), from one look at the text."""
-    return let(_bullet_parts(c, False), lambda p: F.struct(F.transform(p, _bullet).alias("bullets"), F.transform(p, lambda x: word_count(x["rq"])).alias("words")))
+def modules_and_words(c: Column) -> Column:
+    """Struct of the target modules of parse_bullets() and of question_words(), from one look at the text."""
+    return let(_bullet_parts(c, False), lambda p: F.struct(F.transform(p, lambda x: F.substring(_tidy(x["tm"]), 1, 300)).alias("modules"), F.transform(p, lambda x: word_count(x["rq"])).alias("words")))
 
 
 def count_pairs(c: Column) -> Column:

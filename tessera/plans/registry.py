@@ -112,6 +112,13 @@ class Tables:
         return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table that is read as fewer partitions than there are cores, dealt to all of them before
+    costly work on each row.  A table of more partitions stays as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(key: str, sql: str | None = None):
     """Registers a function of Tables under a key."""
 

@@ -12,7 +12,7 @@ from tessera.functions import text as X
 from tessera.operators import batches as B
 from tessera.operators import relational as R
 from tessera.plans.data import W, strip_sql
-from tessera.plans.registry import Tables, query
+from tessera.plans.registry import Tables, query, spread
 
 NW = rf"[^{W[1:]}"
 
@@ -54,7 +54,7 @@ RESULTS = f"SELECT id, {BLOCK} AS txt FROM {{responses}}"
 
 
 def results(t: Tables) -> DataFrame:
-    return t.responses.select("id", "response", X.extract_block(F.col("response"), "Result").alias("result"))
+    return spread(t.responses).select("id", "response", X.extract_block(F.col("response"), "Result").alias("result"))
 
 
 # --------------------------------------------------------------------- text
@@ -314,7 +314,7 @@ def _task1(t: Tables) -> DataFrame:
     """Responses with their true candidates and a judge's answer, in which the second candidate claims the first bullet and that is half specific."""
     said = F.replace(F.replace("answer", F.lit("<score>0.5</score></candidate >"), F.lit("<score>0.5</score><primary_match>1</primary_match></candidate >")), F.lit("<spec_score>0.9"), F.lit("<spec_score>0.4"))
     truth = t.judged.select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, "none").otherwise(F.col("candidates")).alias("candidates"), said.alias("judge"))
-    return t.responses.join(truth, F.col("id") == F.col("k")).drop("k")
+    return spread(t.responses).join(truth, F.col("id") == F.col("k")).drop("k")
 
 
 _TASK1 = f"""WITH {bullets_sql(RESULTS, TM, RQ)}, g AS ({_GATE}),
@@ -344,7 +344,7 @@ def _(t: Tables) -> DataFrame:
     plan = F.expr(_PLAN)
     response = F.when(F.col("id") % 5 == 0, plan).otherwise(F.concat(F.lit("<Think>x</Think><Proposed_Plan>"), plan, F.lit("</Proposed_Plan>")))
     judge = F.concat("answer", F.lit('<item num="2"><score>0.5</score></item>'))
-    return t.judged.select("id", P.plan_reward(response, F.col("rubric"), judge).alias("r")).select("id", r6(F.col("r.score")).alias("score"), "r.missing")
+    return spread(t.judged).select("id", P.plan_reward(response, F.col("rubric"), judge).alias("r")).select("id", r6(F.col("r.score")).alias("score"), "r.missing")
 
 
 @query("score_task1_eval", """SELECT id, status, round(recall, 6) AS recall, round(100.0 * (recall + 0.5 * (p_spec - 0.7)), 6) AS paper_score, round(greatest(0, recall - least(0.5, 0.005 * greatest(0, least(n_pred, 7) - (n_gt + 1)) + 0.05 * greatest(0, n_pred - 7))), 6) AS adjusted FROM {records} WHERE status = 'SUCCESS'""")
