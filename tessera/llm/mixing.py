@@ -105,15 +105,15 @@ def _ranked(tied: DataFrame) -> DataFrame:
     return placed.withColumn("__extra", (rank <= F.col("__some")).cast("long")).drop("__row", "__group", "__s", "__g", "__b")
 
 
-def decide(sized: DataFrame, planned: DataFrame, few: bool) -> DataFrame:
-    """sized with its source's plan and __copies, how often the mix takes the document."""
+def decide(sized: DataFrame, planned: DataFrame, few: bool, epochs: int = EPOCHS) -> DataFrame:
+    """sized with its source's plan and __copies, how often the mix takes the document: never more than epochs, not even one without words."""
     out = _joined(sized, planned, few)
     split = F.coalesce((F.col("__key") == F.col("__cut")) & (F.col("__some") > 0) & (F.col("__some") < F.col("__ties")), F.lit(False))
     inside = F.coalesce((F.col("__key") < F.col("__cut")) | ((F.col("__key") == F.col("__cut")) & (F.col("__some") == F.col("__ties"))), F.lit(True)).cast("long")
     whole = out.filter(~split).withColumn("__extra", inside)
     if not planned.filter("__some > 0 AND __some < __ties").isEmpty():  # repeated rows of which some are in
         whole = whole.unionByName(_ranked(out.filter(split)))
-    return whole.withColumn("__copies", F.col("__whole") + F.col("__extra")).drop("__extra")
+    return whole.withColumn("__copies", F.least(F.col("__whole") + F.col("__extra"), F.lit(epochs))).drop("__extra")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     gives no rows.
     """
     sized = table(measured(docs, seed), "sized")
-    out = decide(sized, *plan(sized, weights, epochs))
+    out = decide(sized, *plan(sized, weights, epochs), epochs)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"))
 
 
@@ -136,7 +136,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     sized = table(measured(docs, seed), "sized")
     planned, few = plan(sized, weights, epochs)
     chosen = planned.select("source", "__whole", "__cut", "__ties", "__some")
-    out = decide(measured(docs, seed, keep=True), chosen, few).filter("__copies > 0")
+    out = decide(measured(docs, seed, keep=True), chosen, few, epochs).filter("__copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
@@ -168,8 +168,8 @@ k2 AS (SELECT k1.source, k1.k, CASE WHEN k1.before + k1.n <= s6.target - s6.whol
        FROM k1 JOIN s6 ON k1.source IS NOT DISTINCT FROM s6.source),
 d AS (SELECT *, row_number() OVER (PARTITION BY source, k) AS i FROM sized)
 SELECT d.doc_id, d.size, s6.source_size, s6.target,
-       d.size * (s6.whole + CASE WHEN d.i <= k2.some THEN 1 ELSE 0 END) AS taken,
-       s6.whole + CASE WHEN d.i <= k2.some THEN 1 ELSE 0 END AS copies
+       d.size * least(s6.whole + CASE WHEN d.i <= k2.some THEN 1 ELSE 0 END, 3) AS taken,
+       least(s6.whole + CASE WHEN d.i <= k2.some THEN 1 ELSE 0 END, 3) AS copies
 FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
 JOIN k2 ON d.source IS NOT DISTINCT FROM k2.source AND d.k = k2.k
 """

@@ -57,7 +57,7 @@ def test_awkward(awkward, nothing):
     sizes = {}
     for _, text, _, source, _ in AWKWARD:
         sizes[source] = sizes.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-    assert {r["source_size"] for r in got} == set(sizes.values())
+    assert {r["source_size"] for r in got} == set(sizes.values()) and max(r["copies"] for r in got) <= mixing.EPOCHS
     assert {round(r["target"], 6) for r in got} == {round(x, 6) for x in by_hand(sizes).values()}
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_rows(nothing).count() == 0
     copies = sum(r["copies"] for r in got)
