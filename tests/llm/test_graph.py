@@ -1,6 +1,6 @@
 import random
 
-from tessera.llm.graph import components
+from tessera.llm.graph import components, of_one_id
 
 
 def test_components(spark):
@@ -19,3 +19,14 @@ def test_components(spark):
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in top if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_nulls_and_equal_ends(spark):
+    got = components(spark.createDataFrame([(1, None), (None, 2), (3, 3), (5, 4), (4, 5), (None, None)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(4, 4), (5, 4)]
+
+
+def test_rows_of_one_id(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 7), (2, 9), (3, None), (4, 3), (4, None), (None, 8), (None, 5)], "id long, rep long")
+    got = {r["node"]: r["label"] for r in components(of_one_id(rows)).collect()}
+    assert got == {1: 1, 2: 1, 7: 1, 9: 1, 3: 3, 4: 3}
