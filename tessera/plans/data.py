@@ -13,6 +13,7 @@ from tessera.operators import batches as B
 from tessera.operators import relational as R
 from tessera.plans.registry import Tables, query
 from tessera.sources import files as S
+from tessera.streaming import resume
 
 PATTERN = "Read: {CONTENT} | for {GOAL}."
 #: White space for DuckDB's patterns.
@@ -484,3 +485,36 @@ def _(t: Tables) -> DataFrame:
     rows = t.tokens.groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "token"))), lambda x: x["token"]).alias("a"))
     stacked = rows.select("uid", F.array("a", F.transform("a", lambda x: x + 1)).alias("s"))
     return stacked.select("uid", F.col("s")[0].alias("chosen"), F.col("s")[1].alias("rejected"))
+
+
+# -------------------------------------------------------------- streaming
+
+
+@query("stream_resume", "SELECT n_nationkey, n_name AS title FROM {nation}")
+def _(t: Tables) -> DataFrame:
+    """Ten items are written already; a stream of all appends the others."""
+    top, items = scratch(t), t.nation.select("n_nationkey", F.col("n_name").alias("title"))
+    items.write.parquet(f"{top}/in")
+    items.filter("n_nationkey < 10").write.json(f"{top}/out")
+    resume.append_pending(resume.files(t.spark, f"{top}/in", items.schema), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return t.spark.read.schema(items.schema).json(f"{top}/out")
+
+
+@query("stream_rewrite", "SELECT o_orderkey, o_custkey FROM {orders}")
+def _(t: Tables) -> DataFrame:
+    """A table rewritten by a stream in bounded batches."""
+    top, rows = scratch(t), t.orders.select("o_orderkey", "o_custkey")
+    rows.write.parquet(f"{top}/in")
+    resume.rewrite(resume.files(t.spark, f"{top}/in", rows.schema), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{top}/out")
+
+
+@query("stream_full_batches", "SELECT o_orderkey FROM {orders} WHERE o_orderkey % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    """Passing rows collected batch by batch until all are there, and handed to a table at once."""
+    top, rows = scratch(t), t.orders.select("o_orderkey")
+    rows.repartitionByRange(4, "o_orderkey").write.parquet(f"{top}/in")
+    passing = rows.filter("o_orderkey % 2 = 0").count()
+    stream = resume.files(t.spark, f"{top}/in", rows.schema)
+    resume.full_batches(stream, passing, "o_orderkey % 2 = 0", lambda b: b.write.mode("append").parquet(f"{top}/out"), f"{top}/store", f"{top}/checkpoint").awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{top}/out")
