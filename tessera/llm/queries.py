@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embeddings, lines, minhash, mixing, pii, quality, secret_scan, syncmers, toxicity
+from tessera.llm import bpe, embeddings, hard_negatives, lines, minhash, mixing, pii, quality, secret_scan, syncmers, toxicity
 from tessera.llm.common import documents
 
 
@@ -63,5 +63,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_mixing, op5_secrets, op6_embeddings, op7_toxicity, op8_fingerprints, op9_minhash, op10_lines)}
-SQL = {"op4_mixing": mixing.SQL, "op10_lines": lines.SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth of all embeddings."""
+    return hard_negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_mixing, op5_secrets, op6_embeddings, op7_toxicity, op8_fingerprints, op9_minhash, op10_lines, op11_hard_negatives)}
+SQL = {"op4_mixing": mixing.SQL, "op10_lines": lines.SQL, "op11_hard_negatives": hard_negatives.SQL}
