@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embeddings, hard_negatives, lines, minhash, mixing, pii, quality, secret_scan, syncmers, toxicity
+from tessera.llm import bpe, embeddings, hard_negatives, lines, minhash, mixing, pii, quality, resampling, secret_scan, syncmers, toxicity
 from tessera.llm.common import documents
 
 
@@ -68,5 +68,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_mixing, op5_secrets, op6_embeddings, op7_toxicity, op8_fingerprints, op9_minhash, op10_lines, op11_hard_negatives)}
-SQL = {"op4_mixing": mixing.SQL, "op10_lines": lines.SQL, "op11_hard_negatives": hard_negatives.SQL}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn by importance towards the benchmark's words."""
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_mixing, op5_secrets, op6_embeddings, op7_toxicity, op8_fingerprints, op9_minhash, op10_lines, op11_hard_negatives, op12_resampling)}
+SQL = {"op4_mixing": mixing.SQL, "op10_lines": lines.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_resampling": resampling.SQL}
