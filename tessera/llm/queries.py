@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embeddings, hard_negatives, lines, minhash, mixing, pii, quality, resampling, secret_scan, syncmers, toxicity
+from tessera.llm import bpe, embeddings, hard_negatives, lines, minhash, mixing, pii, quality, resampling, secret_scan, sharding, syncmers, toxicity
 from tessera.llm.common import documents
 
 
@@ -73,5 +73,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_mixing, op5_secrets, op6_embeddings, op7_toxicity, op8_fingerprints, op9_minhash, op10_lines, op11_hard_negatives, op12_resampling)}
-SQL = {"op4_mixing": mixing.SQL, "op10_lines": lines.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_resampling": resampling.SQL}
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards and slots of all documents."""
+    return sharding.sharded(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_mixing, op5_secrets, op6_embeddings, op7_toxicity, op8_fingerprints, op9_minhash, op10_lines, op11_hard_negatives, op12_resampling, op13_sharding)}
+SQL = {"op4_mixing": mixing.SQL, "op10_lines": lines.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_resampling": resampling.SQL, "op13_sharding": sharding.SQL}
