@@ -13,7 +13,7 @@ from tessera.operators import batches as B
 from tessera.operators import relational as R
 from tessera.plans.registry import Tables, query
 from tessera.sources import files as S
-from tessera.streaming import resume
+from tessera.streaming import full, loader, resume
 
 PATTERN = "Read: {CONTENT} | for {GOAL}."
 #: White space for DuckDB's patterns.
@@ -509,12 +509,42 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(f"{top}/out")
 
 
-@query("stream_full_batches", "SELECT o_orderkey FROM {orders} WHERE o_orderkey % 2 = 0")
+@query("stream_full_batches", """
+    WITH RECURSIVE g AS (
+      SELECT coalesce(source, '') AS lane, doc_id % 8 AS round, doc_id, row_number() OVER (PARTITION BY coalesce(source, ''), doc_id % 8 ORDER BY doc_id) AS place
+      FROM {documents} WHERE n_chars % 3 <> doc_id % 3),
+    rounds AS (SELECT DISTINCT coalesce(source, '') AS lane, doc_id % 8 AS round FROM {documents} WHERE doc_id IS NOT NULL),
+    c AS (SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY round) AS i, round, (SELECT count(*) FROM g WHERE g.lane = r.lane AND g.round = r.round) AS n FROM rounds r),
+    s AS (
+      SELECT lane, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS round, CAST(0 AS BIGINT) AS before, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS own, CAST(0 AS BIGINT) AS batch FROM (SELECT DISTINCT lane FROM c) l
+      UNION ALL
+      SELECT c.lane, c.i, c.round, s.held, CASE WHEN s.held + c.n >= 40 THEN 0 ELSE s.held + c.n END, s.batch, CASE WHEN s.held + c.n >= 40 THEN s.batch + 1 ELSE s.batch END
+      FROM s JOIN c ON c.lane = s.lane AND c.i = s.i + 1)
+    SELECT g.lane, s.own AS batch, s.before + g.place - 1 AS position, g.doc_id FROM s JOIN g ON g.lane = s.lane AND g.round = s.round
+    WHERE s.before + g.place <= 40 AND s.own < (SELECT max(batch) FROM s b WHERE b.lane = s.lane)""")
+def _(t: Tables) -> DataFrame:
+    """Prompts whose metrics vary, from eight rounds, collected for each source until there are forty."""
+    top = scratch(t)
+    prompts = t.documents.filter("doc_id IS NOT NULL").select(X.text(F.col("source")).alias("lane"), (F.col("doc_id") % 8).alias("round"), "doc_id", F.array(F.col("n_chars") % 3, F.col("doc_id") % 3).alias("metrics"))
+    prompts.repartitionByRange(8, "round").write.parquet(f"{top}/in")  # a round is in one file
+    stream = full.collected(resume.files(t.spark, f"{top}/in", prompts.schema), "lane", F.col("round"), F.col("doc_id"), full.varied(F.col("metrics")), ["doc_id"], 40)
+    stream.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{top}/out")
+
+
+@query("stream_loader", """
+    WITH n AS (SELECT count(*) AS n, greatest(count(*) // 8, 1) AS size FROM {documents}),
+    p AS (SELECT e.epoch, doc_id, source, row_number() OVER (PARTITION BY e.epoch ORDER BY md5(concat('5|', e.epoch, '|', doc_id)), doc_id) - 1 AS position FROM {documents}, (SELECT unnest([0, 1]) AS epoch) e)
+    SELECT CAST(epoch AS BIGINT) AS epoch, epoch * (n // size) + position // size AS step, position, doc_id, source FROM p, n WHERE position < n - n % size""")
 def _(t: Tables) -> DataFrame:
-    """Passing rows collected batch by batch until all are there, and handed to a table at once."""
-    top, rows = scratch(t), t.orders.select("o_orderkey")
-    rows.repartitionByRange(4, "o_orderkey").write.parquet(f"{top}/in")
-    passing = rows.filter("o_orderkey % 2 = 0").count()
-    stream = resume.files(t.spark, f"{top}/in", rows.schema)
-    resume.full_batches(stream, passing, "o_orderkey % 2 = 0", lambda b: b.write.mode("append").parquet(f"{top}/out"), f"{top}/store", f"{top}/checkpoint").awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{top}/out")
+    """Two epochs of a loader that is stopped in the middle of the second one and started again on its checkpoint."""
+    top, rows = scratch(t), t.documents.select("doc_id", "source")
+    n = rows.count()
+    size = max(n // 8, 1)
+
+    def sink(batch: DataFrame, step: int) -> None:
+        batch.withColumn("step", F.lit(step).cast("long")).write.mode("overwrite").parquet(f"{top}/out/number={step}")
+
+    for steps in (n // size + 3, 2 * (n // size)):
+        loader.load(rows, ["doc_id"], size, steps, sink, f"{top}/epochs", f"{top}/checkpoint", seed=5)
+    return t.spark.read.schema("epoch long, step long, position long, doc_id long, source string").parquet(f"{top}/out/*")

@@ -1,14 +1,12 @@
-"""Streams over files: append-only output with resume, row counts while rewriting, full batches, a coefficient carried between steps."""
+"""Streams over files: append-only output with resume, row counts while rewriting, a coefficient carried between steps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import pending
-from tessera.sources.files import children, exists
+from tessera.sources.files import exists
 
 
 def append_pending(stream: DataFrame, out: str, checkpoint: str, title: str = "title"):
@@ -34,29 +32,6 @@ def files(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def full_batches(stream: DataFrame, size: int, keep: str | None, sink: Callable[[DataFrame], None], store: str, checkpoint: str):
-    """Collects passing rows in `store` until there are `size`, then hands them to `sink` and starts again.
-
-    keep: a predicate on the stream, as a SQL text, or None.  What was handed over
-    is marked in `store`, so a query that is restarted on its checkpoint goes on
-    with the rows since then.  A batch that fails between sink and mark is
-    handed over again."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        passing = batch.filter(keep) if keep is not None else batch
-        passing.write.mode("overwrite").parquet(f"{store}/part={number}")
-        handed = [int(x.removeprefix("handed=")) for x in children(spark, store) if x.startswith("handed=")]
-        begin = max((x + 1 for x in handed if x < number), default=0)  # a batch that is run again finds what it found before
-        parts = sorted(int(x.removeprefix("part=")) for x in children(spark, store) if x.startswith("part="))
-        held = spark.read.schema(batch.schema).parquet(*[f"{store}/part={i}" for i in parts if begin <= i <= number])
-        if number not in handed and held.count() >= size:
-            sink(held.limit(size))
-            spark.range(1).write.mode("overwrite").parquet(f"{store}/handed={number}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def carried_coefficient(stream: DataFrame, key: str, current: str, start: float, target: float, horizon: float, steps: float) -> DataFrame:
     """The adaptive coefficient of each key after each batch of measurements, by state."""
     import pandas as pd

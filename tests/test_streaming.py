@@ -20,23 +20,6 @@ def test_rewrite(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("id")).first()[0] == 4950
 
 
-def test_full_batches(spark, tmp_path):
-    for i in range(4):
-        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    got = []
-    S.full_batches(S.files(spark, str(tmp_path / "in"), "id long"), 8, "id % 2 = 0", lambda b: got.append(b.count()), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
-    assert got == [8, 8]
-
-
-def test_full_batches_after_a_restart(spark, tmp_path):
-    """Each run sees one more file; nothing is handed over twice."""
-    got = []
-    for i in range(5):
-        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        S.full_batches(S.files(spark, str(tmp_path / "in"), "id long"), 8, "id % 2 = 0", lambda b: got.append(sorted(r["id"] for r in b.collect())), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
-    assert list(map(len, got)) == [8, 8] and max(got[0]) < 20 <= min(got[1]) and max(got[1]) < 40
-
-
 def test_carried_coefficient(spark, tmp_path):
     spark.createDataFrame([("k", 2.0), ("k", 0.5)], "key string, kl double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = S.files(spark, str(tmp_path / "in"), "key string, kl double")
