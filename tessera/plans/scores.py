@@ -425,11 +425,17 @@ def _(t: Tables) -> DataFrame:
     return _answers(t).select("p_partkey", r6(P.geo_score(M.grader(M.lenient_score)(said, F.col("truth")), P.geo_format(said))).alias("score"))
 
 
-@query("grd_prime_math", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END AS DOUBLE) AS score FROM {part}")
+@query("grd_prime_math", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 6 IN (2, 5) THEN 0 ELSE 1 END AS DOUBLE) AS score FROM {part}")
 def _(t: Tables) -> DataFrame:
+    """Numbers, a hundredfold included; polynomials in other forms, right and wrong; matrices in other brackets."""
     k = F.col("p_partkey")
-    said = F.concat(F.lit("The answer is "), F.when(k % 3 == 0, k * 100).when(k % 3 == 1, k).otherwise(k + 1).cast("string"), F.lit("."))
-    return t.part.select("p_partkey", M.grader(M.lenient_score)(said, F.concat("p_partkey", F.lit(".0"))).alias("score"))
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    square = lambda last: text("x^2 + ", 2 * k, "x + ", last)
+    form = (k % 6 + 1).cast("int")
+    said = F.element_at(F.array((k * 100).cast("string"), k.cast("string"), (2 * k + 1).cast("string"), square(k * k), text("\\begin{bmatrix} ", k, " & 1 \\\\ 2 & 3 \\end{bmatrix}"), square(k * k + 1)), form)
+    plain, factored = text(k, ".0"), text("(x + ", k, ")^2")
+    truth = F.element_at(F.array(plain, plain, plain, factored, text("\\begin{pmatrix} \\frac{", 2 * k, "}{2} & 1 \\\\ 2 & 3.0 \\end{pmatrix}"), factored), form)
+    return spread(t.part.select("p_partkey", said.alias("said"), truth.alias("truth"))).select("p_partkey", M.grader(M.lenient_score)(text("The answer is ", F.col("said"), "."), F.col("truth")).alias("score"))
 
 
 @query("grd_prime_code", "SELECT uid, round(avg(acc) FILTER (WHERE idx < 10), 6) AS score FROM {rollouts} GROUP BY uid")
