@@ -182,3 +182,10 @@ def flops(tokens: Column, squares: Column, parameters: float, head: int, heads:
 
 def digit_sequence(first: Column, step: Column, count: int, modulus: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: (first + i * step) % modulus)
+
+
+def random_left_mask(n: Column, key: Column, seed: int = 0) -> Column:
+    """n ones of which a number of first ones, less than half of n, by a hash of seed and key, are 0."""
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 13), 16, 10).cast("long")
+    left = F.pmod(hashed, F.greatest(F.floor(n / 2), F.lit(1)))
+    return F.transform(F.array_repeat(F.lit(1), n), lambda _, i: (i >= left).cast("int"))

@@ -304,3 +304,20 @@ def metric_line(c: Column) -> Column:
 
 def strip_pad(c: Column, pad: str = "<|endoftext|>") -> Column:
     return F.replace(text(c), F.lit(pad), F.lit(""))
+
+
+def think_token_mask(c: Column, offsets: Column, mask: Column | None = None, prompt: Column | int = 0, open_tag: str = "<Think>", close_tag: str = "</Think>") -> Column:
+    """mask (all ones if none is given) with 0 for the tokens of the first think block and the one before them.
+
+    offsets: per token of the response its start and end, in order; a token is in the block if it begins and ends
+    in it, tags included, and isn't empty.  mask has `prompt` places before the response's
+    tokens, and may end before the last of them.  Without a whole block the mask stays."""
+    prompt = prompt if isinstance(prompt, Column) else F.lit(prompt)
+    mask = F.array_repeat(F.lit(1), F.size(offsets) + prompt) if mask is None else mask
+    opens = F.locate(open_tag, text(c)) - 1
+    closes = F.when(opens >= 0, F.call_function("locate", F.lit(close_tag), text(c), opens + 1 + len(open_tag)) - 1).otherwise(-1)
+    inside = F.transform(offsets, lambda o: (o["start"] >= opens) & (o["end"] <= closes + len(close_tag)) & (o["end"] > o["start"]))
+    first = F.array_position(inside, True) - 1 + prompt
+    last = F.size(offsets) - F.array_position(F.reverse(inside), True) + prompt
+    hidden = F.transform(mask, lambda m, i: F.when(i.between(first - 1, last), F.lit(0).cast("int")).otherwise(m))
+    return F.when((closes >= 0) & F.exists(inside, lambda x: x), hidden).otherwise(mask)

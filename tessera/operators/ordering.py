@@ -36,10 +36,8 @@ def _range(cuts: list[Column], key: Column) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * wide + inside)
 
 
-def sum_before(df: DataFrame, order: Sequence[Column], value: Column, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """df with the sum of value (whole numbers) over all rows before the row in the
-    order, ascending, nulls first; 0 for the first row.  Rows of equal keys come
-    in any order."""
+def _ranged(df: DataFrame, order: Sequence[Column], value: Column, range_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """df with its keys, value (__v) and __range; per range __r its sum __s and the sum before it, __offset; the keys' names."""
     keys = [f"__o{i}" for i in range(len(order))]
     keyed = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)), value.cast("long").alias("__v"))
     rows = keyed.count()
@@ -48,13 +46,50 @@ def sum_before(df: DataFrame, order: Sequence[Column], value: Column, name: str,
     ranged = keyed.withColumn("__range", _range(cuts, F.struct(*keys)))
     sums = ranged.groupBy("__range").agg(F.sum("__v").alias("__s"))
     # One row for each range.
-    offsets = sums.select(F.col("__range").alias("__r"), (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__offset"))
+    offsets = sums.select(F.col("__range").alias("__r"), "__s", (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__offset"))
+    return ranged, offsets, keys
+
+
+def sum_before(df: DataFrame, order: Sequence[Column], value: Column, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with the sum of value (whole numbers) over all rows before the row in the
+    order, ascending, nulls first; 0 for the first row.  Rows of equal keys come
+    in any order."""
+    ranged, offsets, keys = _ranged(df, order, value, range_rows)
     inside = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     summed = ranged.withColumn("__before", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    joined = summed.join(F.broadcast(offsets), F.col("__range") == F.col("__r"))
+    joined = summed.join(F.broadcast(offsets.drop("__s")), F.col("__range") == F.col("__r"))
     return joined.withColumn(name, (F.col("__offset") + F.col("__before")).cast("long")).select(*df.columns, name)
 
 
+def draw_places(spark, k: int, n: int, seed: int) -> DataFrame:
+    """draw (0 to k - 1) and __place (0 to n - 1), by a hash of seed and draw; __place differs from even odds by less than n / 2**52."""
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("long")
+    return spark.range(k).select(F.col("id").alias("draw")).withColumn("__place", F.pmod(hashed, F.lit(n)))
+
+
+def drawn(df: DataFrame, order: Sequence[Column], k: int, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Exactly k rows of df with replacement, each with its draw, from 0; no row of an empty df.
+
+    The draws are places in the order, so they are the same however df is split.  Rows are
+    counted by range; only the ranges that are drawn from are numbered."""
+    ranged, offsets, keys = _ranged(df, order, F.lit(1), range_rows)
+    n = offsets.agg(F.sum("__s")).first()[0]
+    if not n or k < 1:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("long"))
+    places = draw_places(df.sparkSession, k, n, seed)
+    # A row per range against k draws.
+    hit = places.join(F.broadcast(offsets), (F.col("__place") >= F.col("__offset")) & (F.col("__place") < F.col("__offset") + F.col("__s")))
+    hit = hit.select("draw", F.col("__r"), (F.col("__place") - F.col("__offset")).alias("__inside"))
+    some = ranged.join(F.broadcast(hit.select("__r").distinct()), F.col("__range") == F.col("__r"), "left_semi")  # a row per range at most
+    numbered = some.withColumn("__i", F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1)
+    return numbered.join(hit, (F.col("__range") == F.col("__r")) & (F.col("__i") == F.col("__inside"))).select(*df.columns, "draw")
+
+
+def shown(df: DataFrame, order: Sequence[Column], k: int, seed: int = 0) -> DataFrame:
+    """k rows drawn with replacement from more than k; all rows, in order, if there are no more."""
+    return drawn(df, order, k, seed) if df.limit(k + 1).count() > k else positions(df, order, "draw")
+
+
 def positions(df: DataFrame, order: Sequence[Column], name: str = "index", range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with 0-based positions in the order."""
     return sum_before(df, order, F.lit(1), name, range_rows)

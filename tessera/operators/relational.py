@@ -115,18 +115,32 @@ def unfold(df: DataFrame) -> DataFrame:
     return df.select("block", F.explode("rows").alias("r")).select("block", "r.*")
 
 
-def flatten_schema(df: DataFrame, sep: str = "/") -> DataFrame:
-    """Nested fields as flat columns a/b; arrays as their length a/list_len."""
+def flatten_schema(df: DataFrame, elements: int = 0, sep: str = "/") -> DataFrame:
+    """Nested fields as flat columns a/b; arrays as their length a/list_len and their first `elements` elements a/0, a/1, ...,
+    null beyond the array's end.  Use most_elements() for all of them."""
+
     def walk(prefix: str, kind, path: Column) -> list[Column]:
         if kind.typeName() == "struct":
             return [x for f in kind.fields for x in walk(f"{prefix}{sep}{f.name}" if prefix else f.name, f.dataType, path[f.name])]
         if kind.typeName() == "array":
-            return [F.size(path).alias(f"{prefix}{sep}list_len")]
+            return [F.size(path).alias(f"{prefix}{sep}list_len"), *(x for i in range(elements) for x in walk(f"{prefix}{sep}{i}", kind.elementType, F.get(path, F.lit(i))))]
         return [path.alias(prefix)]
 
     return df.select(*(x for f in df.schema.fields for x in walk(f.name, f.dataType, F.col(f"`{f.name}`"))))
 
 
+def most_elements(df: DataFrame) -> int:
+    """The length of the longest array that is a column, or a field of one."""
+
+    def arrays(kind, path: Column) -> list[Column]:
+        if kind.typeName() == "struct":
+            return [x for f in kind.fields for x in arrays(f.dataType, path[f.name])]
+        return [F.size(path)] if kind.typeName() == "array" else []
+
+    sizes = [x for f in df.schema.fields for x in arrays(f.dataType, F.col(f"`{f.name}`"))]
+    return max(0, df.agg(F.max(F.greatest(*sizes) if len(sizes) > 1 else sizes[0])).first()[0] or 0) if sizes else 0
+
+
 # ------------------------------------------------------------------ filters
 
 

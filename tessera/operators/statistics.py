@@ -92,6 +92,30 @@ def token_leave_one_out(df: DataFrame, value: str, mask: str, response: str, gro
     return F.when(m > 0, x * (n / (n - 1)) - total / (n - 1)).otherwise(0.0)
 
 
+def prime_advantages(df: DataFrame, response: str, group: str, order: str, mask: str, n: int, sources: Sequence[tuple[str, str, float]], name: str = "advantage") -> DataFrame:
+    """df with `returns` and `name`: leave-one-out advantages of several reward sources, weighted and summed, then summed
+    over the tokens from each one on, and whitened over the masked tokens.
+
+    sources: (values, mask, coefficient), as a model's token rewards under the response mask, and an
+    outcome on the last token under a mask of that token alone; a coefficient of 0 leaves a source out.  A group has n responses."""
+    used = [(v, m, c) for v, m, c in sources if c]
+    if not used:
+        raise ValueError("no reward source counts")
+    total = None
+    for values, own, coefficient in used:
+        part = token_leave_one_out(df, values, own, response, group, n) * coefficient
+        total = part if total is None else total + part
+    summed = df.withColumn("__r", total).withColumn("returns", reverse_running(F.col("__r") * F.col(mask), [group, response], order))
+    return whiten(summed.drop("__r"), "returns", mask, name)
+
+
+def best_of_n_weight(value: Column, *group: str) -> Column:
+    """n times the share of the group's values that are at most this one, to the power n - 1: how much likelier it is the best of n draws.
+    Equal values share the largest rank."""
+    n = F.count("*").over(Window.partitionBy(*group))
+    return n * F.pow(F.cume_dist().over(Window.partitionBy(*group).orderBy(value)), n - 1)
+
+
 def reverse_running(value: Column, group: Sequence[str], order: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
 
@@ -107,10 +131,10 @@ def majority(df: DataFrame, group: Sequence[str], vote: str, value: str, index:
     return best.select(*group, F.col(f"__b.{vote}").alias(vote), F.col("__b.__value").alias("value"), F.col("__b.__n").alias("votes"))
 
 
-def expected_best(values: Column, n: int, worst: bool = False) -> Column:
+def expected_best(values: Column, n: int | Column, worst: bool = False) -> Column:
     """The expected best of n draws with replacement from an array, in closed form."""
-    s, size = F.sort_array(values, asc=not worst), F.size(values)
-    terms = F.transform(s, lambda x, i: x * (F.pow((i + 1) / size, F.lit(n)) - F.pow(i / size, F.lit(n))))
+    s, size, n = F.sort_array(values, asc=not worst), F.size(values), n if isinstance(n, Column) else F.lit(n)
+    terms = F.transform(s, lambda x, i: x * (F.pow((i + 1) / size, n) - F.pow(i / size, n)))
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import batches as B
+from tessera.operators import ordering as O
 from tessera.operators import relational as R
-from tessera.plans.registry import Tables, query
+from tessera.operators import validation as V
+from tessera.plans.registry import Tables, query, scratch
 from tessera.sources import files as S
 from tessera.streaming import full, loader, resume
 
@@ -24,17 +23,6 @@ def strip_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{W}+|{W}+$', '', 'g')"
 
 
-def scratch(t: Tables) -> str:
-    """A folder that all executors see: under spark.checkpoint.dir; only where that is unset and
-    Spark runs on this machine alone, as in tests, a temporary one."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None)
-    if top:
-        return f"{top.rstrip('/')}/tessera-io-{os.urandom(6).hex()}"
-    if not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tessera-")
-
-
 # ------------------------------------------------------------------ sources
 
 
@@ -135,9 +123,15 @@ def _(t: Tables) -> DataFrame:
     return m.select(S.metric_line(F.col("step"), {"score": F.col("score"), "len": F.col("len")}).alias("line"))
 
 
-@query("sink_val_table", "SELECT uid, idx, score FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42|', uid, '|', idx)), uid, idx) AS k FROM {rollouts}) x WHERE k <= 10")
+@query("sink_val_table", """WITH r AS (SELECT *, len % 3 AS step, row_number() OVER (PARTITION BY len % 3 ORDER BY md5(concat('42|', uid, '|', idx)), uid, idx) AS k FROM {rollouts})
+    SELECT step, max(CASE WHEN k = 1 THEN uid END) AS uid_1, max(CASE WHEN k = 1 THEN idx END) AS idx_1, max(CASE WHEN k = 1 THEN score END) AS score_1, max(CASE WHEN k = 2 THEN uid END) AS uid_2, max(CASE WHEN k = 2 THEN idx END) AS idx_2, max(CASE WHEN k = 2 THEN score END) AS score_2, max(CASE WHEN k = 3 THEN uid END) AS uid_3, max(CASE WHEN k = 3 THEN idx END) AS idx_3, max(CASE WHEN k = 3 THEN score END) AS score_3 FROM r WHERE k <= 3 GROUP BY step""")
 def _(t: Tables) -> DataFrame:
-    return t.rollouts.select("uid", "idx", "score").orderBy(*R.shuffled_order(42, F.col("uid"), F.col("idx"))).limit(10)
+    """Three steps' samples, each step appended as one row with its samples side by side."""
+    top = scratch(t) + "/samples"
+    for step in range(3):
+        samples = t.rollouts.filter(F.col("len") % 3 == step)
+        V.validation_row(samples, step, R.shuffled_order(42, F.col("uid"), F.col("idx")), ["uid", "idx", "score"], 3).write.mode("append").parquet(top)
+    return t.spark.read.parquet(top)
 
 
 # -------------------------------------------------------------- projections
@@ -240,9 +234,13 @@ def _(t: Tables) -> DataFrame:
     return t.rollouts.groupBy("uid").agg(merged.alias("m")).select("uid", F.col("m")["source"].alias("source"), F.col("m")["vote"].alias("vote"))
 
 
-@query("prj_flatten_nested", 'SELECT id, goal AS "extra/goal", 2 AS "extra/list/list_len" FROM {papers}')
+@query("prj_flatten_nested", """SELECT id, goal AS "extra/goal", n_focuses % 3 + 1 AS "extra/list/list_len", id AS "extra/list/0/k", venue AS "extra/list/0/v",
+    CASE WHEN n_focuses % 3 >= 1 THEN id + 1 END AS "extra/list/1/k", CASE WHEN n_focuses % 3 >= 1 THEN venue END AS "extra/list/1/v", CASE WHEN n_focuses % 3 >= 2 THEN id + 2 END AS "extra/list/2/k", CASE WHEN n_focuses % 3 >= 2 THEN venue END AS "extra/list/2/v" FROM {papers}""")
 def _(t: Tables) -> DataFrame:
-    return R.flatten_schema(t.papers.select("id", F.struct("goal", F.array("id", "id").alias("list")).alias("extra")))
+    items = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_focuses") % 3), lambda i: F.struct((F.col("id") + i).alias("k"), F.col("venue").alias("v")))
+    rows = t.papers.select("id", F.struct("goal", items.alias("list")).alias("extra"))
+    flat = R.flatten_schema(rows, R.most_elements(rows))
+    return flat.withColumn("extra/list/list_len", F.col("`extra/list/list_len`").cast("long"))
 
 
 @query("prj_chat_template", "SELECT conv_id, concat(string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '' ORDER BY turn), '<|im_start|>assistant', chr(10)) AS prompt FROM {conversations} GROUP BY conv_id")
@@ -368,10 +366,22 @@ def _(t: Tables) -> DataFrame:
     return p.select("uid", "i_a", "i_b", F.round(F.col("score_a") - F.col("score_b"), 6).alias("gap"))
 
 
-@query("join_permutation", "SELECT n_nationkey, n_name, (n_nationkey * 7 + 3) % 25 AS position FROM {nation}")
+#: The customers' numbers with their place, for DuckDB.
+_PLACED = "(SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM {customer}) c"
+
+
+def _placed(t: Tables) -> tuple[DataFrame, int]:
+    """Customers with their place i, and how many there are."""
+    rows = R.positions(t.customer.select("c_custkey", "c_name"), [F.col("c_custkey")], "i")
+    return rows, t.customer.count()
+
+
+@query("join_permutation", f"SELECT c_custkey, c_name, i, (i * 7 + 3) % n AS position FROM {_PLACED}")
 def _(t: Tables) -> DataFrame:
-    order = t.nation.select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("position"))
-    return R.reorder(t.nation.select("n_nationkey", "n_name"), "n_nationkey", order)
+    """By a permutation table; 7 divides no count of the tables."""
+    rows, n = _placed(t)
+    order = rows.select(F.col("i").alias("source"), ((F.col("i") * 7 + 3) % n).alias("position"))
+    return R.reorder(rows, "i", order)
 
 
 # --------------------------------------------------------- sorting, sampling
@@ -397,24 +407,31 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.max("value").alias("best"))
 
 
-@query("srt_sample")
+@query("srt_sample", f"""WITH d AS (SELECT k AS draw, CAST('0x' || substr(md5(concat('3|', k)), 1, 13) AS BIGINT) AS h FROM (SELECT unnest(range(400)) AS k) x)
+    SELECT c_custkey, c_name, draw FROM d JOIN {_PLACED} ON d.h % c.n = c.i""")
 def _(t: Tables) -> DataFrame:
-    return t.customer.sample(withReplacement=True, fraction=0.1, seed=3)
+    """Exactly 400 customers, with replacement."""
+    return O.drawn(t.customer.select("c_custkey", "c_name"), [F.col("c_custkey")], 400, seed=3)
 
 
-@query("srt_mini_batches", "SELECT epoch, n_nationkey // 10 AS batch, n_nationkey FROM {nation}, (SELECT unnest([0, 1]) AS epoch) e")
+@query("srt_mini_batches", f"SELECT epoch, i // 64 AS batch, c_custkey FROM {_PLACED}, (SELECT unnest([0, 1]) AS epoch) e")
 def _(t: Tables) -> DataFrame:
-    return B.mini_batches(t.nation.select("n_nationkey"), "n_nationkey", 10, 2)
+    return B.mini_batches(_placed(t)[0], "i", 64, 2).select("epoch", "batch", "c_custkey")
 
 
-@query("srt_shard", "SELECT n_nationkey, n_nationkey % 4 AS rank FROM {nation} WHERE n_nationkey < 24")
+@query("srt_shard", f"SELECT c_custkey, i % 4 AS rank FROM {_PLACED} WHERE i < n - n % 4")
 def _(t: Tables) -> DataFrame:
-    return B.shard(t.nation.select("n_nationkey"), "n_nationkey", 25, 4)
+    return B.shard(*_args(t, "i"), 4).select("c_custkey", "rank")
+
+
+def _args(t: Tables, index: str) -> tuple[DataFrame, str, int]:
+    rows, n = _placed(t)
+    return rows, index, n
 
 
-@query("srt_drop_last", "SELECT n_nationkey FROM {nation} WHERE n_nationkey < 24")
+@query("srt_drop_last", f"SELECT c_custkey FROM {_PLACED} WHERE i < n - n % 64")
 def _(t: Tables) -> DataFrame:
-    return B.drop_last(t.nation.select("n_nationkey"), "n_nationkey", 25, 8)
+    return B.drop_last(*_args(t, "i"), 64).select("c_custkey")
 
 
 # ---------------------------------------------------------- set operations
@@ -432,20 +449,22 @@ def _(t: Tables) -> DataFrame:
     return B.union_filled(left, right).select("k", "x.a", "x.b")
 
 
-@query("set_concat", "SELECT n_nationkey FROM {nation} UNION ALL SELECT n_nationkey FROM {nation}")
+@query("set_concat", "SELECT c_custkey, c_name FROM {customer} UNION ALL SELECT c_custkey, c_name FROM {customer}")
 def _(t: Tables) -> DataFrame:
-    n = t.nation.select("n_nationkey")
+    n = t.customer.select("c_custkey", "c_name")
     return n.unionAll(n)
 
 
-@query("set_chunk", "SELECT n_nationkey, n_nationkey // 5 AS chunk FROM {nation}")
+@query("set_chunk", f"SELECT c_custkey, i // (n // 5) AS chunk FROM {_PLACED}")
 def _(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", B.chunk(F.col("n_nationkey"), 25, 5).alias("chunk"))
+    rows, n = _placed(t)
+    return rows.select("c_custkey", B.chunk(F.col("i"), n, 5).alias("chunk"))
 
 
-@query("set_split_size", "SELECT n_nationkey, n_nationkey // 5 AS batch FROM {nation}")
+@query("set_split_size", f"SELECT c_custkey, i // 10 AS batch FROM {_PLACED}")
 def _(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", B.split_size(F.col("n_nationkey"), 25, 5).alias("batch"))
+    rows, n = _placed(t)
+    return rows.select("c_custkey", B.split_size(F.col("i"), n, 10).alias("batch"))
 
 
 @query("set_allgather", "SELECT n_regionkey, array_agg(n_nationkey ORDER BY n_nationkey) AS keys FROM {nation} GROUP BY n_regionkey")
@@ -453,19 +472,20 @@ def _(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("keys"))
 
 
-@query("set_repeat_interleave", "SELECT n_nationkey, rep, n_nationkey * 3 + rep AS position FROM {nation}, (SELECT unnest([0, 1, 2]) AS rep) r")
+@query("set_repeat_interleave", f"SELECT c_custkey, rep, i * 3 + rep AS position FROM {_PLACED}, (SELECT unnest([0, 1, 2]) AS rep) r")
 def _(t: Tables) -> DataFrame:
-    return B.repeat_rows(t.nation.select("n_nationkey"), 3).withColumn("position", F.col("n_nationkey") * 3 + F.col("rep"))
+    return B.repeat_rows(_placed(t)[0], 3).select("c_custkey", "rep", (F.col("i") * 3 + F.col("rep")).alias("position"))
 
 
-@query("set_repeat_tile", "SELECT n_nationkey, rep, rep * 25 + n_nationkey AS position FROM {nation}, (SELECT unnest([0, 1, 2]) AS rep) r")
+@query("set_repeat_tile", f"SELECT c_custkey, rep, rep * n + i AS position FROM {_PLACED}, (SELECT unnest([0, 1, 2]) AS rep) r")
 def _(t: Tables) -> DataFrame:
-    return B.repeat_rows(t.nation.select("n_nationkey"), 3).withColumn("position", F.col("rep") * 25 + F.col("n_nationkey"))
+    rows, n = _placed(t)
+    return B.repeat_rows(rows, 3).select("c_custkey", "rep", (F.col("rep") * n + F.col("i")).alias("position"))
 
 
-@query("set_pad_divisor", "SELECT n_nationkey, n_name, FALSE AS padded FROM {nation} UNION ALL SELECT n_nationkey + 25, n_name, TRUE FROM {nation} WHERE n_nationkey < 7")
+@query("set_pad_divisor", f"SELECT i, c_custkey, c_name, FALSE AS padded FROM {_PLACED} UNION ALL SELECT i + n, c_custkey, c_name, TRUE FROM {_PLACED} WHERE i < (64 - n % 64) % 64")
 def _(t: Tables) -> DataFrame:
-    return B.pad_to_divisor(t.nation.select("n_nationkey", "n_name"), "n_nationkey", 25, 16)
+    return B.pad_to_divisor(*_args(t, "i"), 64).select("i", "c_custkey", "c_name", "padded")
 
 
 @query("set_transpose", "SELECT uid, array_agg(len ORDER BY idx) AS values FROM {rollouts} GROUP BY uid")

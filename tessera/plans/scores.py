@@ -13,6 +13,7 @@ from tessera.operators import batches as B
 from tessera.operators import relational as R
 from tessera.plans.data import W, strip_sql
 from tessera.plans.registry import Tables, query, spread
+from tessera.sources import files as S
 
 NW = rf"[^{W[1:]}"
 
@@ -220,9 +221,17 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.capitalize(F.col("p_type")).alias("type"))
 
 
-@query("txt_mask_think", "SELECT id, length(response) - CASE WHEN id % 10 = 0 THEN 0 ELSE length(regexp_extract(response, '(?s)<Think>.*</Think>')) END AS kept FROM {responses}")
+@query("txt_mask_think", r"""WITH r AS (SELECT id, response, instr(response, '<Think>') - 1 AS o FROM {responses}), p AS (SELECT *, CASE WHEN o >= 0 AND instr(substr(response, o + 8), '</Think>') > 0 THEN o + 7 + instr(substr(response, o + 8), '</Think>') - 1 + 8 END AS e FROM r),
+    k AS (SELECT id, o, e, i // 5 AS t, i AS a, least(i + 5, length(response)) AS b FROM (SELECT *, unnest(range(0, length(response), 5)) AS i FROM p) x),
+    m AS (SELECT id, min(t) FILTER (WHERE a >= o AND b <= e AND b > a) AS first, max(t) FILTER (WHERE a >= o AND b <= e AND b > a) AS last, max(t) + 1 AS n FROM k GROUP BY id),
+    c AS (SELECT id, length(response) - CASE WHEN id % 10 = 0 THEN 0 ELSE length(regexp_extract(response, '(?s)<Think>.*</Think>')) END AS kept FROM {responses})
+    SELECT c.id, kept, list_transform(range(coalesce(n, 0) + 2), lambda j: CAST(CASE WHEN j BETWEEN first + 1 AND last + 2 THEN 0 ELSE 1 END AS INTEGER)) AS mask FROM c LEFT JOIN m ON c.id = m.id""")
 def _(t: Tables) -> DataFrame:
-    return t.responses.select("id", A.total(X.think_mask(F.col("response"))).cast("long").alias("kept"))
+    """Of characters, how many are kept; of tokens of five code points after a prompt of two, the mask."""
+    n = F.length("response")
+    offsets = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(5)), lambda i: F.struct(i.alias("start"), F.least(i + 5, n).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    rows = t.responses.select("id", "response", offsets.alias("offsets"))
+    return rows.select("id", A.total(X.think_mask(F.col("response"))).cast("long").alias("kept"), X.think_token_mask(F.col("response"), F.col("offsets"), prompt=2).alias("mask"))
 
 
 @query("txt_metric_line", "SELECT c_custkey, c_acctbal AS reward FROM {customer}")
@@ -491,10 +500,12 @@ def _(t: Tables) -> DataFrame:
     return _preferences(t).select("id", "prompt", F.explode(F.array("chosen", "rejected")).alias("response"))
 
 
-@query("cnv_hh_rm", "SELECT id, CASE WHEN i < n * 75 // 100 THEN 'train' ELSE 'test' END AS split FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM {papers}) x")
+@query("cnv_hh_rm", """WITH x AS (SELECT id, coalesce(goal, '') AS prompt, think AS chosen, result AS rejected, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM {papers})
+    SELECT id, prompt, chosen, rejected, 'train' AS split FROM x WHERE i < n * 75 // 100 UNION ALL SELECT id, prompt, chosen, rejected, 'test' FROM x WHERE i >= n * 75 // 100""")
 def _(t: Tables) -> DataFrame:
-    rows = R.positions(_preferences(t).select("id"), [F.col("id")])
-    return rows.select("id", F.when(F.col("index") < t.papers.count() * 75 // 100, "train").otherwise("test").alias("split"))
+    """Pairs, the first three quarters for training."""
+    pairs, by_id = _preferences(t), [F.col("id")]
+    return S.percent_slice(pairs, by_id, 0, 75).withColumn("split", F.lit("train")).unionByName(S.percent_slice(pairs, by_id, 75, 100).withColumn("split", F.lit("test")))
 
 
 @query("cnv_hh_rl", "SELECT id, 'user' AS role, coalesce(goal, '') AS content, 'alignment' AS ability, 'model' AS style FROM {papers}")
@@ -503,11 +514,15 @@ def _(t: Tables) -> DataFrame:
     return rows.select("id", F.col("prompt")[0]["role"].alias("role"), F.col("prompt")[0]["content"].alias("content"), "ability", "reward_model.style")
 
 
-@query("cnv_multiturn", "SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles, CASE WHEN conv_id < 2 THEN 'train' ELSE 'test' END AS split FROM {conversations} GROUP BY conv_id")
+@query("cnv_multiturn", """WITH c AS (SELECT conv_id, count(*) AS turns, array_agg(role ORDER BY turn) AS roles, array_agg(text ORDER BY turn) AS contents FROM {conversations} GROUP BY conv_id), p AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS i, count(*) OVER () AS n FROM c)
+    SELECT conv_id, turns, roles, contents, CASE WHEN i < n * 2 // 3 THEN 'train' ELSE 'test' END AS split FROM p""")
 def _(t: Tables) -> DataFrame:
+    """Whole conversations, the first two thirds for training."""
     messages = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     rows = t.conversations.groupBy("conv_id").agg(messages.alias("m"))
-    return rows.select("conv_id", F.size("m").alias("turns"), F.array_join("m.role", ",").alias("roles"), F.when(F.col("conv_id") < 2, "train").otherwise("test").alias("split"))
+    placed = R.positions(rows.select("conv_id"), [F.col("conv_id")], "i")
+    split = F.when(F.col("i") < placed.count() * 2 // 3, "train").otherwise("test")
+    return rows.join(placed.select("conv_id", split.alias("split")), "conv_id").select("conv_id", F.size("m").cast("long").alias("turns"), F.col("m.role").alias("roles"), F.col("m.content").alias("contents"), "split")
 
 
 @query("cnv_geo3k", "SELECT p_partkey, concat('<image>', p_name) AS content, length(p_type) AS bytes FROM {part}")
@@ -546,15 +561,15 @@ def _(t: Tables) -> DataFrame:
     return t.events.filter((day >= "2024-01-02") & (day < "2024-01-04") & (F.from_json("props", "k long")["k"] > 20)).select("event_id", "event_type")
 
 
-@query("cnv_sft", """WITH x AS (SELECT id, pdf_url, concat('Read: ', coalesce(content, ''), ' | for ', coalesce(goal, ''), '.') AS prompt, concat('<Think>', chr(10), think, chr(10), '</Think>', chr(10), chr(10), '<Result>', chr(10), result, chr(10), '</Result>') AS response FROM {papers}
-    WHERE in_sft AND n_focuses BETWEEN 1 AND 6 AND content IS NOT NULL AND trim(content) <> '' AND goal IS NOT NULL) SELECT id, length(replace(prompt, '{GOAL}', 'g')) > 0 AS has_prompt, length(response) AS size FROM x""")
+@query("cnv_sft", """SELECT id, replace(replace(replace('Read: {CONTENT} | for {GOAL}.', '{CONTENT}', coalesce(content, '')), '{GOAL}', coalesce(goal, '')), chr(0), '') AS prompt, concat('<Think>', chr(10), think, chr(10), '</Think>', chr(10), chr(10), '<Result>', chr(10), result, chr(10), '</Result>') AS response FROM {papers}
+    WHERE in_sft AND n_focuses BETWEEN 1 AND 6 AND content IS NOT NULL AND trim(content) <> '' AND goal IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
     rows = t.papers.filter(F.col("in_sft") & R.focus_range(F.col("n_focuses")) & R.not_blank(F.col("content")) & F.col("goal").isNotNull())
     prompt, response = R.template("Read: {CONTENT} | for {GOAL}.", F.col("content"), F.col("goal")), R.wrap_tags(F.col("think"), F.col("result"))
-    return rows.select("id", (F.length(prompt) > 0).alias("has_prompt"), F.length(response).alias("size"))
+    return rows.select("id", prompt.alias("prompt"), response.alias("response"))
 
 
-#: The reference's prompts and the characters of content that they take.
+#: The tasks' prompts, and how many characters of content they take.  Other prompts can be given to rl_rows().
 RL_PROMPTS = {
     "t1": (
         """You are an expert AI research scientist and a rigorous peer reviewer. Your task is to identify the key ablation research questions that should be investigated to rigorously validate a paper's central methodological claims.
@@ -631,9 +646,9 @@ RL_PROMPTS = {
 }
 
 
-def rl_rows(papers: DataFrame, name: str) -> DataFrame:
+def rl_rows(papers: DataFrame, name: str, prompts: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """A task's reinforcement-learning rows; the first task has no goal, so a {GOAL} in its content stays."""
-    pattern, limit = RL_PROMPTS[name]
+    pattern, limit = (prompts or RL_PROMPTS)[name]
     prompt = R.template(pattern, R.truncate_chars(X.text(F.col("content")), limit), F.col("goal") if name == "t2" else F.lit("{GOAL}"))
     return papers.select(*R.rl_row(F.lit(name), prompt, "reasoning", X.text(F.col("goal")), F.struct(F.col("id").alias("index"), F.col("venue").alias("venue") if name == "t1" else F.col("title").alias("title"))))
 
@@ -660,6 +675,7 @@ def _(t: Tables) -> DataFrame:
     return _rl(t, "t2").select("data_source", F.col("prompt")[0]["content"].alias("content"), "reward_model.ground_truth", "extra_info.index")
 
 
-@query("cnv_combined", "SELECT 't1' AS data_source, id AS index, coalesce(venue, '') AS venue, '' AS title FROM {papers} WHERE in_sft UNION ALL SELECT 't2', id, '', title FROM {papers} WHERE in_sft")
+@query("cnv_combined", "SELECT data_source, content, ground_truth, index, coalesce(venue, '') AS venue, '' AS title FROM (" + _rl_sql("t1").replace(" FROM {papers}", ", venue FROM {papers}") + ") a UNION ALL SELECT data_source, content, ground_truth, index, '', title FROM (" + _rl_sql("t2").replace(" FROM {papers}", ", title FROM {papers}") + ") b")
 def _(t: Tables) -> DataFrame:
-    return B.union_filled(_rl(t, "t1"), _rl(t, "t2")).select("data_source", "extra_info.index", "extra_info.venue", "extra_info.title")
+    both = B.union_filled(_rl(t, "t1"), _rl(t, "t2"))
+    return both.select("data_source", F.col("prompt")[0]["content"].alias("content"), "reward_model.ground_truth", "extra_info.index", "extra_info.venue", "extra_info.title")

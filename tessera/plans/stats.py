@@ -10,7 +10,9 @@ from tessera.functions import scoring as P
 from tessera.operators import batches as B
 from tessera.operators import relational as R
 from tessera.operators import statistics as G
-from tessera.plans.registry import Tables, query
+from tessera.operators import validation as V
+from tessera.plans.registry import Tables, query, scratch
+from tessera.sources import files as S
 
 
 def r6(c: Column) -> Column:
@@ -148,6 +150,21 @@ def _(t: Tables) -> DataFrame:
     return G.bootstrap(t.rollouts, ["uid"], "score", "idx", 4)
 
 
+@query("agg_validation")
+def _(t: Tables) -> DataFrame:
+    """The whole report of a validation run; its closed forms are agg_expected_ladder, which has SQL."""
+    return V.validation_metrics(t.rollouts, "data_source", ["uid"], "idx", ["score", "acc"], "vote")
+
+
+@query("agg_expected_ladder", """WITH r AS (SELECT data_source, uid, score, row_number() OVER (PARTITION BY data_source, uid ORDER BY score) AS k, count(*) OVER (PARTITION BY data_source, uid) AS n FROM {rollouts}),
+    s AS (SELECT *, unnest(list_concat(list_filter([2, 4, 8, 16, 32, 64], lambda x: x < n), [n])) AS size FROM r),
+    p AS (SELECT data_source, uid, size, sum(score * (pow(k / CAST(n AS DOUBLE), size) - pow((k - 1) / CAST(n AS DOUBLE), size))) AS b, sum(score * (pow((n - k + 1) / CAST(n AS DOUBLE), size) - pow((n - k) / CAST(n AS DOUBLE), size))) AS w FROM s GROUP BY 1, 2, 3)
+    SELECT data_source, size, round(avg(b), 6) AS best, round(avg(w), 6) AS worst, count(*) AS prompts FROM p GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    e = V.expected_metrics(t.rollouts, "data_source", ["uid"], "score")
+    return e.select("data_source", "size", r6(F.col("best")).alias("best"), r6(F.col("worst")).alias("worst"), "prompts")
+
+
 @query("agg_best_worst_n", """WITH r AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score) AS k, count(*) OVER (PARTITION BY uid) AS n FROM {rollouts})
     SELECT uid, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(sum(score * (pow(k / CAST(n AS DOUBLE), 2) - pow((k - 1) / CAST(n AS DOUBLE), 2))) + 1e-9, 6) AS best_2, round(sum(score * (pow((n - k + 1) / CAST(n AS DOUBLE), 2) - pow((n - k) / CAST(n AS DOUBLE), 2))) + 1e-9, 6) AS worst_2 FROM r GROUP BY uid""")
 def _(t: Tables) -> DataFrame:
@@ -199,10 +216,14 @@ def _(t: Tables) -> DataFrame:
     return per.agg(r6(F.sum("s") / (F.sum("n") + 1e-8)).alias("token_mean"), r6(F.avg("s")).alias("seq_mean_token_sum"), r6(F.avg(F.col("s") / F.col("n"))).alias("seq_mean_token_mean"))
 
 
-@query("agg_preprocess_stats", "SELECT count(*) AS before, count(*) FILTER (WHERE in_sft) AS after, round(100.0 * count(*) FILTER (WHERE in_sft) / count(*), 6) AS percent FROM {papers}")
+@query("agg_preprocess_stats", "SELECT count(*) AS before, count(*) FILTER (WHERE in_sft) AS after, round(100.0 * count(*) FILTER (WHERE in_sft) / count(*), 6) AS percent, max(length(think)) AS longest_before, coalesce(max(length(think)) FILTER (WHERE in_sft), 0) AS longest_after, count(*) FILTER (WHERE in_sft) AS written FROM {papers}")
 def _(t: Tables) -> DataFrame:
-    kept = F.count_if("in_sft")
-    return t.papers.agg(F.count("*").alias("before"), kept.alias("after"), r6(100.0 * kept / F.count("*")).alias("percent"))
+    """Counts before and after the filter, measured by the job that writes the rows; the written table is counted beside them."""
+    think = F.max(F.length("think")).cast("long")
+    rows, seen = S.write_observed(t.papers, scratch(t) + "/kept", F.col("in_sft"), {"before": F.count("*"), "longest_before": think}, {"after": F.count("*"), "longest_after": F.coalesce(think, F.lit(0).cast("long"))})
+    before, after = seen["before"], seen["after"]
+    values = [F.lit(before).alias("before"), F.lit(after).alias("after"), F.round(F.lit(100.0 * after / before if before else None).cast("double"), 6).alias("percent"), F.lit(seen["longest_before"]).cast("long").alias("longest_before"), F.lit(seen["longest_after"]).cast("long").alias("longest_after")]
+    return rows.agg(F.count("*").alias("written")).select(*values, "written")
 
 
 # ------------------------------------------------------------------ windows
@@ -226,11 +247,19 @@ def _(t: Tables) -> DataFrame:
     return t.rollouts.select("uid", "idx", (F.round(G.leave_one_out(F.col("score"), "uid"), 5) + 0.0).alias("advantage"))
 
 
-@query("win_prime_rloo", """WITH p AS (SELECT uid // 4 AS g, uid, avg(reward) FILTER (WHERE mask = 1) AS m FROM {tokens} GROUP BY 1, 2), s AS (SELECT g, sum(m) AS total FROM p GROUP BY g)
-    SELECT x.uid, x.t, round(CASE WHEN mask = 1 THEN reward * 4.0 / 3 - total / 3 ELSE 0 END, 5) + 0.0 AS advantage FROM {tokens} x JOIN s ON x.uid // 4 = s.g""")
+@query("win_prime_rloo", """WITH e AS (SELECT *, CASE WHEN t = max(t) FILTER (WHERE mask = 1) OVER (PARTITION BY uid) THEN 1 ELSE 0 END AS last FROM {tokens}),
+    o AS (SELECT *, CASE WHEN last = 1 THEN adv ELSE 0 END AS outcome FROM e),
+    p AS (SELECT uid // 4 AS g, uid, avg(reward) FILTER (WHERE mask = 1) AS m, avg(outcome) FILTER (WHERE last = 1) AS k FROM o GROUP BY 1, 2), s AS (SELECT g, sum(m) AS total, sum(k) AS whole FROM p GROUP BY g),
+    r AS (SELECT x.uid, x.t, mask, 5.0 * CASE WHEN mask = 1 THEN reward * 4.0 / 3 - total / 3 ELSE 0 END + 2.0 * CASE WHEN last = 1 THEN outcome * 4.0 / 3 - whole / 3 ELSE 0 END AS r FROM o x JOIN s ON x.uid // 4 = s.g),
+    c AS (SELECT uid, t, mask, sum(r * mask) OVER (PARTITION BY uid ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS returns FROM r),
+    w AS (SELECT sum(returns * mask) / (sum(mask) + 1e-8) AS mean, sum(mask) AS n FROM c), v AS (SELECT sum((returns - mean) * (returns - mean) * mask) / (max(n) + 1e-8) * max(n) / (max(n) - 1) AS var FROM c, w)
+    SELECT uid, t, round(returns, 4) + 0.0 AS returns, round((returns - mean) / sqrt(var + 1e-8), 4) + 0.0 AS advantage FROM c, w, v""")
 def _(t: Tables) -> DataFrame:
-    rows = t.tokens.withColumn("g", F.floor(F.col("uid") / 4))
-    return rows.select("uid", "t", (F.round(G.token_leave_one_out(rows, "reward", "mask", "uid", "g", 4), 5) + 0.0).alias("advantage"))
+    """A token reward under the response mask and an outcome on the last token, weighted 5 and 2."""
+    end = F.max(F.when(F.col("mask") == 1, F.col("t"))).over(Window.partitionBy("uid"))
+    rows = t.tokens.withColumn("g", F.floor(F.col("uid") / 4)).withColumn("last", (F.col("t") == end).cast("int")).withColumn("outcome", F.when(F.col("last") == 1, F.col("adv")).otherwise(0.0))
+    out = G.prime_advantages(rows, "uid", "g", "t", "mask", 4, [("reward", "mask", 5.0), ("outcome", "last", 2.0)])
+    return out.select("uid", "t", (F.round("returns", 4) + 0.0).alias("returns"), (F.round("advantage", 4) + 0.0).alias("advantage"))
 
 
 @query("win_gae", """WITH d AS (SELECT uid, t, reward + 0.9 * coalesce(lead(value) OVER (PARTITION BY uid ORDER BY t), 0) - value AS delta FROM {tokens})
@@ -315,10 +344,15 @@ def _(t: Tables) -> DataFrame:
     return t.rollouts.withColumn("k", F.row_number().over(w)).filter("k <= 5").select("data_source", "uid", "idx")
 
 
-@query("win_step_schedule", "SELECT i AS step, round(CASE WHEN i < 2 THEN i / 2.0 ELSE 1 END * 1e-3, 9) AS constant, round(CASE WHEN i < 2 THEN i / 2.0 ELSE greatest(0, cos(pi() * 0.5 * 2 * (i - 2) / 3.0) * 0.45 + 0.55) END * 1e-3, 9) AS cosine FROM (SELECT unnest(range(5)) AS i) x")
+@query("win_step_schedule", """WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM {documents} WHERE doc_id IS NOT NULL), w AS (SELECT *, greatest(n // 10, 1) AS up FROM s)
+    SELECT doc_id, i AS step, round(CASE WHEN i < up THEN i / CAST(up AS DOUBLE) ELSE 1 END * 1e-3, 9) AS constant,
+    round(CASE WHEN i < up THEN i / CAST(up AS DOUBLE) ELSE greatest(0, cos(pi() * 0.5 * 2 * (i - up) / CAST(greatest(n - up, 1) AS DOUBLE)) * 0.45 + 0.55) END * 1e-3, 9) AS cosine FROM w""")
 def _(t: Tables) -> DataFrame:
-    s = F.col("id")
-    return t.spark.range(5).select(s.alias("step"), F.round(A.warmup(s, 2) * 1e-3, 9).alias("constant"), F.round(A.warmup_cosine(s, 2, 5, 0.1) * 1e-3, 9).alias("cosine"))
+    """The learning rate of each document's step, a tenth of the steps warming up."""
+    rows = R.positions(t.documents.filter("doc_id IS NOT NULL").select("doc_id"), [F.col("doc_id")], "step")
+    n = rows.count()
+    up, s = max(n // 10, 1), F.col("step")
+    return rows.select("doc_id", "step", F.round(A.warmup(s, up) * 1e-3, 9).alias("constant"), F.round(A.warmup_cosine(s, up, n, 0.1) * 1e-3, 9).alias("cosine"))
 
 
 # ---------------------------------------------------------- token functions
@@ -365,11 +399,10 @@ def _(t: Tables) -> DataFrame:
     return arrays(t, "reward").select("uid", r6(A.log_prob(F.col("reward"), F.lit(0))).alias("logp"))
 
 
-@query("arr_random_mask")
+@query("arr_random_mask", """SELECT uid, list_transform(range(n), lambda i: CAST(i >= left_ AS INTEGER)) AS mask FROM
+    (SELECT uid, n, CAST('0x' || substr(md5(concat('3|', uid)), 1, 13) AS BIGINT) % greatest(n // 2, 1) AS left_ FROM (SELECT uid, count(*) AS n FROM {tokens} GROUP BY uid) a) b""")
 def _(t: Tables) -> DataFrame:
-    n = F.size("token")
-    left = F.pmod(F.xxhash64("uid"), F.greatest(F.floor(n / 2), F.lit(1)))
-    return arrays(t, "token").select("uid", F.transform("token", lambda _, i: (i >= left).cast("int")).alias("mask"))
+    return arrays(t, "token").select("uid", A.random_left_mask(F.size("token"), F.col("uid"), 3).alias("mask"))
 
 
 @query("kl_variants", "SELECT uid, t, round(logp - ref_logp, 6) AS kl, round(abs(logp - ref_logp), 6) AS abs, round(0.5 * (logp - ref_logp) * (logp - ref_logp), 6) AS mse, round(greatest(-10, least(10, exp(ref_logp - logp) - (ref_logp - logp) - 1)), 6) AS low_var FROM {tokens}")
@@ -417,13 +450,17 @@ def _(t: Tables) -> DataFrame:
     return t.rollouts.agg(r6(F.avg(A.dpo_loss(F.col("score") * 3 - 1, F.col("acc"), 0.05))).alias("loss"))
 
 
-@query("dpo_detach_loss", """WITH o AS (SELECT a.uid, a.idx, a.score, a.acc, avg(b.score) AS other FROM {rollouts} a LEFT JOIN {rollouts} b ON a.uid = b.uid AND b.acc <> a.acc GROUP BY 1, 2, 3, 4)
-    SELECT round(avg(-ln(1 / (1 + exp(-(0.05 * (score - coalesce(other, 0))) * (acc * 2 - 1))))), 6) AS loss FROM (SELECT score, acc, other FROM o) x""")
+@query("dpo_detach_loss", """WITH o AS (SELECT a.uid, a.idx, a.score, a.acc, avg(b.score) AS other FROM {rollouts} a LEFT JOIN {rollouts} b ON a.uid = b.uid AND b.acc <> a.acc GROUP BY 1, 2, 3, 4),
+    w AS (SELECT a.uid, a.idx, count(*) AS n, count(*) * pow(count(*) FILTER (WHERE b.score <= a.score) / CAST(count(*) AS DOUBLE), count(*) - 1) AS rm, count(*) * pow(count(*) FILTER (WHERE b.acc <= a.acc) / CAST(count(*) AS DOUBLE), count(*) - 1) AS acc FROM {rollouts} a JOIN {rollouts} b ON a.uid = b.uid GROUP BY 1, 2),
+    l AS (SELECT -ln(1 / (1 + exp(-(0.05 * (score - coalesce(other, 0))) * (o.acc * 2 - 1)))) AS x, rm, w.acc AS by_acc FROM o JOIN w ON o.uid = w.uid AND o.idx = w.idx)
+    SELECT round(avg(x), 6) AS loss, round(sum(x * rm), 3) AS bon_rm, round(sum(x * by_acc), 3) AS bon_acc FROM l""")
 def _(t: Tables) -> DataFrame:
+    """Each response against those of the other outcome: the mean, and sums weighted by how likely it is the best of n, by score and by outcome."""
     w = Window.partitionBy("uid")
     against = F.when(F.col("acc") > 0, F.avg(F.when(F.col("acc") == 0, F.col("score"))).over(w)).otherwise(F.avg(F.when(F.col("acc") > 0, F.col("score"))).over(w))
     gap = (F.col("score") - F.coalesce(against, F.lit(0.0))) * 0.05 * (F.col("acc") * 2 - 1)
-    return t.rollouts.select((-F.log(1 / (1 + F.exp(-gap)))).alias("x")).agg(r6(F.avg("x")).alias("loss"))
+    rows = t.rollouts.select((-F.log(1 / (1 + F.exp(-gap)))).alias("x"), G.best_of_n_weight(F.col("score"), "uid").alias("rm"), G.best_of_n_weight(F.col("acc"), "uid").alias("acc"))
+    return rows.agg(r6(F.avg("x")).alias("loss"), F.round(F.sum(F.col("x") * F.col("rm")), 3).alias("bon_rm"), F.round(F.sum(F.col("x") * F.col("acc")), 3).alias("bon_acc"))
 
 
 # ---------------------------------------------------------------- balancing
@@ -448,9 +485,18 @@ def _(t: Tables) -> DataFrame:
     return _sums(t, B.greedy_balanced(_batch(t), ["batch"], "key", "len", 4))
 
 
-@query("bal_micro_batches")
+@query("bal_micro_batches", """WITH b AS (SELECT uid // 256 AS batch, uid % 2 AS rank, sum(len) AS n, count(*) AS members FROM {rollouts} GROUP BY 1, 2), m AS (SELECT batch, max(ceil(n / 4096.0)) AS parts FROM b GROUP BY 1)
+    SELECT b.batch, b.rank, CAST(m.parts AS INTEGER) AS parts, CAST(m.parts AS BIGINT) AS used, members AS members, members AS places, members - 1 AS last, CAST(n AS BIGINT) AS tokens, TRUE AS balanced FROM b JOIN m USING (batch)""")
 def _(t: Tables) -> DataFrame:
-    return _sums(t, B.micro_batches(_batch(t), ["batch"], "key", "len", 4_096))
+    """Two ranks a step: how many parts they agree on, and whether the inverse is a permutation of the rank's rows and no part is
+    above the mean by more than the longest row."""
+    rows = t.rollouts.select(F.floor(F.col("uid") / 256).alias("batch"), (F.col("uid") % 2).alias("rank"), F.concat_ws("-", "uid", "idx").alias("key"), "len")
+    split = B.micro_batches(rows, ["batch"], "rank", "key", "len", 4_096).join(rows, ["batch", "rank", "key"])
+    parts = split.groupBy("batch", "rank", "parts", "part").agg(F.count("*").alias("c"), F.sum("len").alias("s"), F.max("len").alias("longest"), F.max("position").alias("last"), F.sum("position").alias("total"))
+    out = parts.groupBy("batch", "rank", "parts").agg(F.count("*").alias("used"), F.sum("c").alias("members"), F.max("last").cast("long").alias("last"), F.sum("total").alias("total"), F.sum("s").alias("tokens"), F.max("s").alias("most"), F.max("longest").alias("longest"))
+    members = F.col("members")
+    places = F.when(F.col("total") == members * (members - 1) / 2, members).otherwise(-1).cast("long")
+    return out.select("batch", "rank", "parts", "used", "members", places.alias("places"), "last", "tokens", (F.col("most") <= F.col("tokens") / F.col("parts") + F.col("longest")).alias("balanced"))
 
 
 @query("flops_estimate", "SELECT batch, round((6.0 * 8e9 * sum(len) + 12.0 * sum(len * len) * 128 * 32 * 36) / 2.5 / 1e12, 6) AS tflops FROM (SELECT uid % 16 AS batch, len FROM {rollouts}) x GROUP BY batch")

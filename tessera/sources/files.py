@@ -98,3 +98,15 @@ def metric_line(step: Column, metrics: dict[str, Column]) -> Column:
     """step:S - key:value with three decimals."""
     parts = [F.concat(F.lit("step:"), step.cast("string")), *(F.concat(F.lit(f"{k}:"), F.format_string("%.3f", v)) for k, v in metrics.items())]
     return F.concat_ws(" - ", *parts)
+
+
+def write_observed(df: DataFrame, path: str, keep: Column, before: dict[str, Column], after: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """Writes the rows that `keep` selects, and measures while writing: aggregates of all rows and of the written ones.
+
+    One job reads the input once, writes and measures; the numbers are of the rows that were written."""
+    from pyspark.sql import Observation
+
+    seen, kept = Observation(), Observation()
+    rows = df.observe(seen, *(c.alias(k) for k, c in before.items())).filter(keep).observe(kept, *(c.alias(k) for k, c in after.items()))
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), {**seen.get, **kept.get}

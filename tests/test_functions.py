@@ -245,5 +245,124 @@ def test_batches_balanced_as_by_hand(spark):
             sums[part] += lengths[i]
         own = [r["s"] for r in best if r["b"] == b]
         assert sum(own) == sum(sums) and max(own) - min(own) <= max(sums) - min(sums)
-    micro = B.micro_batches(rows, ["b"], "k", "n", 100).join(rows, ["b", "k"]).groupBy("b").agg(F.count_distinct("part").alias("parts"), F.sum("n").alias("s")).collect()
-    assert all(r["parts"] == -(-r["s"] // 100) for r in micro)
+
+
+def by_differencing(sizes, parts):
+    """The places in each part: the two splits with the largest spreads are joined, again and again."""
+    sets = lambda split: sorted(split, key=lambda s: (sum(n for _, n in s), len(s), s), reverse=True)
+    total = lambda s: sum(n for _, n in s)
+    splits = [sets([[(i, n)]] + [[]] * (parts - 1)) for n, i in sorted((n, i) for i, n in enumerate(sizes))]
+    while len(splits) > 1:
+        splits.sort(key=lambda s: (total(s[0]) - total(s[-1]), total(s[0]), len(s[0]), s[0]), reverse=True)
+        a, b, *rest = splits
+        splits = [*rest, sets([x + y for x, y in zip(a, reversed(b), strict=True)])]
+    return [[i for i, _ in s] for s in splits[0]]
+
+
+def test_differencing_with_ties():
+    noise = np.random.default_rng(6)
+    for n in (1, 2, 5, 12, 30):
+        for parts in (1, 2, 3, 5):
+            sizes = noise.integers(1, 6, n).tolist()
+            assert B.differenced(sizes, parts) == by_differencing(sizes, parts)
+    assert B.differenced([], 2) == [[], []]
+
+
+def test_micro_batches(spark):
+    """Ranks of a step agree on the larger number of parts; positions are the inverse of the order of work."""
+    lengths = [(7 * i * i + 3 * i) % 41 + 1 for i in range(60)]
+    rows = spark.createDataFrame([(i // 20, i % 2, i, n if i % 2 else max(1, n // 3)) for i, n in enumerate(lengths)], "b long, r int, k long, n long")
+    got = B.micro_batches(rows, ["b"], "r", "k", "n", 100).collect()
+    own = {r["k"]: r["n"] for r in rows.collect()}
+    for b in range(3):
+        needs = [sum(n for k, n in own.items() if k // 20 == b and k % 2 == r) for r in (0, 1)]
+        parts = max(-(-n // 100) for n in needs)
+        for r in (0, 1):
+            keys = [k for k in own if k // 20 == b and k % 2 == r]
+            split = by_differencing([own[k] for k in keys], parts)
+            order = [keys[i] for part in split for i in part]
+            mine = {x["k"]: x for x in got if x["b"] == b and x["r"] == r}
+            assert {k: x["part"] for k, x in mine.items()} == {keys[i]: p for p, part in enumerate(split) for i in part}
+            assert [k for k, _ in sorted(mine.items(), key=lambda x: x[1]["position"])] == order and {x["parts"] for x in mine.values()} == {parts}
+    with pytest.raises(Exception, match="longer than a micro-batch"):
+        B.micro_batches(rows, ["b"], "r", "k", "n", 20).collect()
+    with pytest.raises(Exception, match="fewer rows than micro-batches"):
+        B.micro_batches(spark.createDataFrame([(0, 0, 1, 9), (0, 1, 2, 9), (0, 1, 3, 9)], rows.schema), ["b"], "r", "k", "n", 10).collect()
+
+
+def test_greedy_parts_of_equal_size(spark):
+    lengths = [9, 1, 1, 1, 8, 2]
+    rows = spark.createDataFrame([(0, i, n) for i, n in enumerate(lengths)], "b long, k long, n long")
+    got = {r["k"]: r["part"] for r in B.greedy_balanced(rows, ["b"], "k", "n", 3, equal_size=True).collect()}
+    sums, expected = [0, 0, 0], []
+    for n in lengths:
+        part = sums.index(min(sums))
+        expected.append(part)
+        sums[part] += n + sum(lengths) + 1
+    assert [got[i] for i in range(6)] == expected and sorted(expected) == [0, 0, 1, 1, 2, 2]
+    with pytest.raises(Exception, match="don't divide"):
+        B.greedy_balanced(rows, ["b"], "k", "n", 4, equal_size=True).collect()
+
+
+def test_think_mask_of_tokens(spark):
+    text, spans = "ab<Think>xy</Think>cd", [(0, 2), (2, 9), (9, 9), (9, 11), (11, 19), (19, 20), (20, 21)]
+    offsets = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in spans))
+    assert one(spark, X.think_token_mask(F.lit(text), offsets, prompt=1)) == [1, 0, 0, 0, 0, 0, 1, 1]
+    assert one(spark, X.think_token_mask(F.lit(text), offsets, F.array(*map(F.lit, [1, 1, 1])), prompt=1)) == [1, 0, 0]  # cut off
+    assert one(spark, X.think_token_mask(F.lit(text[2:]), F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in [(0, 7), (7, 17), (17, 19)])))) == [0, 0, 1]
+    for other in ("<Think>ab", "ab</Think>", "", "</Think><Think>"):
+        assert one(spark, X.think_token_mask(F.lit(other), offsets)) == [1] * 7
+    assert one(spark, X.think_token_mask(F.lit(None).cast("string"), offsets)) == [1] * 7
+    # A token that only partly lies in the block is none of it, but the one before the block is masked.
+    wide = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in [(0, 5), (5, 12), (12, 21)]))
+    assert one(spark, X.think_token_mask(F.lit(text), wide)) == [0, 0, 1]
+
+
+def test_flattened_lists(spark):
+    rows = spark.createDataFrame([(1, {"x": [1, 2, 3]}), (2, {"x": []}), (3, {"x": None})], "i long, s struct<x: array<int>>")
+    assert R.most_elements(rows) == 3
+    flat = R.flatten_schema(rows, 2)
+    assert flat.columns == ["i", "s/x/list_len", "s/x/0", "s/x/1"] and [tuple(r)[2:] for r in flat.orderBy("i").collect()] == [(1, 2), (None, None), (None, None)]
+    assert R.most_elements(rows.select("i")) == 0 == R.most_elements(rows.limit(0))
+
+
+def test_advantages_of_two_sources(spark):
+    """Against loops over responses."""
+    noise = np.random.default_rng(2)
+    sizes = [3, 1, 4, 2, 5, 2]
+    rows = [(r // 3, r, t, float(x), int(t < n - (r == 2)), 0, 0.0) for r, n in enumerate(sizes) for t, x in enumerate(np.round(noise.normal(size=n), 3))]
+    rows = [(g, r, t, x, m, int(t == max(b[2] for b in rows if b[1] == r and b[4])), float(r % 2) if t == max(b[2] for b in rows if b[1] == r and b[4]) else 0.0) for g, r, t, x, m, _, _ in rows]
+    df = spark.createDataFrame(rows, "g long, r long, t long, x double, m int, last int, y double")
+    got = {(q["r"], q["t"]): (q["returns"], q["a"]) for q in G.prime_advantages(df, "r", "g", "t", "m", 3, [("x", "m", 5.0), ("y", "last", 2.0)], "a").collect()}
+    values = {}
+    for col, mask, c in ((3, 4, 5.0), (6, 5, 2.0)):
+        for g in (0, 1):
+            means = [np.mean([q[col] for q in rows if q[1] == r and q[mask]]) for r in range(3 * g, 3 * g + 3)]
+            for q in rows:
+                if q[0] == g:
+                    values[q[1], q[2]] = values.get((q[1], q[2]), 0) + c * ((q[col] * 1.5 - sum(means) / 2) if q[mask] else 0)
+    returns = {(q[1], q[2]): sum(values[p[1], p[2]] * p[4] for p in rows if p[1] == q[1] and p[2] >= q[2]) for q in rows}
+    kept = np.array([returns[q[1], q[2]] for q in rows if q[4]])
+    for k, v in returns.items():
+        assert got[k] == pytest.approx((v, (v - kept.mean()) / np.sqrt(kept.var(ddof=1) + 1e-8)), abs=1e-5)
+    with pytest.raises(ValueError):
+        G.prime_advantages(df, "r", "g", "t", "m", 3, [("x", "m", 0.0)])
+
+
+def test_best_of_n_weights(spark):
+    rows = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 2.0), (0, 3.0), (1, 5.0)], "g long, x double")
+    got = sorted(r["w"] for r in rows.select(G.best_of_n_weight(F.col("x"), "g").alias("w")).collect())
+    assert got == pytest.approx(sorted([4 * 0.25**3, 4 * 0.75**3, 4 * 0.75**3, 4.0, 1.0]))
+
+
+def test_write_measures_once(spark, tmp_path):
+    from tessera.sources import files
+
+    rows = spark.range(1000).repartition(5)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("observed", "write")
+    out, seen = files.write_observed(rows, str(tmp_path / "o"), F.col("id") % 3 == 0, {"before": F.count("*")}, {"after": F.count("*"), "total": F.sum("id")})
+    jobs = len(tracker.getJobIdsForGroup("observed"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen == {"before": 1000, "after": 334, "total": sum(range(0, 1000, 3))} and out.count() == 334
+    assert jobs <= 2  # the shuffle's map stage may run as a job of its own
