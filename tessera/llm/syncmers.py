@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
 
-K, S = 36, 4
+K, S = 16, 4
 #: Code points of a text that are looked at together.
 PIECE = 1 << 16
 #: Rows of one bucket of neighbouring documents, about; buckets at most (more documents make longer buckets, which spill); sampled keys for each.
 BUCKET_ROWS, BUCKETS, SAMPLED = 2_000, 20_000, 32
+#: Rows that are alike and are written by one task.
+TOGETHER = 1_000
 
 _LOW = 0xFFFFFFFF
 
@@ -155,16 +157,17 @@ def _bucket(keys: DataFrame, n: int, rows: int):
     return found
 
 
-def _whole_rows(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts with __copies: rows that are alike in doc_id and text as one row.  Only such rows are gathered, after partial aggregation."""
+def _whole_rows(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, bool]:
+    """texts with copies: rows that are alike in doc_id and text as one row; and whether any has more than TOGETHER.
+    Only such rows are gathered, after partial aggregation."""
     same = ["neg", "tie", "tie2"]
-    repeated = table(keys.groupBy(*same).count().filter("count > 1").select(*(F.col(c).alias(f"r_{c}") for c in same)), "repeated")
+    repeated = table(keys.groupBy(*same).count().filter("count > 1").select(*(F.col(c).alias(f"r_{c}") for c in (*same, "count"))), "repeated")
     on = [texts[c] == repeated[f"r_{c}"] for c in same]
     single = texts.withColumn("copies", F.lit(1).cast("long"))
     if repeated.isEmpty():
-        return single
+        return single, False
     gathered = texts.join(repeated, on, "left_semi").groupBy("doc_id", *same).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    return single.join(repeated, [single[c] == repeated[f"r_{c}"] for c in same], "left_anti").unionByName(gathered)
+    return single.join(repeated, [single[c] == repeated[f"r_{c}"] for c in same], "left_anti").unionByName(gathered), not repeated.filter(F.col("r_count") > TOGETHER).isEmpty()
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -191,7 +194,8 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUC
     order = Window.orderBy("__bucket")  # a row per bucket
     backward = heads.select("__head", F.lag("__bucket").over(order).alias("__before"), F.max("__bucket").over(Window.partitionBy()).alias("__last"))
     backward = table(backward.select(F.col("__head.neg").alias("h_neg"), F.col("__head.tie").alias("h_tie"), F.col("__head.tie2").alias("h_tie2"), F.coalesce("__before", "__last").alias("__to")), "backward")
-    whole = _whole_rows(texts, keys).withColumn("__bucket", bucket(rank))
+    whole, many = _whole_rows(texts, keys)
+    whole = whole.withColumn("__bucket", bucket(rank))
     found = whole.join(F.broadcast(backward), (F.col("neg") == F.col("h_neg")) & (F.col("tie") == F.col("h_tie")) & (F.col("tie2") == F.col("h_tie2")), "left")  # a row per bucket
     place = lambda b, ghost: F.struct(F.col(b).alias("b"), F.lit(ghost).alias("g"))
     spread = found.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(place("__bucket", 0))).otherwise(F.array(place("__bucket", 0), place("__to", 1)))))
@@ -199,18 +203,22 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUC
     marked = spread.repartition("__bucket").withColumn("marks", anchors(F.col("text"), k, s)).withColumn("places", places(F.col("marks")))
     row = Window.partitionBy("__bucket").orderBy("__ghost", "neg", "tie", "tie2")
     paired = marked.withColumn("next", F.lead("text").over(row)).withColumn("next_marks", F.lead("marks").over(row)).withColumn("next_places", F.lead("places").over(row)).filter("__ghost = 0")
-    # Rows that are alike follow each other; the last of them has the next document.
-    own = F.struct(F.col("text").alias("text"), F.col("marks").alias("marks"), F.col("places").alias("places"))
-    after = F.struct(F.col("next").alias("text"), F.col("next_marks").alias("marks"), F.col("next_places").alias("places"))
-    paired = paired.select("doc_id", "text", "marks", "places", F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.concat(F.array_repeat(own, F.col("copies").cast("int") - 1), F.array(after)))).alias("next"))
+    # Rows that are alike follow each other; the last of them has the next document.  The others have one result, which is repeated at the end.
+    following = lambda count, *names: F.struct(count.cast("long").alias("rows"), *(F.col(c).alias(n) for c, n in zip(names, ("text", "marks", "places"), strict=True)))
+    after, own = following(F.lit(1), "next", "next_marks", "next_places"), following(F.col("copies") - 1, "text", "marks", "places")
+    paired = paired.select("doc_id", "text", "marks", "places", F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.array(own, after))).alias("next"))
     n = F.length("text")
     taken = F.least(F.expr("length(text) div 2").cast("int"), F.length("next.text"))
     keep = n - F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next.text, length(text) div 2)"))
-    out = paired.select("doc_id", n.cast("long").alias("n_chars"), "marks", "places", F.col("next.marks").alias("next_marks"), F.col("next.places").alias("next_places"), keep.alias("keep"), taken.alias("taken"), edited.alias("edited"))
-    out = out.select("doc_id", "n_chars", "marks", "places", "next_places", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), edited_anchors(F.col("marks"), F.col("next_marks"), F.col("edited"), F.col("keep"), F.col("taken"), k, s).alias("edited_marks"))
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256",
+    out = paired.select("doc_id", F.col("next.rows").alias("rows"), n.cast("long").alias("n_chars"), "marks", "places", F.col("next.marks").alias("next_marks"), F.col("next.places").alias("next_places"), keep.alias("keep"), taken.alias("taken"), edited.alias("edited"))
+    out = out.select("doc_id", "rows", "n_chars", "marks", "places", "next_places", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), edited_anchors(F.col("marks"), F.col("next_marks"), F.col("edited"), F.col("keep"), F.col("taken"), k, s).alias("edited_marks"))
+    out = out.select(
+        "doc_id", "rows", "n_chars", "edited_sha256",
         fingerprint(F.col("marks")).alias("fingerprint"), fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
         _let(places(F.col("edited_marks")), lambda x: likeness(F.col("places"), x)).alias("near_edited"), likeness(F.col("places"), F.col("next_places")).alias("near_next"),
     )
+    if many:  # in parts, so that no task writes all rows of one kind
+        out = out.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(TOGETHER).cast("long"))))
+        out = out.repartition("doc_id", "n_chars", "edited_sha256", "__part").withColumn("rows", F.least(F.col("rows") - F.col("__part"), F.lit(TOGETHER))).drop("__part")
+    return out.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows", "__row")

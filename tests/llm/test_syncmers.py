@@ -128,3 +128,21 @@ def test_likeness(spark):
 def test_native(awkward):
     plan = S.fingerprints(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_thousands_of_repeated_rows(spark, monkeypatch):
+    """One result for all rows that are alike but the last; written in parts, also without doc_id."""
+    import hashlib
+
+    monkeypatch.setattr(S, "TOGETHER", 700)
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(8_000))
+    rows = spark.range(6_001).select(F.when(F.col("id") < 4_000, 5).when(F.col("id") < 6_000, F.lit(None)).otherwise(1).cast("long").alias("doc_id"), F.when(F.col("id") < 6_000, text).otherwise("the last of those with an id").alias("text"))
+    got = S.fingerprints(rows).groupBy("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", F.md5("fingerprint").alias("f"), F.md5("edited_fingerprint").alias("e")).count().collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    half, other = text[:4_000], "the last of those with an id"
+    same, after = sha(half + half), {5: sha(half + other), None: sha(half + half), 1: sha(other[:14] + text[:14])}
+    counts = {}
+    for r in got:
+        counts[r["doc_id"], r["edited_sha256"]] = counts.get((r["doc_id"], r["edited_sha256"]), 0) + r["count"]
+    assert counts == {(5, same): 3_999, (5, after[5]): 1, (None, same): 2_000, (1, after[1]): 1}
+    assert len({r["f"] for r in got if r["n_chars"] == 8_000}) == 1
