@@ -32,14 +32,16 @@ RULES = (
     ("aws", re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), 0),
     ("github", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), 0),
     ("slack", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"), 0),
-    ("jwt", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"), 0),
-    ("assigned", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;<>]{6,}+)"), 1),
+    # Looks once from a run's beginning whether two more runs follow, then for the first eyJ in it: linear in the run.
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})(?:[A-Za-z0-9_-]*?[_-])?(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"), 1),
+    # The whole block; without its end, the header and the lines of its body.
+    ("private_key", re.compile(r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]*?PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)"), 0),
+    ("assigned", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|(?:api|access|deploy|private|signing|encryption)[_-]?key|credentials?|bearer|auth)[\"']?\s*+[=:]\s*+[\"']?([^\s\"',;<>]{6,}+)"), 1),
     ("hex", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"), 0),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}"), 0),
+    ("random", re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+|(?=[a-z+/_-]*+[A-Z])(?=[A-Z+/_-]*+[a-z])[A-Za-z+/_-]{32,}+)={0,2}"), 0),
 )
 #: No rule matches a text without any of these: the last ones are the beginnings of keys that may be all letters.
-TRIGGER = re.compile(r"[0-9=:]|-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|eyJ|[a-f]{32}")
+TRIGGER = re.compile(r"[0-9=:]|-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|eyJ|[a-f]{32}|[A-Za-z+/_-]{32}")
 
 #: Fixed words: what stands beside secrets, beside look-alikes, and inside names and placeholders.
 HINTS = frozenset("password passwd pwd secret token key apikey api access auth credential private login bearer".split())
@@ -160,12 +162,17 @@ def findings(noise: np.random.Generator, n: int) -> Iterator[tuple[str, str, int
     mixed = word + word.upper() + "0123456789"
     prose = lambda: " ".join(chars(word, int(noise.integers(2, 9))) for _ in range(int(noise.integers(2, 7))))
     hint = lambda: pick(["password", "secret", "token", "api_key", "access_key", "auth", "passwd"])
+    name = lambda: pick(["deploy_key", "AWS_KEY", "DB_PASS", "credential", "private_key", "SIGNING", "bearer", "ENCRYPTION_KEY"])
+    words = lambda: "".join(pick(DICTIONARY).title() + pick(["", "", "_", "-"]) for _ in range(int(noise.integers(5, 10))))
+    body = lambda: "\n".join(chars(mixed + "+/", 64) for _ in range(int(noise.integers(2, 14))))
+    pem = lambda whole: f"-----BEGIN {pick(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n{body()}" + ("\n-----END RSA PRIVATE KEY-----" if whole else "")
     for _ in range(n):
         path = pick(["src/config.py", "deploy/env.sh", "", "", "tests/data.py", "docs/guide.md", "example/app.js"])
         if noise.random() < 0.5:
             secret = pick([
                 f"{hint()}={chars(hexes, int(noise.integers(16, 41)))}", f'{hint()} = "{chars(hexes, 40)}"', f"{hint()}: {chars(mixed + '!#%', int(noise.integers(8, 33)))}", f"AKIA{chars('ABCDEFGHJKLMNPQRSTUVWXYZ234567', 16)}",
                 f"ghp_{chars(mixed, 36)}", f"xoxb-{chars('0123456789', 11)}-{chars(mixed, 24)}", f"eyJ{chars(mixed, 20)}.{chars(mixed, 40)}.{chars(mixed + '-_', 43)}", "-----BEGIN RSA PRIVATE KEY-----",
+                f"{name()}={chars(mixed, int(noise.integers(24, 65)))}", f"{name()}: {chars(mixed + '+/', 40)}", f"{name()}={chars(word + word.upper(), int(noise.integers(32, 65)))}", f"{hint()} {chars(word + word.upper(), 40)}", pem(True), pem(False),
                 f"{hint()} {chars(mixed, 40)}", f'{hint()} "{chars(hexes, 64)}"', f"{hint()} = '{chars(mixed, 24)}'",
             ])
             yield f"{prose()} {secret} {prose()}", path, 1
@@ -173,6 +180,7 @@ def findings(noise: np.random.Generator, n: int) -> Iterator[tuple[str, str, int
             plain = pick([
                 f"commit {chars(hexes, 40)}", f"sha256 {chars(hexes, 64)}", f"md5 checksum {chars(hexes, 32)}", f"{hint()} = your_{hint()}_here", f"{hint()}: <change_me>", f"{hint()}=example_value_1", f"{hint()} = None123",
                 f"/usr/lib/{chars(word, 8)}/{chars(word, 12)}/{chars(word, 6)}2/index", f"{hint()}=config.get_default_value1", f"{hint()}: {'x' * int(noise.integers(8, 20))}", f"{chars(word, 9)}_{chars(word, 8)}_{chars(word, 9)}_2",
+                f"{words()}", f"class={words()}", f"see /{words()}/{words()}2/{words()}", f"url=/{words()}/{words()}3?page={chars('0123456789', 5)}", f"{name()}={words()}", f"checksum={chars(hexes, 40)}", f"version={chars('0123456789', 24)}", "-----BEGIN PUBLIC KEY-----",
                 f"uuid {chars(hexes, 32)}", f"etag {chars(hexes, 32)}", chars("0123456789", int(noise.integers(24, 40))), "-" * 30 + "1", f"{hint()} = 'example_{chars(word, 6)}'", f"revision {chars(hexes, 40)} example", f"{hint()}: {chars(word, 8)}",
             ])
             yield f"{prose()} {plain} {prose()}", path, 0
