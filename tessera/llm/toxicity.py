@@ -8,9 +8,9 @@ that toxic labelled documents have far more often than others.
 
 x holds 1 + log(occurrences) of the vocabulary's features: words, and their
 beginnings of five to seven letters, which inflected words share.  The
-vocabulary is the features whose log-odds in the training sample are at least
-`LEAST_Z` standard errors from 0, the `VOCABULARY` largest at most.  The sample
-is at most `SAMPLE` labelled documents chosen by hash; a quarter of the labels
+vocabulary is all features of at least `LEAST_DOCUMENTS` sampled documents whose
+log-odds in the training sample are at least `LEAST_Z` standard errors from 0;
+the sample bounds it.  The sample is at most `SAMPLE` labelled documents chosen by hash; a quarter of the labels
 (by the checksum rule of the quality classifier) is held out.
 """
 
@@ -30,7 +30,6 @@ from tessera.llm.common import table, text_of
 from tessera.llm.quality import held_out
 
 SAMPLE = 12_000
-VOCABULARY = 8_192
 LEAST_DOCUMENTS = 4
 LEAST_Z = 2.5
 MARKER_Z = 6.0
@@ -74,9 +73,13 @@ class Model:
         """P(grade > j) for each j."""
         return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.thresholds, -500, 500)))
 
-    def margin(self, text: str, hits: Hits) -> float:
-        got = Counter(i for ids in filter(None, map(hits.__getitem__, words(text))) for i in ids)
-        return float(sum(self.weights[i] * (1 + np.log(n)) for i, n in sorted(got.items())))
+    def margins(self, texts: list[str], hits: Hits) -> np.ndarray:
+        """w . x of each text: occurrences are counted for all texts at once."""
+        lists = [[i for ids in filter(None, map(hits.__getitem__, words(t))) for i in ids] for t in texts]
+        size = max(len(self.weights), 1)
+        cells = np.repeat(np.arange(len(texts)), list(map(len, lists))) * size + np.array([i for own in lists for i in own], np.int64)
+        cells, n = np.unique(cells, return_counts=True)
+        return np.bincount(cells // size, self.weights[cells % size] * (1 + np.log(n)), len(texts)) if len(cells) else np.zeros(len(texts))
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     per_word = rows.select("text", "y").mapInArrow(present, "word string, d long, t long").groupBy("word").agg(F.sum("d").alias("d"), F.sum("t").alias("t")).filter(F.col("d") >= LEAST_DOCUMENTS)
     t, c = F.col("t") + 0.5, F.col("d") - F.col("t") + 0.5
     z = (F.log(t / (toxic + 1 - t)) - F.log(c / (clean + 1 - c))) / F.sqrt(1 / t + 1 / c)
-    best = per_word.select("word", z.alias("z")).filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).toPandas() if toxic and clean else None
+    best = per_word.select("word", z.alias("z")).filter(F.abs("z") >= LEAST_Z).toPandas().sort_values("word", ignore_index=True) if toxic and clean else None
     if best is None or best.empty:  # nothing to learn: nothing is toxic
         return Model({}, np.zeros(0), np.array([20.0, 21.0, 22.0]))
     vocabulary = {w: i for i, w in enumerate(best["word"])}
@@ -176,7 +179,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits(model.vocabulary)
         for batch in batches:
-            p = model.above(np.array([model.margin(x, hits) for x in batch.column("text").to_pylist()], float))
+            p = model.above(model.margins(batch.column("text").to_pylist(), hits))
             full = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], 1)
             best = (full[:, :-1] - full[:, 1:]).argmax(1)
             columns = [batch.column("doc_id"), pa.array(p.sum(1)), pa.array(best, pa.int32()), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))]
