@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one range, about; ranges at most (more rows make longer ranges, which spill); sampled keys for each range.
-RANGE_ROWS, RANGES, SAMPLED = 100_000, 1_024, 32
+#: Rows of one range, about; ranges of the first level at most, and ranges that each of them is cut into (more rows than
+#: RANGES * INNER ranges hold make longer ranges, which spill); sampled keys for each range.
+RANGE_ROWS, RANGES, INNER, SAMPLED = 100_000, 1_024, 256, 32
 
 
 def _cuts(keyed: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[Column]:
@@ -36,29 +37,60 @@ def _range(cuts: list[Column], key: Column) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * wide + inside)
 
 
+def _with_range(keyed: DataFrame, keys: Sequence[str], rows: int, range_rows: int) -> DataFrame:
+    """keyed with __range: 0 to RANGES cut in two levels.  The first level's cuts are constants of the plan; where ranges
+    would be longer than range_rows, each is cut again at keys of its own sample, which come from a table of a row per range."""
+    ranges = min(RANGES, -(-rows // range_rows))
+    cuts = _cuts(keyed, keys, ranges, rows) if ranges > 1 else []
+    ranged = keyed.withColumn("__range", _range(cuts, F.struct(*keys)).cast("long"))
+    inner = min(INNER, rows // (range_rows * (len(cuts) + 1)))
+    if inner < 2:
+        return ranged
+    sampled = ranged.filter(F.pmod(F.xxhash64(*keys), F.lit(max(1, range_rows // SAMPLED))) == 0)  # by key, so that every run cuts alike
+    listed = F.array_sort(F.collect_set(F.struct(*keys)))  # about SAMPLED * inner keys of a range
+    step = F.greatest(F.floor(F.size("__k") / inner), F.lit(1)).cast("int")
+    chosen = F.filter("__k", lambda x, i: (i + 1) % step == 0)
+    second = sampled.groupBy(F.col("__range").alias("__r")).agg(listed.alias("__k")).select("__r", F.slice(chosen, 1, INNER - 1).alias("__cuts"))
+    out = ranged.join(F.broadcast(second), F.col("__range") == F.col("__r"), "left")  # RANGES rows of INNER keys at most
+    below = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.struct(*keys))), F.lit(0))
+    return out.withColumn("__range", F.col("__range") * INNER + below).drop("__r", "__cuts")
+
+
 def _ranged(df: DataFrame, order: Sequence[Column], value: Column, range_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """df with its keys, value (__v) and __range; per range __r its sum __s and the sum before it, __offset; the keys' names."""
     keys = [f"__o{i}" for i in range(len(order))]
     keyed = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)), value.cast("long").alias("__v"))
-    rows = keyed.count()
-    ranges = min(RANGES, rows // range_rows)
-    cuts = _cuts(keyed, keys, ranges, rows) if ranges > 1 else []
-    ranged = keyed.withColumn("__range", _range(cuts, F.struct(*keys)))
+    ranged = _with_range(keyed, keys, keyed.count(), range_rows)
     sums = ranged.groupBy("__range").agg(F.sum("__v").alias("__s"))
     # One row for each range.
     offsets = sums.select(F.col("__range").alias("__r"), "__s", (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__offset"))
     return ranged, offsets, keys
 
 
+def sums_before(df: DataFrame, order: Sequence[Column], values: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with, by name, the sum of each value (whole numbers) over all rows before the row in
+    the order, ascending, nulls first; 0 for the first row.  Rows of equal keys come in any order, one for all values.
+
+    Rows that fit one range are ordered by one task; the others by ranges."""
+    keys = [f"__o{i}" for i in range(len(order))]
+    held = {n: f"__v{i}" for i, n in enumerate(values)}
+    keyed = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)), *(v.cast("long").alias(held[n]) for n, v in values.items()))
+    before = lambda w, v: F.coalesce(F.sum(v).over(w.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = keyed.count()
+    if rows <= range_rows:
+        return keyed.select(*df.columns, *(before(Window.partitionBy(), v).cast("long").alias(n) for n, v in held.items()))
+    ranged = _with_range(keyed, keys, rows, range_rows)
+    sums = ranged.groupBy("__range").agg(*(F.sum(v).alias(v) for v in held.values()))
+    # One row for each range.
+    offsets = sums.select(F.col("__range").alias("__r"), *((F.sum(v).over(Window.orderBy("__range")) - F.col(v)).alias(f"{v}_offset") for v in held.values()))
+    summed = ranged.select("*", *(before(Window.partitionBy("__range"), v).alias(f"{v}_before") for v in held.values()))
+    joined = summed.join(F.broadcast(offsets), F.col("__range") == F.col("__r"))
+    return joined.select(*df.columns, *((F.col(f"{v}_offset") + F.col(f"{v}_before")).cast("long").alias(n) for n, v in held.items()))
+
+
 def sum_before(df: DataFrame, order: Sequence[Column], value: Column, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """df with the sum of value (whole numbers) over all rows before the row in the
-    order, ascending, nulls first; 0 for the first row.  Rows of equal keys come
-    in any order."""
-    ranged, offsets, keys = _ranged(df, order, value, range_rows)
-    inside = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("__before", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    joined = summed.join(F.broadcast(offsets.drop("__s")), F.col("__range") == F.col("__r"))
-    return joined.withColumn(name, (F.col("__offset") + F.col("__before")).cast("long")).select(*df.columns, name)
+    """sums_before() of one value."""
+    return sums_before(df, order, {name: value}, range_rows)
 
 
 def draw_places(spark, k: int, n: int, seed: int) -> DataFrame:

@@ -29,6 +29,20 @@ def test_wide_rows(many_partitions, hashed):
         assert [r["id"] for r in got.filter("index < 2000").orderBy("index").collect()] == expected
 
 
+def test_ranges_of_two_levels(many_partitions, monkeypatch):
+    """More rows than the first level's ranges hold are cut again, and numbered alike."""
+    monkeypatch.setattr(O, "RANGES", 4)
+    monkeypatch.setattr(O, "INNER", 16)
+    rows = many_partitions.range(60_000, numPartitions=8).select(F.col("id"), F.when(F.col("id") % 5 == 0, None).otherwise(F.md5(F.col("id").cast("string"))).alias("k"))
+    keyed = rows.select("*", F.col("k").alias("__o0"), F.col("id").alias("__o1"))
+    sizes = [r["count"] for r in O._with_range(keyed, ["__o0", "__o1"], 60_000, 1_000).groupBy("__range").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 6_000
+    got = O.positions(rows, [F.col("k"), F.col("id")], range_rows=1_000)
+    assert [r["id"] for r in got.orderBy("index").collect()] == [r["id"] for r in rows.orderBy("k", "id").collect()]
+    both = O.sums_before(rows, [F.col("id")], {"a": F.col("id"), "b": F.lit(2)}, range_rows=1_000)
+    assert both.filter("a <> id * (id - 1) / 2 OR b <> 2 * id").count() == 0 and both.count() == 60_000
+
+
 def test_nulls_ties_and_nothing(spark):
     rows = spark.createDataFrame([(None, 1), (3, 2), (3, 3), (1, 4), (None, 5)], "k long, x long")
     for size in (1, 2, 100):
