@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, bounded, table, text_of
-from tessera.operators.ordering import positions, sum_before
+from tessera.operators.ordering import positions, sums_before
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -56,7 +56,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     sources = positions(sources, last, "__i")
     sources = sources.select("source", "__source_size", F.element_at(F.array(*map(F.lit, weights)), (F.col("__i") % len(weights)).cast("int") + 1).alias("__w"), (F.col("__source_size") * epochs).alias("__cap"))
     by_ratio = [F.col("__cap").cast("double") / F.col("__w"), *last]
-    sources = table(sum_before(sum_before(sources, by_ratio, F.col("__cap"), "__caps"), by_ratio, F.col("__w"), "__before"), "ordered")
+    sources = table(sums_before(sources, by_ratio, {"__caps": F.col("__cap"), "__before": F.col("__w")}), "ordered")
     sources = sources.crossJoin(F.broadcast(sources.agg(F.sum("__w").alias("__all"), F.sum("__source_size").alias("__total"))))  # one row
     fits = F.col("__caps").cast(big) * F.col("__w") + F.col("__cap").cast(big) * (F.col("__all") - F.col("__before")) <= F.col("__total").cast(big) * F.col("__w")
     sources = sources.select("*", fits.alias("__full"))
