@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,7 +32,8 @@ from tessera.llm.common import give_back, text_of
 
 CACHE_ENTRIES = 120_000
 CACHE_CHARS = 32
-BATCH_CHARS = 1_500_000
+#: Characters whose pre-tokens are merged together, and where the ids are kept for the output too.
+BATCH_CHARS, BATCH_CHARS_WITH_IDS = 4_000_000, 1_500_000
 
 #: The split pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -337,15 +339,15 @@ class Codec:
             for w, a, b in zip(fresh, [0, *ends], ends, strict=False):
                 self.cache.keep(w, packed[a:b])
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_many(self, texts: list[str], batch_chars: int = BATCH_CHARS) -> Iterator[bytes]:
         """Packed ids of each text; pre-tokens are merged in batches of texts
-        that have about BATCH_CHARS characters."""
+        that have about so many characters."""
         group: list[list[str]] = []
         chars = 0
         for i, text in enumerate(texts):
             group.append(self.split(text))
             chars += len(text)
-            if chars >= BATCH_CHARS or i == len(texts) - 1:
+            if chars >= batch_chars or i == len(texts) - 1:
                 self.learn(set().union(*group))
                 for words in group:
                     yield b"".join(map(self.cache.__getitem__, words))
@@ -410,13 +412,17 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = PATTERN, with_ids: bo
         fields.append(("token_ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType([T.StructField(*x) for x in fields])
 
+    chars = BATCH_CHARS_WITH_IDS if with_ids else BATCH_CHARS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(shipped.value, pattern)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            size = np.cumsum(pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(size // (2 * chars))) + 1).tolist(), whole.num_rows]  # by bytes, not by rows
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(start, end - start)
                 n, ids_sha, decoded_sha, arrays = [], [], [], []
-                for packed in codec.encode_many(batch.column("text").to_pylist()):
+                for packed in codec.encode_many(batch.column("text").to_pylist(), chars):
                     ids = np.frombuffer(packed, "<u4")
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(packed).hexdigest())
