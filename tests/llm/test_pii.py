@@ -113,3 +113,34 @@ def test_scan(awkward, nothing):
     assert (got[7]["n_email"], got[7]["n_ip"], got[7]["n_card"], got[7]["n_phone"]) == (1, 1, 0, 1)
     assert got[7]["spans"] == "email:5:14,phone:19:36,ip:40:53" and got[4]["spans"] == ""
     assert pii.scan(awkward).count() == 12 and pii.scan(nothing).count() == 0
+
+
+def test_decoding_against_every_tag_sequence():
+    """The decoded tags are the best of all sequences, by enumeration; gradients of the loss by differences."""
+    import itertools
+
+    noise = np.random.default_rng(12)
+    net = pii.Network.fresh(seed=5)
+    net.p["t"] = noise.normal(0, 1, net.p["t"].shape)
+    e = noise.normal(0, 1, (6, 4, pii.TAGS))
+    got = net.decode(e)
+    for row in range(len(e)):
+        worth = lambda y, row=row: sum(e[row, t, k] for t, k in enumerate(y)) + sum(net.p["t"][a, b] for a, b in itertools.pairwise(y))
+        best = max(itertools.product(range(pii.TAGS), repeat=e.shape[1]), key=worth)
+        assert tuple(got[row]) == best
+    x, y = noise.integers(0, pii.CODES, (3, 5)), noise.integers(0, pii.TAGS, (3, 5))
+    loss, grad = net.step(x, y)
+    scores = net.scores(x)
+    for row in range(3):  # the loss is the mean of -log P(tags), by enumeration
+        every = [sum(scores[row, t, k] for t, k in enumerate(s)) + sum(net.p["t"][a, b] for a, b in itertools.pairwise(s)) for s in itertools.product(range(pii.TAGS), repeat=5)]
+        gold = sum(scores[row, t, k] for t, k in enumerate(y[row])) + sum(net.p["t"][a, b] for a, b in itertools.pairwise(y[row]))
+        loss -= (np.logaddexp.reduce(every) - gold) / 3
+    assert abs(loss) < 1e-6
+    for name, at in (("t", (1, 2)), ("e", (3, 1)), ("x", (0, int(x[0, 0]), 5)), ("u", (1, 2, 7)), ("c", (4,))):
+        kept = net.p[name][at]
+        net.p[name][at] = kept + 1e-5
+        above = net.step(x, y)[0]
+        net.p[name][at] = kept - 1e-5
+        below = net.step(x, y)[0]
+        net.p[name][at] = kept
+        assert abs((above - below) / 2e-5 - grad[name][at]) < 1e-5
