@@ -314,10 +314,19 @@ def think_token_mask(c: Column, offsets: Column, mask: Column | None = None, pro
     tokens, and may end before the last of them.  Without a whole block the mask stays."""
     prompt = prompt if isinstance(prompt, Column) else F.lit(prompt)
     mask = F.array_repeat(F.lit(1), F.size(offsets) + prompt) if mask is None else mask
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  computed once, not for each token
     opens = F.locate(open_tag, text(c)) - 1
     closes = F.when(opens >= 0, F.call_function("locate", F.lit(close_tag), text(c), opens + 1 + len(open_tag)) - 1).otherwise(-1)
-    inside = F.transform(offsets, lambda o: (o["start"] >= opens) & (o["end"] <= closes + len(close_tag)) & (o["end"] > o["start"]))
-    first = F.array_position(inside, True) - 1 + prompt
-    last = F.size(offsets) - F.array_position(F.reverse(inside), True) + prompt
-    hidden = F.transform(mask, lambda m, i: F.when(i.between(first - 1, last), F.lit(0).cast("int")).otherwise(m))
-    return F.when((closes >= 0) & F.exists(inside, lambda x: x), hidden).otherwise(mask)
+
+    def marked(tags: Column) -> Column:
+        inside = F.transform(offsets, lambda o: (o["start"] >= tags["a"]) & (o["end"] <= tags["b"] + len(close_tag)) & (o["end"] > o["start"]))
+        return F.when(tags["b"] >= 0, inside).otherwise(F.array().cast("array<boolean>"))
+
+    def hidden(inside: Column) -> Column:
+        first = F.array_position(inside, True) - 1 + prompt
+        last = F.size(inside) - F.array_position(F.reverse(inside), True) + prompt
+        ends = F.struct((first - 1).alias("a"), last.alias("b"))
+        zeros = bound(ends, lambda e: F.transform(mask, lambda m, i: F.when(i.between(e["a"], e["b"]), F.lit(0).cast("int")).otherwise(m)))
+        return F.when(F.array_contains(inside, True), zeros).otherwise(mask)
+
+    return bound(bound(F.struct(opens.alias("a"), closes.alias("b")), marked), hidden)

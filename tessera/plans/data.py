@@ -546,7 +546,8 @@ def _(t: Tables) -> DataFrame:
     """Prompts whose metrics vary, from eight rounds, collected for each source until there are forty."""
     top = scratch(t)
     prompts = t.documents.filter("doc_id IS NOT NULL").select(X.text(F.col("source")).alias("lane"), (F.col("doc_id") % 8).alias("round"), "doc_id", F.array(F.col("n_chars") % 3, F.col("doc_id") % 3).alias("metrics"))
-    prompts.repartitionByRange(8, "round").write.parquet(f"{top}/in")  # a round is in one file
+    for number in range(8):  # a round is one file, and the files' times are in the rounds' order
+        prompts.filter(F.col("round") == number).coalesce(1).write.mode("append").parquet(f"{top}/in")
     stream = full.collected(resume.files(t.spark, f"{top}/in", prompts.schema), "lane", F.col("round"), F.col("doc_id"), full.varied(F.col("metrics")), ["doc_id"], 40)
     stream.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{top}/out")

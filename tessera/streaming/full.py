@@ -86,7 +86,7 @@ def collected(stream: DataFrame, lane: str, round_: Column, place: Column, passe
     """lane, batch (from 0), position (from 0) and payload of the groups that are handed over, each lane's batches of `size` groups.
 
     stream has a row per group.  A lane's rounds follow each other by number; all
-    of a lane's round must come in one micro-batch, as from a file per round,
+    of a lane's round must come in one micro-batch, as from a file per round written after the one before,
     and a round without rows in a lane isn't one of it.  place orders a round's
     groups, null ones aside; passes tells which of them count, null none.  most_rounds: rounds that
     a batch may take, 0 any number; a lane that takes more fails with NotFull.  NaN in the payload becomes null.
