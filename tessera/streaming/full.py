@@ -92,6 +92,7 @@ def collected(stream: DataFrame, lane: str, round_: Column, place: Column, passe
     a batch may take, 0 any number; a lane that takes more fails with NotFull.  NaN in the payload becomes null.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a micro-batch writes its changes, not each partition's whole state
     fields = [stream.schema[c] for c in payload]
     kind = stream.schema[lane].dataType
     rows = stream.select(lane, round_.cast("long").alias("__round"), place.cast("long").alias("__place"), F.coalesce(passes & place.isNotNull(), F.lit(False)).alias("__passes"), *payload)
