@@ -51,6 +51,13 @@ def test_lenient_answers():
     assert M.lenient_score("\\boxed{(50\\%, \\sqrt{8})}", "(0.5, 2\\sqrt{2})") == 1 and M.lenient_score("\\boxed{}", "0") == 0
 
 
+@pytest.mark.parametrize("k", [2, 10_002, 7_200_002])
+def test_fractions_are_exact(k):
+    """Large fractions that differ by little are not rounded ones; decimals are."""
+    assert M.lenient_score(f"\\boxed{{\\frac{{{k + 1}}}{{7}}}}", f"\\frac{{{k}}}{{7}}") == 0 and M.lenient_score(f"\\boxed{{\\frac{{{k}}}{{7}}}}", f"{2 * k}/14") == 1
+    assert M.lenient_score(f"\\boxed{{{k / 7:.6f}}}", f"\\frac{{{k}}}{{7}}") == 1
+
+
 @pytest.mark.parametrize("given,form", [
     (r"\frac12", r"\frac{1}{2}"), (r"\frac1{72}", r"\frac{1}{72}"), (r"\frac{72}1", r"\frac{72}1"), (r"\frac1\frac23", r"\frac1\frac23"), (r"\frac+\frac", r"\frac+\frac"), (r"\sqrt3+\sqrt{x}", r"\sqrt{3}+\sqrt{x}"), ("3/4", r"\frac{3}{4}"),
     ("-3/+4", "-3/+4"), ("03/4", "03/4"), ("k=.5", ".5"), (".5", r"\frac{1}{2}"), ("0.5", r"\frac{1}{2}"), ("xyz=3", "xyz=3"), (r"5\text{ cm}", "5"), (r"\dfrac 12", r"\frac{1}{2}"), (r"10\%", "10"), ("{.5}", "{0.5}"), ("", ""), (r"30^{\circ}", "30"),
