@@ -408,7 +408,7 @@ def _answers(t: Tables) -> DataFrame:
         boxed(F.lit("x/2 ")), F.concat(F.lit("Answer: "), n, F.lit(" \\boxed "), n, F.lit("$ end")), F.concat(F.lit("no box, answer: "), n),
     ), form + 1)
     truth = F.element_at(F.array(frac(k), F.lit("1/2"), frac(k), n, n, F.lit("x/2"), n, n), form + 1)
-    return t.part.select("p_partkey", said.alias("said"), truth.alias("truth"))
+    return spread(t.part.select("p_partkey", said.alias("said"), truth.alias("truth")))
 
 
 @query("grd_math", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 8 IN (0, 1, 6) THEN 1 ELSE 0 END AS DOUBLE) AS score FROM {part}")
