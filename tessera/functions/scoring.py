@@ -76,10 +76,13 @@ def verbosity_penalty(words: Column, threshold: int = 80, rate: float = 0.05, ca
 
 def doubles(modules: Column, threshold: float = 0.7) -> Column:
     """How many of the modules, in order, repeat an earlier one that was kept."""
-    forms = F.transform(modules, X.doubling_form)
     start = F.array().cast("array<struct<name:string,words:array<string>>>")
-    kept = F.aggregate(forms, start, lambda k, m: F.when(F.exists(k, lambda x: X.same_module(m, x, threshold)), k).otherwise(F.concat(k, F.array(m))))
-    return F.size(modules) - F.size(kept)
+
+    def of(m: Column) -> Column:
+        kept = F.aggregate(F.transform(m, X.doubling_form), start, lambda k, m: F.when(F.exists(k, lambda x: X.same_module(m, x, threshold)), k).otherwise(F.concat(k, F.array(m))))
+        return F.when(F.size(m) < 2, 0).otherwise(F.size(m) - F.size(kept))  # a single one has no earlier one
+
+    return X.let(modules, of)
 
 
 def doubling_penalty(n: Column, rate: float = 0.06, cap: float = 0.20) -> Column:

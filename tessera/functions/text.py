@@ -125,14 +125,20 @@ def parse_rubric(c: Column) -> Column:
 def _bullet_parts(c: Column, loose: bool) -> Column:
     """Array of (tm, rq): the texts after a target header and after the first question header before the next one."""
     target, question = (TARGET_LOOSE, QUESTION_LOOSE) if loose else (TARGET, QUESTION)
-    marked = F.regexp_replace(F.concat(F.lit("\n"), F.translate(text(c), "\x01\x02\x03", "")), target, "\x01")
+    # One native search for each mark: a pattern that finds none hands the text on as it is, translate() copies it character by character.
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(text(c), "[\x01-\x03]+", "")), target, "\x01")
     pieces = F.slice(F.split(marked, "\x01"), 2, 10**9)
-    cut = F.transform(pieces, lambda p: F.regexp_replace(p, question, "\x02$0\x03"))
-    # A question header right after the target header doesn't count.
-    pair = "(?s)^(.+?)\x02[^\x03]*\x03(.*)$"
-    cut = F.filter(cut, lambda p: F.regexp_like(p, F.lit(pair)))
-    plain = lambda x: F.translate(x, "\x02\x03", "")
-    return F.transform(cut, lambda p: F.struct(plain(F.regexp_extract(p, pair, 1)).alias("tm"), plain(F.regexp_extract(p, pair, 2)).alias("rq")))
+    plain = lambda x: F.regexp_replace(x, "[\x02\x03]+", "")
+
+    def cut(p: Column) -> Column:
+        """Where a question header begins (0: nowhere) and its piece; one right after the target header doesn't count."""
+        return let(F.regexp_replace(p, question, "\x02$0\x03"), lambda q: F.struct(q.alias("q"), F.locate("\x02", q, 2).alias("at")))
+
+    def pair(x: Column) -> Column:
+        end = F.call_function("locate", F.lit("\x03"), x["q"], x["at"])
+        return F.struct(plain(F.substring(x["q"], F.lit(1), x["at"] - 1)).alias("tm"), plain(F.substring(x["q"], end + 1, F.length(x["q"]))).alias("rq"))
+
+    return F.transform(F.filter(F.transform(pieces, cut), lambda x: x["at"] > 0), pair)
 
 
 def _tidy(c: Column) -> Column:
@@ -141,7 +147,7 @@ def _tidy(c: Column) -> Column:
 
 def _bullet(p: Column) -> Column:
     cut = let(_tidy(p["rq"]), lambda rq: F.when(F.length(rq) > 400, F.concat(F.substring(rq, 1, 400), F.lit("..."))).otherwise(rq))
-    return F.struct(F.substring(_tidy(p["tm"]), 1, 300).alias("target_module"), cut.alias("research_question"))
+    return F.struct(_module(p).alias("target_module"), cut.alias("research_question"))
 
 
 def parse_bullets(c: Column, loose: bool = False) -> Column:
@@ -149,9 +155,18 @@ def parse_bullets(c: Column, loose: bool = False) -> Column:
     return F.transform(_bullet_parts(c, loose), _bullet)
 
 
+def _module(p: Column) -> Column:
+    return F.substring(_tidy(p["tm"]), 1, 300)
+
+
+def target_modules(c: Column) -> Column:
+    """The target modules of parse_bullets() alone."""
+    return F.transform(_bullet_parts(c, False), _module)
+
+
 def modules_and_words(c: Column) -> Column:
     """Struct of the target modules of parse_bullets() and of question_words(), from one look at the text."""
-    return let(_bullet_parts(c, False), lambda p: F.struct(F.transform(p, lambda x: F.substring(_tidy(x["tm"]), 1, 300)).alias("modules"), F.transform(p, lambda x: word_count(x["rq"])).alias("words")))
+    return let(_bullet_parts(c, False), lambda p: F.struct(F.transform(p, _module).alias("modules"), F.transform(p, lambda x: word_count(x["rq"])).alias("words")))
 
 
 def count_pairs(c: Column) -> Column:
@@ -199,14 +214,13 @@ def parse_score_clamped(c: Column) -> Column:
 def judged_blocks(c: Column, tag: str) -> Column:
     """Array of (num, body) of the tag's numbered blocks, tolerant of spaces, case and quotes."""
     pattern = rf"(?is)<{WS}*{tag}\b[^>]*(?:num|number|id){WS}*={WS}*[\"']?{WS}*([0-9]+){WS}*[\"']?[^>]*>(.*?)</{WS}*{tag}{WS}*>"
-    whole = F.regexp_extract_all(text(c), F.lit(pattern), 0)
-    return F.transform(whole, lambda x: F.struct(F.regexp_extract(x, pattern, 1).try_cast("int").alias("num"), F.regexp_extract(x, pattern, 2).alias("body")))
+    return let(text(c), lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(pattern), 1), F.regexp_extract_all(t, F.lit(pattern), 2), lambda n, body: F.struct(n.try_cast("int").alias("num"), body.alias("body"))))
 
 
 def inner(c: Column, tag: str) -> Column:
     """What the first such tag holds, stripped; null if there is none."""
     pattern = rf"(?is)<{WS}*{tag}{WS}*>(.*?)</{WS}*{tag}{WS}*>"
-    return F.when(F.regexp_like(c, F.lit(pattern)), strip(F.regexp_extract(c, pattern, 1)))
+    return strip(F.get(F.regexp_extract_all(c, F.lit(pattern), 1), F.lit(0)))
 
 
 def first_of(blocks: Column, num: Column) -> Column:
@@ -291,9 +305,15 @@ def capitalize(c: Column) -> Column:
 def think_mask(c: Column, open_tag: str = "<Think>", close_tag: str = "</Think>") -> Column:
     """Per character 0 inside the think block, its tags and the one before it, else 1."""
     t = text(c)
-    start, end = F.locate(open_tag, t), F.locate(close_tag, t)
-    inside = lambda i: (start > 0) & (end > start) & (i >= start - 1) & (i < end + len(close_tag))
-    return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.when(inside(i), 0).otherwise(1)))
+
+    def runs(p: Column) -> Column:
+        """Ones, zeros and ones, by their numbers: tags are looked for once a text, not once a character."""
+        before, n = F.greatest(p["start"] - 2, F.lit(0)), F.length(t)
+        after = n - (p["end"] + len(close_tag) - 1)
+        whole = (p["start"] > 0) & (p["end"] > p["start"])
+        return F.when(whole, F.concat(F.array_repeat(F.lit(1), before), F.array_repeat(F.lit(0), n - before - after), F.array_repeat(F.lit(1), after))).otherwise(F.array_repeat(F.lit(1), n))
+
+    return F.when(F.length(t) > 0, let(F.struct(F.locate(open_tag, t).alias("start"), F.locate(close_tag, t).alias("end")), runs))
 
 
 def metric_line(c: Column) -> Column:
@@ -322,11 +342,15 @@ def think_token_mask(c: Column, offsets: Column, mask: Column | None = None, pro
         inside = F.transform(offsets, lambda o: (o["start"] >= tags["a"]) & (o["end"] <= tags["b"] + len(close_tag)) & (o["end"] > o["start"]))
         return F.when(tags["b"] >= 0, inside).otherwise(F.array().cast("array<boolean>"))
 
+    def parts(p: Column) -> Column:
+        """The mask with zeros from place a to before place b."""
+        return F.concat(F.slice(p["m"], F.lit(1), p["a"]), F.array_repeat(F.lit(0), p["b"] - p["a"]), F.slice(p["m"], p["b"] + 1, F.size(p["m"]) - p["b"]))
+
     def hidden(inside: Column) -> Column:
         first = F.array_position(inside, True) - 1 + prompt
         last = F.size(inside) - F.array_position(F.reverse(inside), True) + prompt
-        ends = F.struct((first - 1).alias("a"), last.alias("b"))
-        zeros = bound(ends, lambda e: F.transform(mask, lambda m, i: F.when(i.between(e["a"], e["b"]), F.lit(0).cast("int")).otherwise(m)))
+        ends = F.struct((first - 1).cast("int").alias("a"), last.cast("int").alias("b"))
+        zeros = bound(ends, lambda e: bound(F.struct(mask.alias("m"), F.least(F.greatest(e["a"], F.lit(0)), F.size(mask)).alias("a"), F.least(e["b"] + 1, F.size(mask)).alias("b")), parts))
         return F.when(F.array_contains(inside, True), zeros).otherwise(mask)
 
     return bound(bound(F.struct(opens.alias("a"), closes.alias("b")), marked), hidden)

@@ -113,6 +113,12 @@ class Tables:
         self.__dict__[name] = found
         return found
 
+    def spread(self, name: str) -> Tables:
+        """The same with the rows of a table spread(), before fixtures make them wider."""
+        out = Tables(self.spark, self.dir)
+        out.__dict__[name] = spread(getattr(self, name))
+        return out
+
 
 def scratch(t: Tables) -> str:
     """A folder that all executors see: under spark.checkpoint.dir; only where that is unset and
@@ -125,11 +131,15 @@ def scratch(t: Tables) -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
+#: Tasks for each core when rows are dealt out, so that a slow one holds up little.
+DEALS = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small table that is read as fewer partitions than there are cores, dealt to all of them before
-    costly work on each row.  A table of more partitions stays as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows of a table that is read as fewer partitions than costly work on each row needs, dealt to all cores
+    before that work.  A table of more partitions stays as it is: no shuffle."""
+    tasks = DEALS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def query(key: str, sql: str | None = None):

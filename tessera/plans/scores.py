@@ -55,7 +55,12 @@ RESULTS = f"SELECT id, {BLOCK} AS txt FROM {{responses}}"
 
 
 def results(t: Tables) -> DataFrame:
-    return spread(t.responses).select("id", "response", X.extract_block(F.col("response"), "Result").alias("result"))
+    return t.spread("orders").responses.select("id", "response", X.extract_block(F.col("response"), "Result").alias("result"))
+
+
+def question_words(t: Tables, name: str) -> DataFrame:
+    """id and the word counts of the results that have a question; counted once, where a filter behind it would count them again."""
+    return results(t).select("id", F.explode(X.let(X.question_words(F.col("result")), lambda w: F.when(F.size(w) > 0, F.array(w)))).alias(name))
 
 
 # --------------------------------------------------------------------- text
@@ -140,7 +145,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("txt_rq_word_counts", f"WITH {bullets_sql(RESULTS, TM, RQ)} SELECT id, array_agg({words_sql('rq')} ORDER BY i) AS words FROM b GROUP BY id")
 def _(t: Tables) -> DataFrame:
-    return results(t).select("id", X.question_words(F.col("result")).alias("words")).filter(F.size("words") > 0)
+    return question_words(t, "words")
 
 
 @query("txt_required_sections", "SELECT id, id % 3 = 0 AS ok FROM {judged}")
@@ -229,9 +234,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Of characters, how many are kept; of tokens of five code points after a prompt of two, the mask."""
     n = F.length("response")
-    offsets = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(5)), lambda i: F.struct(i.alias("start"), F.least(i + 5, n).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    rows = t.responses.select("id", "response", offsets.alias("offsets"))
-    return rows.select("id", A.total(X.think_mask(F.col("response"))).cast("long").alias("kept"), X.think_token_mask(F.col("response"), F.col("offsets"), prompt=2).alias("mask"))
+    offsets = F.when(n > 0, X.let(n, lambda m: F.transform(F.sequence(F.lit(0), m - 1, F.lit(5)), lambda i: F.struct(i.alias("start"), F.least(i + 5, m).alias("end"))))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    rows = t.spread("orders").responses.select("id", "response", offsets.alias("offsets"))
+    return rows.select("id", F.array_size(F.array_remove(X.think_mask(F.col("response")), 0)).cast("long").alias("kept"), X.think_token_mask(F.col("response"), F.col("offsets"), prompt=2).alias("mask"))
 
 
 @query("txt_metric_line", "SELECT c_custkey, c_acctbal AS reward FROM {customer}")
@@ -284,7 +289,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("pen_rq_verbosity", f"WITH {bullets_sql(RESULTS, TM, RQ)} SELECT id, round(least(0.3, sum(greatest(0, {words_sql('rq')} - 80) / 50.0 * 0.05)), 6) AS penalty, round(avg({words_sql('rq')}), 6) AS mean_words, max({words_sql('rq')}) AS max_words FROM b GROUP BY id")
 def _(t: Tables) -> DataFrame:
-    rows = results(t).select("id", X.question_words(F.col("result")).alias("w")).filter(F.size("w") > 0).select("id", P.verbosity_penalty(F.col("w")).alias("p"))
+    rows = question_words(t, "w").select("id", P.verbosity_penalty(F.col("w")).alias("p"))
     return rows.select("id", r6(F.col("p.penalty")).alias("penalty"), r6(F.col("p.mean_words")).alias("mean_words"), "p.max_words")
 
 
@@ -295,14 +300,12 @@ _DOUBLES = f"WITH {bullets_sql(RESULTS, TM, RQ)}, n AS (SELECT id, count(*) - co
 
 @query("win_doubling", _DOUBLES)
 def _(t: Tables) -> DataFrame:
-    modules = F.transform(X.parse_bullets(F.col("result")), lambda b: b["target_module"])
-    return results(t).select("id", P.doubles(modules).alias("n_doubles"))
+    return results(t).select("id", P.doubles(X.target_modules(F.col("result"))).alias("n_doubles"))
 
 
 @query("pen_doubling", f"SELECT id, round(least(0.2, 0.06 * n_doubles), 6) AS penalty FROM ({_DOUBLES}) d")
 def _(t: Tables) -> DataFrame:
-    modules = F.transform(X.parse_bullets(F.col("result")), lambda b: b["target_module"])
-    return results(t).select("id", r6(P.doubling_penalty(P.doubles(modules))).alias("penalty"))
+    return results(t).select("id", r6(P.doubling_penalty(P.doubles(X.target_modules(F.col("result"))))).alias("penalty"))
 
 
 @query("pen_dapo_overlong", "SELECT doc_id, round(least(-(n_chars - (4000 - 500)) / 500.0 * 1.0, 0), 6) AS penalty FROM {documents}")
@@ -323,7 +326,7 @@ def _task1(t: Tables) -> DataFrame:
     """Responses with their true candidates and a judge's answer, in which the second candidate claims the first bullet and that is half specific."""
     said = F.replace(F.replace("answer", F.lit("<score>0.5</score></candidate >"), F.lit("<score>0.5</score><primary_match>1</primary_match></candidate >")), F.lit("<spec_score>0.9"), F.lit("<spec_score>0.4"))
     truth = t.judged.select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, "none").otherwise(F.col("candidates")).alias("candidates"), said.alias("judge"))
-    return spread(t.responses).join(truth, F.col("id") == F.col("k")).drop("k")
+    return t.spread("orders").responses.join(truth, F.col("id") == F.col("k")).drop("k")
 
 
 _TASK1 = f"""WITH {bullets_sql(RESULTS, TM, RQ)}, g AS ({_GATE}),

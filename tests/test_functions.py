@@ -304,6 +304,17 @@ def test_greedy_parts_of_equal_size(spark):
         B.greedy_balanced(rows, ["b"], "k", "n", 4, equal_size=True).collect()
 
 
+def test_think_mask_by_runs(spark):
+    """Per character as by definition; a text of a million characters takes no look at its tags for each of them."""
+    for t in ["ab<Think>xy</Think>cd", "<Think></Think>", "x<Think>y</Think>", "no", "</Think>a<Think>", "a<Think>b", "a</Think><Think>b</Think>"]:
+        start, end = t.find("<Think>"), t.find("</Think>")
+        expected = [0 if 0 <= start < end and start - 1 <= i < end + 8 else 1 for i in range(len(t))]
+        assert one(spark, X.think_mask(F.lit(t))) == expected
+    assert one(spark, X.think_mask(F.lit(""))) is None
+    long = F.concat(F.repeat(F.lit("a"), 500_000), F.lit("<Think>b</Think>"), F.repeat(F.lit("c"), 500_000))
+    assert one(spark, F.array_size(F.array_remove(X.think_mask(long), 0))) == 999_999
+
+
 def test_think_mask_of_tokens(spark):
     text, spans = "ab<Think>xy</Think>cd", [(0, 2), (2, 9), (9, 9), (9, 11), (11, 19), (19, 20), (20, 21)]
     offsets = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in spans))
