@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,10 +31,10 @@ def draws(n: int, size: int, rounds: int, seed: int) -> np.ndarray:
     return np.random.RandomState(seed).randint(0, n, (rounds, size))
 
 
-def voted(votes: np.ndarray, values: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Per row of votes (small whole numbers) and draw, the first drawn value of the most frequent vote; of equally
-    frequent ones, of the one drawn first."""
-    drawn = votes[:, picks]  # prompts, rounds, size
+def voted(votes: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Per row of votes (small whole numbers) and draw, the place of the first drawn value of the most frequent vote; of
+    equally frequent ones, of the one drawn first."""
+    drawn = votes[:, picks]  # rows, rounds, size
     size = drawn.shape[2]
     best, place = np.full(drawn.shape[:2], -1), np.zeros(drawn.shape[:2], np.int64)
     for v in range(int(votes.max(initial=-1)) + 1):
@@ -42,22 +43,98 @@ def voted(votes: np.ndarray, values: np.ndarray, picks: np.ndarray) -> np.ndarra
         key = np.where(count > 0, count * (size + 1) + size - first, -1)
         better = key > best
         best, place = np.where(better, key, best), np.where(better, first, place)
-    at = np.take_along_axis(np.broadcast_to(picks, drawn.shape), place[..., None], 2)[..., 0]
-    return np.take_along_axis(values, at, 1)
+    return np.take_along_axis(np.broadcast_to(picks, drawn.shape), place[..., None], 2)[..., 0]
 
 
-def prompt_metrics(values: np.ndarray, votes: np.ndarray | None, rounds: int, seed: int) -> dict[str, np.ndarray]:
-    """Metric name -> one number per prompt, for prompts (rows) of equally many responses (columns)."""
+def vote_codes(votes: np.ndarray) -> np.ndarray:
+    """Each vote as the place of the first one equal to it: rows that vote alike, whatever for, have the same codes."""
+    out = np.zeros(votes.shape, np.int64)
+    for k in range(1, votes.shape[1]):
+        out[:, k] = (votes[:, : k + 1] == votes[:, k : k + 1]).argmax(1)
+    return out
+
+
+def weighted(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the mean and deviation of values that occur so often; a value that never does may be NaN."""
+    values = np.where(counts > 0, values, 0.0)
+    share = counts / counts.sum(-1, keepdims=True)
+    mean = (values * share).sum(1)
+    return mean, np.sqrt(((values - mean[:, None]) ** 2 * share).sum(1))
+
+
+def extremes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest and the least value of every set of places, at the number whose bits are the places; one array operation a place."""
+    best = np.empty((len(values), 1 << values.shape[1]))
+    worst = best.copy()
+    best[:, 0], worst[:, 0] = -np.inf, np.inf
+    for k in range(values.shape[1]):
+        half, x = 1 << k, values[:, k : k + 1]
+        np.maximum(best[:, :half], x, out=best[:, half : 2 * half])
+        np.minimum(worst[:, :half], x, out=worst[:, half : 2 * half])
+    return best, worst
+
+
+@functools.lru_cache(maxsize=256)
+def drawn_sets(n: int, size: int, rounds: int, seed: int) -> np.ndarray:
+    """How often each set of places is drawn, at the number whose bits are the places."""
+    return np.bincount(np.bitwise_or.reduce(1 << draws(n, size, rounds, seed), axis=1), minlength=1 << n)
+
+
+#: What majority_places() found, by codes and draws; a worker keeps at most KINDS of them.
+_FOUND: dict[tuple, np.ndarray] = {}
+KINDS = 20_000
+
+
+def majority_places(codes: np.ndarray, size: int, rounds: int, seed: int) -> np.ndarray:
+    """Per row of codes, how often each place gives the majority's value over the rounds.  Rows of the same codes
+    are looked at once, a bounded number of kinds together, and remembered for the next rows."""
+    n = codes.shape[1]
+    kinds, which = np.unique(codes, axis=0, return_inverse=True)
+    keys = [(k.tobytes(), size, rounds, seed) for k in kinds]
+    out = np.empty((len(kinds), n), np.int64)
+    new = [i for i, key in enumerate(keys) if key not in _FOUND]
+    for i in set(range(len(keys))) - set(new):
+        out[i] = _FOUND[keys[i]]
+    together = max(1, HELD // (rounds * size))
+    for start in range(0, len(new), together):
+        some = new[start : start + together]
+        places = voted(kinds[some], draws(n, size, rounds, seed))
+        rows = np.arange(len(places))[:, None] * n
+        out[some] = np.bincount((rows + places).ravel(), minlength=len(places) * n).reshape(-1, n)
+        if len(_FOUND) + len(some) > KINDS:
+            _FOUND.clear()
+        _FOUND.update((keys[i], out[i].copy()) for i in some[:KINDS])
+    return out[which.ravel()]
+
+
+def few_sets(n: int, rounds: int) -> bool:
+    """Whether n places have no more sets than there are rounds."""
+    return (1 << min(n, 62)) <= rounds
+
+
+def prompt_metrics(values: np.ndarray, codes: np.ndarray | None, rounds: int, seed: int) -> dict[str, np.ndarray]:
+    """Metric name -> one number per prompt, for prompts (rows) of equally many responses (columns).
+
+    All prompts share their draws, so what a draw gives depends on the set of its places, and for
+    majorities on which votes are equal: where these sets are fewer than the rounds, they are counted
+    once and each is looked at once, not once a round."""
     n = values.shape[1]
     out = {f"mean@{n}": values.mean(1), f"std@{n}": values.std(1)}
+    few = few_sets(n, rounds)
+    best, worst = extremes(values) if few else (None, None)
     for size in ladder(n):
-        picks = draws(n, size, rounds, seed)
-        drawn = values[:, picks]
-        kinds = {"best": drawn.max(2), "worst": drawn.min(2)}
-        if votes is not None:
-            kinds["maj"] = voted(votes, values, picks)
-        for kind, x in kinds.items():
-            out[f"{kind}@{size}/mean"], out[f"{kind}@{size}/std"] = x.mean(1), x.std(1)
+        got = {}
+        if few:
+            counts = drawn_sets(n, size, rounds, seed)
+            some = np.flatnonzero(counts)
+            got["best"], got["worst"] = weighted(best[:, some], counts[some]), weighted(worst[:, some], counts[some])
+        else:
+            drawn = values[:, draws(n, size, rounds, seed)]
+            got |= {kind: (x.mean(1), x.std(1)) for kind, x in (("best", drawn.max(2)), ("worst", drawn.min(2)))}
+        if codes is not None:
+            got["maj"] = weighted(values, majority_places(codes, size, rounds, seed))
+        for kind, (mean, std) in got.items():
+            out[f"{kind}@{size}/mean"], out[f"{kind}@{size}/std"] = mean, std
     return out
 
 
@@ -78,16 +155,16 @@ def validation_metrics(df: DataFrame, source: str, prompt: Sequence[str], index:
     def summed(part: pa.RecordBatch) -> list[dict]:
         """Sums of the metrics over the prompts of one source and n."""
         n = len(part.column("_0")[0])
-        votes, out = None, []
+        codes, out = None, []
         if vote:
-            codes = [list(map({v: i for i, v in reversed(list(enumerate(dict.fromkeys(own))))}.__getitem__, own)) for own in part.column("_vote").to_pylist()]
-            votes = np.array(codes, np.int64)
-        together = max(1, HELD // (rounds * n))
+            votes = part.column("_vote").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).reshape(-1, n)
+            codes = vote_codes(votes)
+        together = max(1, HELD // (1 << n if few_sets(n, rounds) else rounds * n))
         for k, name in enumerate(values):
             x = part.column(f"_{k}").flatten().to_numpy().reshape(-1, n)
             for start in range(0, len(x), together):
                 some = slice(start, start + together)
-                got = prompt_metrics(x[some], votes[some] if votes is not None else None, rounds, seed)
+                got = prompt_metrics(x[some], codes[some] if codes is not None else None, rounds, seed)
                 out += [{"source": part.column("_source")[0].as_py(), "variable": name, "metric": m, "total": float(v.sum()), "n": len(v)} for m, v in got.items()]
         return out
 

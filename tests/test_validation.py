@@ -64,6 +64,22 @@ def test_whole_report(spark):
     assert V.validation_metrics(df.limit(0), "source", ["prompt"], "i", ["score"], "pred").count() == 0
 
 
+def test_sets_and_kinds_are_looked_at_once(monkeypatch):
+    """Of 5,000 prompts with 7 responses, draws are compared by kind of votes, and give what every round alone does."""
+    noise = np.random.default_rng(4)
+    values, votes = noise.integers(0, 9, (5000, 7)).astype(float), noise.integers(0, 2, (5000, 7))
+    seen, plain = [], V.voted
+    monkeypatch.setattr(V, "voted", lambda kinds, picks: seen.append(len(kinds)) or plain(kinds, picks))
+    codes = V.vote_codes(votes)
+    got = V.prompt_metrics(values, codes, 200, 42)
+    assert sum(seen) <= 3 * 64  # 64 ways to split 7 votes in two, for N = 2, 4, 7
+    for size in (2, 4, 7):
+        picks = V.draws(7, size, 200, 42)
+        chosen = np.take_along_axis(values, plain(votes, picks), 1)
+        for kind, x in (("best", values[:, picks].max(2)), ("worst", values[:, picks].min(2)), ("maj", chosen)):
+            assert got[f"{kind}@{size}/mean"] == pytest.approx(x.mean(1)) and got[f"{kind}@{size}/std"] == pytest.approx(x.std(1), abs=1e-9)
+
+
 def test_many_prompts_in_parts(spark, monkeypatch):
     rows = [("s", p, i, float((p * 7 + i * 3) % 11), 0.0, str((p + i) % 3)) for p in range(50) for i in range(4)]
     df = spark.createDataFrame(rows, SCHEMA)
