@@ -95,6 +95,10 @@ def plain(sql: str) -> str:
     return "WITH " + ", ".join(parts) + " " + sql
 
 
+#: Rows of one task, about, where rows are dealt by a key before several sorts.
+TASK_ROWS = 250_000
+
+
 class Tables:
     """The test tables of a folder, and the fixtures over them, as DataFrames."""
 
@@ -113,6 +117,17 @@ class Tables:
         self.__dict__[name] = found
         return found
 
+    def grouped(self, name: str, key: str) -> Tables:
+        """The same with the rows of a table dealt by a key to tasks of about TASK_ROWS rows, however large the table is:
+        what windows and groups of that key sort in a task doesn't grow with it."""
+        out = Tables(self.spark, self.dir)
+        whole = getattr(self, name)
+        out.__dict__[name] = whole.repartition(self.tasks(name), key)
+        return out
+
+    def tasks(self, name: str) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, -(-getattr(self, name).count() // TASK_ROWS))
+
     def spread(self, name: str) -> Tables:
         """The same with the rows of a table spread(), before fixtures make them wider."""
         out = Tables(self.spark, self.dir)
