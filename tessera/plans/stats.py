@@ -257,7 +257,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """A token reward under the response mask and an outcome on the last token, weighted 5 and 2."""
     end = F.max(F.when(F.col("mask") == 1, F.col("t"))).over(Window.partitionBy("uid"))
-    rows = t.tokens.withColumn("g", F.floor(F.col("uid") / 4)).withColumn("last", (F.col("t") == end).cast("int")).withColumn("outcome", F.when(F.col("last") == 1, F.col("adv")).otherwise(0.0))
+    tokens = t.grouped("lineitem", "l_orderkey").tokens.select("uid", "t", "reward", "adv", "mask")
+    rows = tokens.withColumn("g", F.floor(F.col("uid") / 4)).withColumn("last", (F.col("t") == end).cast("int")).withColumn("outcome", F.when(F.col("last") == 1, F.col("adv")).otherwise(0.0))
+    rows = rows.repartition(t.tasks("lineitem"), "g")
     out = G.prime_advantages(rows, "uid", "g", "t", "mask", 4, [("reward", "mask", 5.0), ("outcome", "last", 2.0)])
     return out.select("uid", "t", (F.round("returns", 4) + 0.0).alias("returns"), (F.round("advantage", 4) + 0.0).alias("advantage"))
 
@@ -459,7 +461,7 @@ def _(t: Tables) -> DataFrame:
     w = Window.partitionBy("uid")
     against = F.when(F.col("acc") > 0, F.avg(F.when(F.col("acc") == 0, F.col("score"))).over(w)).otherwise(F.avg(F.when(F.col("acc") > 0, F.col("score"))).over(w))
     gap = (F.col("score") - F.coalesce(against, F.lit(0.0))) * 0.05 * (F.col("acc") * 2 - 1)
-    rows = t.rollouts.select((-F.log(1 / (1 + F.exp(-gap)))).alias("x"), G.best_of_n_weight(F.col("score"), "uid").alias("rm"), G.best_of_n_weight(F.col("acc"), "uid").alias("acc"))
+    rows = t.grouped("lineitem", "l_orderkey").rollouts.select((-F.log(1 / (1 + F.exp(-gap)))).alias("x"), G.best_of_n_weight(F.col("score"), "uid").alias("rm"), G.best_of_n_weight(F.col("acc"), "uid").alias("acc"))
     return rows.agg(r6(F.avg("x")).alias("loss"), F.round(F.sum(F.col("x") * F.col("rm")), 3).alias("bon_rm"), F.round(F.sum(F.col("x") * F.col("acc")), 3).alias("bon_acc"))
 
 
